@@ -1,16 +1,18 @@
 """Exact n-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
-A document of n distinct shingles links at 0.75 only with documents that hold at least ceil(0.75 n) of
-them, so one of its floor(n/4)+1 first shingles, in any common order, is shared. The product therefore
-runs over those columns only; its columns are dealt into blocks by hash, and a block's task sorts its
-entries and keeps the columns that two different sets hold. The order puts frequent shingles last, as told
-by a count sketch of fixed size over all documents; the order decides cost only, never the result.
-
-Links are then found in two rounds. Round one tests, per column, each set against its neighbour and a hub, a
-number of pairs linear in the entries, and joins the sets that link into components. Round two tests every
-remaining pair of a column whose sets are in different components and within the size bound, so no link
-between components is missed and large groups of copies never become all their pairs. Both rounds accumulate
-the overlap over the whole sets and compare counts exactly.
+Sets of n and m distinct shingles link at 0.75 only if they share at least o = ceil(0.75 (n + m) / 1.75). So
+of the P first shingles of the first, in any common order, at least P - n + o are shared, and P is chosen as
+about 3/8 of n. The product therefore runs over those columns only; its columns are dealt into blocks by
+hash, and a block's task sorts its entries and keeps the columns that two different sets hold. Overlap counts
+of pairs accumulate over all blocks, and pairs under their size-derived bound are discarded. The order puts
+frequent shingles last, as told by a count sketch of fixed size over all documents; the order decides cost
+only, never the result.
+
+Links are found in two rounds. Round one counts, per column, each set against its neighbour in size and the
+smallest set, a number of pairs linear in the entries; each set's best partner is tested over the whole sets,
+and those that link join into components. Round two counts every pair of a column whose sets are in different
+components and within the size bound, and tests all that reach the bound, so no link between components is
+missed and large groups of copies never become all their pairs.
 
 Equal sets are one node, named by 64 bits of a cryptographic digest of the set.
 
@@ -28,6 +30,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,8 @@ from .common import discard, materialise, small_batches, text_bytes
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-#: Cells of the count sketch, a power of two; 4 bytes each in every task.
-CELLS = 1 << 20
+#: Cells of the count sketch, a power of two; 2 bytes each in every task.
+CELLS = 1 << 23
 #: Incidence entries per block.
 BLOCK_ENTRIES = 400_000
 #: Members of one hub tested by one task at most.
@@ -79,7 +82,15 @@ def set_key(s: np.ndarray) -> int:
 
 
 def prefix_length(n: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
-    return n - -(-num * n // den) + 1 if n else 0
+    """The shingles a partner may lack, an eighth of all, and one."""
+    return n - -(-num * n // den) + n // 8 + 1 if n else 0
+
+
+def _sql_bound(num: int, den: int) -> str:
+    """SQL of the least number of prefix columns that linked sets of sizes n and m share."""
+    overlap = f"(({num}L * (n + m) + {num + den - 1}) div {num + den})"
+    lacks = lambda x: f"({overlap} - {x} + {x} - ({num}L * {x} + {den - 1}) div {den} + {x} div 8 + 1)"
+    return f"least({lacks('n')}, {lacks('m')})"
 
 
 def linked(x: np.ndarray, y: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) -> bool:
@@ -94,8 +105,8 @@ def linked(x: np.ndarray, y: np.ndarray, num: int = NUMERATOR, den: int = DENOMI
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int, cells: int) -> Iterator[pa.RecordBatch]:
-    """A row per document, and at the end the partition's part of the count sketch in 64 slices."""
-    counts = np.zeros(cells, np.int64)
+    """A row per document, and at the end the partition's part of the count sketch in 64 slices, 255 a cell at most."""
+    counts = np.zeros(cells, np.uint16)
     names = ["doc_id", "key", "n", "slice", "counts"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for batch in batches:
@@ -106,25 +117,26 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int, cells: int) -> Iterator
             sizes.append(len(s))
             cell.append((s & np.uint64(cells - 1)).astype(np.int32))
         if keys:
-            counts += np.bincount(np.concatenate(cell), minlength=cells)
+            np.add.at(counts, np.concatenate(cell), 1)
+            np.minimum(counts, 30_000, out=counts)  # a set comes a few thousand times a batch at most
         none = [None] * len(keys)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((keys, sizes, none, none), types[1:]))], names=names)
-    parts = counts.astype("<u4").reshape(64, -1)
+    parts = np.minimum(counts, 255).astype(np.uint8).reshape(64, -1)
     use = [i for i in range(64) if parts[i].any()]
     none = [None] * len(use)
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, use, [parts[i].tobytes() for i in use]), types)], names=names)
 
 
 def _add_slices(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, "<u4").astype(np.int64) for c in pdf["counts"])
-    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [total.astype("<i8").tobytes()]})
+    total = sum(np.frombuffer(c, np.uint8).astype(np.uint32) for c in pdf["counts"])
+    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [total.astype("<u4").tobytes()]})
 
 
 def _levels(slices: list, cells: int) -> np.ndarray:
     """Per cell how many times twice the mean count it has, as a logarithm: 0 for usual cells."""
-    counts = np.zeros((64, cells // 64), np.int64)
+    counts = np.zeros((64, cells // 64), np.uint32)
     for r in slices:
-        counts[r["slice"]] = np.frombuffer(r["counts"], "<i8")
+        counts[r["slice"]] = np.frombuffer(r["counts"], "<u4")
     counts = counts.ravel()
     mean = max(4.0, 2 * counts.mean())
     return np.where(counts > mean, np.log2(np.maximum(counts, 1) / mean) + 1, 0).astype(np.uint8)
@@ -177,7 +189,7 @@ def _entries(batches: Iterator[pa.RecordBatch], shared, blocks: int, words: int,
 
 
 def _columns(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Columns of one block that at least two different sets hold; equal columns once. Sets in order of size."""
+    """Columns of one block that at least two different sets hold; equal columns once, with their number. Sets in order of size."""
     h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["h"]])
     keys = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["keys"]])
     sizes = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]])
@@ -186,6 +198,7 @@ def _columns(pdf: pd.DataFrame) -> pd.DataFrame:
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
     ends = np.r_[starts[1:], len(h)]
     out: dict[bytes, np.ndarray] = {}
+    times: dict[bytes, int] = {}
     for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
         k, first = np.unique(keys[a:b], return_index=True)
         if len(k) > 1:
@@ -193,27 +206,32 @@ def _columns(pdf: pd.DataFrame) -> pd.DataFrame:
             by_size = np.lexsort((k, n))
             k = k[by_size]
             out.setdefault(k.tobytes(), n[by_size])
+            times[k.tobytes()] = times.get(k.tobytes(), 0) + 1
     block = int(pdf["block"].iloc[0])
     return pd.DataFrame({
         "list": np.arange(len(out), dtype=np.int64) + (block << 32),
         "keys": [np.frombuffer(k, np.int64) for k in out], "sizes": list(out.values()),
+        "times": [times[k] for k in out],
     })
 
 
-def _own(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Rows whose text has the set that the key names; an id may come with several texts."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        keep = [set_key(shingles(t.as_py(), words)) == k for k, t in zip(batch.column(0).to_pylist(), batch.column(1))]
-        yield batch.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.as_py()) for t in batch.column(1)], pa.binary())], names=["doc_id", "text"])
 
 
 def _test(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Members against the hub row that comes before them."""
-    hub, own = None, None
+    """Members against the hub row that comes before them. A text must have the set that its key names: ids may repeat."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    hub, own = None, np.empty(0, np.uint64)
     for batch in batches:
         a, b = [], []
         for h, k, is_hub, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-            s = shingles(text.as_py(), words)
+            s = shingles(unpack(text.as_py()), words)
+            if set_key(s) != k:
+                continue
             if is_hub:
                 hub, own = h, s
             elif h == hub and linked(own, s, num, den):
@@ -222,14 +240,17 @@ def _test(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _links(pairs: DataFrame, source: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link. A hub (a) with many partners is dealt to several tasks."""
     hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / HUB_MEMBERS).cast("int").alias("parts"))
     salted = pairs.join(hubs, "a").select("a", F.col("b").alias("key"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("is_hub"))
     heads = hubs.select("a", F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("is_hub"))
-    rows = salted.union(heads).join(texts, "key").select("a", "key", "is_hub", "text", "salt")
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("is_hub")).drop("salt")
-    return materialise(rows.mapInArrow(partial(_test, words=words, num=num, den=den), "a long, b long"), "join-links")
+    named = materialise(salted.union(heads).join(classes, "key").select("doc_id", "a", "key", "is_hub", "salt"), "join-named")
+    texts = source.mapInArrow(_packed, "doc_id long, text binary")
+    rows = named.join(texts, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("is_hub")).select("a", "key", "is_hub", "text")
+    out = materialise(rows.mapInArrow(partial(_test, words=words, num=num, den=den), "a long, b long"), "join-links")
+    discard(named)
+    return out
 
 
 def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -244,38 +265,40 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     entries = sets.agg(F.coalesce(F.sum(F.floor(F.col("n") * (den - num) / den) + 1), F.lit(0)).cast("long")).first()[0]
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BLOCK_ENTRIES))
     packed = source.mapInArrow(partial(_entries, shared=shared, blocks=blocks, words=words, num=num, den=den), "block long, h binary, keys binary, sizes binary")
-    lists = materialise(packed.groupBy("block").applyInPandas(_columns, "list long, keys array<long>, sizes array<int>"), "join-columns")
-
-    # Texts of the sets that share a column, one each: the copy with the smallest id.
-    needed = lists.select(F.explode("keys").alias("key")).distinct()
-    classes = sets.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = classes.join(needed, "key").where("doc_id is not null")
-    fetched = source.join(wanted, "doc_id").select("key", "text").mapInArrow(partial(_own, words=words), "key long, text binary")
-    texts = materialise(fetched.dropDuplicates(["key"]), "join-texts")
-
-    # Round one: neighbours in size and the smallest set of each column.
-    pair = F.transform(F.slice("keys", 2, F.size("keys")), lambda k, i: F.array(F.struct(F.element_at("keys", 1).alias("a"), k.alias("b")), F.struct(F.element_at("keys", i + 1).alias("a"), k.alias("b"))))
-    first = materialise(lists.select(F.explode(F.flatten(pair)).alias("p")).select("p.a", "p.b").distinct(), "join-pairs")
-    links = _links(first, texts, words, num, den)
+    lists = materialise(packed.groupBy("block").applyInPandas(_columns, "list long, keys array<long>, sizes array<int>, times int"), "join-columns")
+    # A set is tested by the text of its smallest id.
+    classes = materialise(sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "join-classes")
+    bound = _sql_bound(num, den)
+
+    # Round one: neighbours in size, and the smallest set of each column.
+    item = lambda i: F.struct(F.element_at("keys", i).alias("key"), F.element_at("sizes", i).cast("long").alias("n"))
+    places = F.sequence(F.lit(2), F.size("keys"))
+    both = F.flatten(F.transform(places, lambda i: F.when(i == 2, F.array(F.struct(item(1).alias("a"), item(i).alias("b")))).otherwise(F.array(F.struct(item(1).alias("a"), item(i).alias("b")), F.struct(item(i - 1).alias("a"), item(i).alias("b"))))))
+    first = lists.select("times", F.explode(both).alias("p")).groupBy(F.col("p.a.key").alias("a"), F.col("p.b.key").alias("b"), F.col("p.a.n").alias("n"), F.col("p.b.n").alias("m")).agg(F.sum("times").alias("shared"))
+    near = first.where(f"{den}L * n >= {num}L * m and 2 * shared >= {bound}")
+    best = near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    first = materialise(best, "join-pairs")
+    links = _links(first, source, classes, words, num, den)
     label = materialise(components(links), "join-label")
 
     # Round two: pairs of a column in different components, within the size bound.
-    member = lists.select("list", F.explode(F.arrays_zip("keys", "sizes")).alias("m")).select("list", F.col("m.keys").alias("key"), F.col("m.sizes").alias("size"))
+    member = lists.select("list", "times", F.explode(F.arrays_zip("keys", "sizes")).alias("m")).select("list", "times", F.col("m.keys").alias("key"), F.col("m.sizes").cast("long").alias("size"))
     member = member.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = member.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
     member = materialise(member.join(mixed, "list", "left_semi"), "join-mixed")
     x, y = member.alias("x"), member.alias("y")
-    bound = f"x.component <> y.component and (x.size < y.size or x.size = y.size and x.key < y.key) and {den}L * x.size >= {num}L * y.size"
-    cross = x.join(y, F.expr(f"x.list = y.list and {bound}")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    fits = f"x.component <> y.component and (x.size < y.size or x.size = y.size and x.key < y.key) and {den}L * x.size >= {num}L * y.size"
+    cross = x.join(y, F.expr(f"x.list = y.list and {fits}")).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.size").alias("n"), F.col("y.size").alias("m")).agg(F.sum("x.times").alias("shared"))
+    cross = cross.where(f"shared >= {bound}").select("a", "b")
     second = materialise(cross.join(first, ["a", "b"], "left_anti"), "join-cross")
-    more = _links(second, texts, words, num, den)
+    more = _links(second, source, classes, words, num, den)
     node = components(links.union(more))
 
     ids = sets.join(node.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = materialise(ids, "join-ids")
     smallest = materialise(ids.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "join-least")
     named = ids.join(smallest, "component", "left")
-    discard(found, lists, texts, first, second, label, member, links, more)
+    discard(found, lists, classes, first, second, label, member, links, more)
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
