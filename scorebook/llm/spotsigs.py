@@ -34,7 +34,7 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     gap, edge = r"[\x20\x09-\x0D]+", r"(?![^\x20\x09-\x0D])"
     anchor = f"(?:{'|'.join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))}){edge}"
     skip = f"(?:{anchor}{gap})*+"
-    word = r"[^\x20\x09-\x0D]+"
+    word = rf"(?!{anchor})[^\x20\x09-\x0D]+"
     # The capture is in a lookahead, so that a chain may run over the anchors that follow.
     pattern = rf"(?<![^\x20\x09-\x0D])(?={'('}{anchor}{(gap + skip + word) * chain}{')'}){anchor}"
     chains = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
