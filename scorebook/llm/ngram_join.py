@@ -4,15 +4,17 @@ Sets of n and m distinct shingles link at 0.75 only if they share at least o = c
 of the P first shingles of the first, in any common order, at least P - n + o are shared, and P is chosen as
 about 3/8 of n. The product therefore runs over those columns only; its columns are dealt into blocks by
 hash, and a block's task sorts its entries and keeps the columns that two different sets hold. Overlap counts
-of pairs accumulate over all blocks, and pairs under their size-derived bound are discarded. The order puts
-frequent shingles last, as told by a count sketch of fixed size over all documents; the order decides cost
-only, never the result.
+of pairs accumulate over all blocks, and pairs under their size-derived bound are discarded.
+
+Columns that many sets hold would give pairs by the square. But if a set has f such columns, a partner shares
+at least bound - f of the others; so frequent columns count only for pairs of which both sets have at least
+the bound of them, and other pairs are held to bound - f on the rare columns alone. That loses no pair.
 
 Links are found in two rounds. Round one counts, per column, each set against its neighbour in size and the
 smallest set, a number of pairs linear in the entries; each set's best partner is tested over the whole sets,
-and those that link join into components. Round two counts every pair of a column whose sets are in different
-components and within the size bound, and tests all that reach the bound, so no link between components is
-missed and large groups of copies never become all their pairs.
+and those that link join into components. Round two counts the pairs of sets in different components and within
+the size bound, and tests all that reach their bound, so no link between components is missed and large groups
+of copies never become all their pairs.
 
 Equal sets are one node, named by 64 bits of a cryptographic digest of the set.
 
@@ -38,8 +40,8 @@ from .common import discard, materialise, small_batches, text_bytes
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-#: Cells of the count sketch, a power of two; 2 bytes each in every task.
-CELLS = 1 << 23
+#: Sets in a column from which on it is frequent.
+FREQUENT = 10
 #: Incidence entries per block.
 BLOCK_ENTRIES = 400_000
 #: Members of one hub tested by one task at most.
@@ -104,55 +106,16 @@ def linked(x: np.ndarray, y: np.ndarray, num: int = NUMERATOR, den: int = DENOMI
     return den * shared >= num * (a + b - shared)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int, cells: int) -> Iterator[pa.RecordBatch]:
-    """A row per document, and at the end the partition's part of the count sketch in 64 slices, 255 a cell at most."""
-    counts = np.zeros(cells, np.uint16)
-    names = ["doc_id", "key", "n", "slice", "counts"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, sizes, cell = [], [], []
-        for text in batch.column(1):
-            s = shingles(text.as_py(), words)
-            keys.append(set_key(s))
-            sizes.append(len(s))
-            cell.append((s & np.uint64(cells - 1)).astype(np.int32))
-        if keys:
-            np.add.at(counts, np.concatenate(cell), 1)
-            np.minimum(counts, 30_000, out=counts)  # a set comes a few thousand times a batch at most
-        none = [None] * len(keys)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((keys, sizes, none, none), types[1:]))], names=names)
-    parts = np.minimum(counts, 255).astype(np.uint8).reshape(64, -1)
-    use = [i for i in range(64) if parts[i].any()]
-    none = [None] * len(use)
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, use, [parts[i].tobytes() for i in use]), types)], names=names)
-
-
-def _add_slices(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, np.uint8).astype(np.uint32) for c in pdf["counts"])
-    return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [total.astype("<u4").tobytes()]})
-
-
-def _levels(slices: list, cells: int) -> np.ndarray:
-    """Per cell how many times twice the mean count it has, as a logarithm: 0 for usual cells."""
-    counts = np.zeros((64, cells // 64), np.uint32)
-    for r in slices:
-        counts[r["slice"]] = np.frombuffer(r["counts"], "<u4")
-    counts = counts.ravel()
-    mean = max(4.0, 2 * counts.mean())
-    return np.where(counts > mean, np.log2(np.maximum(counts, 1) / mean) + 1, 0).astype(np.uint8)
-
-
-def prefix(s: np.ndarray, levels: np.ndarray, p: int) -> np.ndarray:
-    """The p first shingles, rare ones before frequent ones, then by hash."""
-    level = levels[(s & np.uint64(len(levels) - 1)).astype(np.int64)]
-    if level.any():
-        s = s[np.argsort(level, kind="stable")]
-    return s[:p]
-
-
-def _entries(batches: Iterator[pa.RecordBatch], shared, blocks: int, words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+        found = [shingles(text.as_py(), words) for text in batch.column(1)]
+        columns = [batch.column(0), pa.array(map(set_key, found), pa.int64()), pa.array(map(len, found), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n"])
+
+
+def _entries(batches: Iterator[pa.RecordBatch], blocks: int, words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Incidence entries, packed per block: shingle, set and size arrays. A set that a task meets again is left out."""
-    levels, seen, held, n_held = shared.value, set(), [], 0
+    seen, held, n_held = set(), [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         if not held:
@@ -179,7 +142,7 @@ def _entries(batches: Iterator[pa.RecordBatch], shared, blocks: int, words: int,
             if not len(s) or key in seen:
                 continue
             seen.add(key)
-            own = prefix(s, levels, prefix_length(len(s), num, den))
+            own = s[: prefix_length(len(s), num, den)]
             held.append((own, key, len(s)))
             n_held += len(own)
         if n_held > 2_000_000:
@@ -210,7 +173,7 @@ def _columns(pdf: pd.DataFrame) -> pd.DataFrame:
     block = int(pdf["block"].iloc[0])
     return pd.DataFrame({
         "list": np.arange(len(out), dtype=np.int64) + (block << 32),
-        "keys": [np.frombuffer(k, np.int64) for k in out], "sizes": list(out.values()),
+        "keys": pd.Series([np.frombuffer(k, np.int64) for k in out], dtype=object), "sizes": pd.Series(list(out.values()), dtype=object),
         "times": [times[k] for k in out],
     })
 
@@ -258,13 +221,10 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    found = materialise(source.mapInArrow(partial(_sets, words=words, cells=CELLS), "doc_id long, key long, n long, slice int, counts binary"), "join-sets")
-    sets = found.where("slice is null").select("doc_id", "key", "n")
-    slices = found.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(_add_slices, "slice int, counts binary").collect()
-    shared = spark.sparkContext.broadcast(_levels(slices, CELLS))
-    entries = sets.agg(F.coalesce(F.sum(F.floor(F.col("n") * (den - num) / den) + 1), F.lit(0)).cast("long")).first()[0]
+    sets = materialise(source.mapInArrow(partial(_sets, words=words), "doc_id long, key long, n long"), "join-sets")
+    entries = sets.agg(F.coalesce(F.sum(F.floor(F.col("n") * (den - num) / den) + F.floor(F.col("n") / 8) + 1), F.lit(0)).cast("long")).first()[0]
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BLOCK_ENTRIES))
-    packed = source.mapInArrow(partial(_entries, shared=shared, blocks=blocks, words=words, num=num, den=den), "block long, h binary, keys binary, sizes binary")
+    packed = source.mapInArrow(partial(_entries, blocks=blocks, words=words, num=num, den=den), "block long, h binary, keys binary, sizes binary")
     lists = materialise(packed.groupBy("block").applyInPandas(_columns, "list long, keys array<long>, sizes array<int>, times int"), "join-columns")
     # A set is tested by the text of its smallest id.
     classes = materialise(sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "join-classes")
@@ -282,14 +242,21 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     label = materialise(components(links), "join-label")
 
     # Round two: pairs of a column in different components, within the size bound.
-    member = lists.select("list", "times", F.explode(F.arrays_zip("keys", "sizes")).alias("m")).select("list", "times", F.col("m.keys").alias("key"), F.col("m.sizes").cast("long").alias("size"))
+    often = f"size(keys) >= {FREQUENT}"
+    member = lists.select("list", "times", F.expr(often).alias("often"), F.explode(F.arrays_zip("keys", "sizes")).alias("m"))
+    member = member.select("list", "times", "often", F.col("m.keys").alias("key"), F.col("m.sizes").cast("long").alias("n"))
+    held = member.where("often").groupBy("key").agg(F.sum("times").alias("f"))
+    member = member.join(held, "key", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    # No pair's bound is under an eighth of its smaller set, which has 3/4 of the larger one's size.
+    member = member.where(f"not often or 8L * {den} * f >= {num}L * n")
     member = member.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = member.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
     member = materialise(member.join(mixed, "list", "left_semi"), "join-mixed")
-    x, y = member.alias("x"), member.alias("y")
-    fits = f"x.component <> y.component and (x.size < y.size or x.size = y.size and x.key < y.key) and {den}L * x.size >= {num}L * y.size"
-    cross = x.join(y, F.expr(f"x.list = y.list and {fits}")).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.size").alias("n"), F.col("y.size").alias("m")).agg(F.sum("x.times").alias("shared"))
-    cross = cross.where(f"shared >= {bound}").select("a", "b")
+    side = lambda a, n: member.select("list", "times", "often", *[F.col(c).alias(to) for c, to in (("key", a), ("n", n), ("f", f"f{n}"), ("component", f"c{n}"))])
+    fits = f"cn <> cm and (n < m or n = m and a < b) and {den}L * n >= {num}L * m and (not x.often or least(fn, fm) >= {bound})"
+    cross = side("a", "n").alias("x").join(side("b", "m").alias("y"), F.expr(f"x.list = y.list and {fits}"))
+    cross = cross.groupBy("a", "b", "n", "m", "fn", "fm").agg(F.sum("x.times").alias("shared"))
+    cross = cross.where(f"shared >= {bound} - if(least(fn, fm) >= {bound}, 0, least(fn, fm))").select("a", "b")
     second = materialise(cross.join(first, ["a", "b"], "left_anti"), "join-cross")
     more = _links(second, source, classes, words, num, den)
     node = components(links.union(more))
@@ -298,7 +265,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     ids = materialise(ids, "join-ids")
     smallest = materialise(ids.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "join-least")
     named = ids.join(smallest, "component", "left")
-    discard(found, lists, classes, first, second, label, member, links, more)
+    discard(lists, classes, first, second, label, member, links, more)
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
