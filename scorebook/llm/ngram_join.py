@@ -88,6 +88,12 @@ def prefix_length(n: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
     return n - -(-num * n // den) + n // 8 + 1 if n else 0
 
 
+def least_shared(n, m, num: int = NUMERATOR, den: int = DENOMINATOR):
+    """The least number of prefix columns that linked sets of sizes n and m share; arrays or numbers."""
+    overlap = -(-num * (n + m) // (num + den))
+    return np.minimum(overlap - -(-num * n // den) + n // 8 + 1, overlap - -(-num * m // den) + m // 8 + 1)
+
+
 def _sql_bound(num: int, den: int) -> str:
     """SQL of the least number of prefix columns that linked sets of sizes n and m share."""
     overlap = f"(({num}L * (n + m) + {num + den - 1}) div {num + den})"
@@ -178,6 +184,47 @@ def _columns(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def _overlaps(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Overlap counts of one block's pairs that are in different components and may still link; see the module."""
+    pdf = pdf.sort_values(["list", "n", "key"], kind="stable")
+    keys, node = np.unique(pdf["key"].to_numpy(), return_inverse=True)
+    size, held, part = (np.zeros(len(keys), np.int64) for _ in range(3))
+    size[node], held[node], part[node] = pdf["n"], pdf["f"], pdf["component"]
+    lists, often, times = pdf["list"].to_numpy(), pdf["often"].to_numpy(), pdf["times"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
+    total: list[tuple[np.ndarray, np.ndarray]] = []
+    pairs, counts, waiting = [], [], 0
+
+    def fold() -> None:
+        if pairs:
+            code, at = np.unique(np.concatenate(pairs), return_inverse=True)
+            total.append((code, np.bincount(at, np.concatenate(counts))))
+            pairs.clear()
+            counts.clear()
+
+    for a, b in zip(starts, np.r_[starts[1:], len(lists)]):
+        own = node[a:b]
+        for i in range(len(own) - 1):
+            x, others = own[i], own[i + 1 :]
+            others = others[: np.searchsorted(size[others] * num, size[x] * den, side="right")]
+            others = others[part[others] != part[x]]
+            if often[a] and len(others):
+                others = others[np.minimum(held[others], held[x]) >= least_shared(size[x], size[others], num, den)]
+            if len(others):
+                pairs.append(x * len(keys) + others)
+                counts.append(np.full(len(others), times[a]))
+                waiting += len(others)
+        if waiting > 2_000_000:
+            fold()
+            waiting = 0
+    fold()
+    code = np.concatenate([c for c, _ in total]) if total else np.empty(0, np.int64)
+    code, at = np.unique(code, return_inverse=True)
+    shared = np.bincount(at, np.concatenate([n for _, n in total]), len(code)) if total else np.empty(0)
+    x, y = code // max(1, len(keys)), code % max(1, len(keys))
+    return pd.DataFrame({"a": keys[x], "b": keys[y], "n": size[x], "m": size[y], "fn": held[x], "fm": held[y], "shared": shared.astype(np.int64)})
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed for the shuffle."""
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -252,20 +299,27 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     member = member.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = member.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
     member = materialise(member.join(mixed, "list", "left_semi"), "join-mixed")
-    side = lambda a, n: member.select("list", "times", "often", *[F.col(c).alias(to) for c, to in (("key", a), ("n", n), ("f", f"f{n}"), ("component", f"c{n}"))])
-    fits = f"cn <> cm and (n < m or n = m and a < b) and {den}L * n >= {num}L * m and (not x.often or least(fn, fm) >= {bound})"
-    cross = side("a", "n").alias("x").join(side("b", "m").alias("y"), F.expr(f"x.list = y.list and {fits}"))
-    cross = cross.groupBy("a", "b", "n", "m", "fn", "fm").agg(F.sum("x.times").alias("shared"))
-    cross = cross.where(f"shared >= {bound} - if(least(fn, fm) >= {bound}, 0, least(fn, fm))").select("a", "b")
-    second = materialise(cross.join(first, ["a", "b"], "left_anti"), "join-cross")
-    more = _links(second, source, classes, words, num, den)
-    node = components(links.union(more))
+    wide = max(8, -(-member.count() // BLOCK_ENTRIES))
+    cells = member.withColumn("block", F.pmod(F.xxhash64("list"), F.lit(wide))).groupBy("block")
+    found = cells.applyInPandas(partial(_overlaps, num=num, den=den), "a long, b long, n long, m long, fn long, fm long, shared long")
+    found = found.groupBy("a", "b", "n", "m", "fn", "fm").agg(F.sum("shared").alias("shared"))
+    found = found.where(f"shared >= {bound} - if(least(fn, fm) >= {bound}, 0, least(fn, fm))").select("a", "b", "shared")
+    second = materialise(found.join(first, ["a", "b"], "left_anti"), "join-cross")
+
+    # The likeliest partner of each first; most of the other pairs are then within a component.
+    likely = second.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
+    more = _links(likely, source, classes, words, num, den)
+    after = materialise(components(links.union(more)), "join-label")
+    of = lambda c: after.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    open_pairs = second.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not coalesce(ca, a) <=> coalesce(cb, b)").select("a", "b")
+    rest = _links(open_pairs, source, classes, words, num, den)
+    node = components(links.union(more).union(rest))
 
     ids = sets.join(node.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = materialise(ids, "join-ids")
     smallest = materialise(ids.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "join-least")
     named = ids.join(smallest, "component", "left")
-    discard(lists, classes, first, second, label, member, links, more)
+    discard(lists, classes, first, second, label, after, member, links, more, rest)
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
