@@ -324,6 +324,8 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents with one of each component: the one with the smallest id; texts without words stay."""
-    found = join(docs, **options).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each component, the one with the smallest id, repeated rows once. Texts without words or id stay."""
+    found = join(docs, **options).where("doc_id = component_id").select("doc_id")
+    kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi")
+    once = kept.withColumn("_text", F.md5(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return once.unionByName(docs.where("doc_id is null"))

@@ -170,13 +170,13 @@ def fit(rows: DataFrame) -> DataFrame:
 
 
 def assess(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """Counts and verdict per row; with ``carry`` the columns of docs instead of doc_id alone.
+    """Counts and verdict per row; with ``carry`` the row of docs too, as the struct ``_doc``.
 
     q_words ... q_repeats, q_base_failed, q_distance (null where no group is large enough) and q_kept.
     """
-    known = docs if carry else docs.select("doc_id", "text", "lang", "source")
-    stats = statistics(known)
-    stats = materialise(stats if carry else stats.drop("text"), "quality-stats")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")] if carry else []
+    stats = statistics(docs.select("doc_id", "text", "lang", "source", *whole)).drop("text")
+    stats = materialise(stats, "quality-stats")
     rows = grouped(stats.withColumns(features()))
     model = fit(rows.where(~base_failed()).select("g", *FEATURES))
     judged = rows.join(model, "g", "left").withColumn("q_distance", _distance())
@@ -189,4 +189,4 @@ def assess(docs: DataFrame, carry: bool = False) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep."""
-    return assess(docs, carry=True).where("q_kept").select(*docs.columns)
+    return assess(docs, carry=True).where("q_kept").select("_doc.*")

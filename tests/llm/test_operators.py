@@ -212,7 +212,7 @@ def test_quality_counts(docs, rows, empty):
     got = quality.assess(docs, carry=True).collect()
     assert len(got) == len(rows)
     for r in got:
-        t, w = r["text"] or "", words(r["text"])
+        t, w = r["_doc"]["text"] or "", words(r["_doc"]["text"])
         at: dict = {}
         for i in range(len(w) - 4):
             at.setdefault(tuple(w[i : i + 5]), []).append(i)
@@ -221,7 +221,7 @@ def test_quality_counts(docs, rows, empty):
         assert (r["q_words"], r["q_word_chars"], r["q_symbols"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t))
         assert (r["q_dup_lines"], r["q_repeats"]) == (len(lines) - len(set(lines)), len(twice))
         assert r["q_base_failed"] == (len(w) < 10 or 100 * len(twice) > 20 * len(w)) and not (r["q_base_failed"] and r["q_kept"])
-    assert quality.assess(empty).count() == 0
+    assert quality.assess(empty).count() == 0 and quality.keep_good(docs.withColumn("g", F.lit(1))).columns == [*docs.columns, "g"]
 
 
 def test_quality_outliers(spark):
