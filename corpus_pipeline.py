@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scorebook.llm import common, mixing, ngram_join, packing, quality, queries, secrets
 
@@ -19,7 +20,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and n_chars to match."""
-    return secrets.redact(docs, *queries.tiktoken_vocabulary())
+    return secrets.redact(docs, *queries.tiktoken_vocabulary()).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
