@@ -155,7 +155,61 @@ def fn_fingerprint(spark, d):
     return rows.select("o_orderkey", "f.facet", "f.fingerprint")
 
 
+def _status(outcome):
+    """Outcomes of the old body form as statuses of runs."""
+    return F.when(outcome == "error", "error").when(outcome == "view", "skipped").otherwise("ok")
+
+
+def der_split_v1(spark, d):
+    """Old bodies with runs in them, cut into runs: of equal ids in a body the last wins."""
+    item = F.struct(F.col("version_id").alias("at"), F.get_json_object("body", "$.k").alias("run_id"), F.col("type").alias("outcome"))
+    whole = c.bodies(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(item)).alias("runs"))
+    cut = whole.select("record_id", F.posexplode("runs").alias("position", "r")).select("record_id", "position", "r.run_id", _status(F.col("r.outcome")).alias("status"))
+    return derive.last_wins(cut, ["record_id", "run_id"], "position").select("record_id", "run_id", "status")
+
+
+def der_batch_atomic(spark, d):
+    """Batches (one a user) are written whole or, with any failing element, not at all; failing ones are all reported."""
+    b = c.bodies(spark, d).groupBy("record_id").agg(F.count("*").alias("elements"), F.count_if(F.col("type") == "error").alias("failing"))
+    return b.select("record_id", "failing", F.when(F.col("failing") == 0, F.col("elements")).otherwise(0).alias("written"))
+
+
+def op_ingest(spark, d):
+    """Bodies in order of arrival become versions; one equal to the latest is not written again."""
+    from pyspark.sql import Window
+
+    by_time = Window.partitionBy("record_id").orderBy("created_at", "version_id")
+    b = c.bodies(spark, d).withColumn("digest", F.sha2("body", 256))
+    new = b.withColumn("before", F.lag("digest").over(by_time)).where("before is null or before <> digest")
+    return new.select("version_id", "record_id", F.row_number().over(by_time).cast("long").alias("seq"), "digest")
+
+
+def op_registry_put(spark, d):
+    """Entries are immutable: only ids that are not registered are appended."""
+    new = c.table(spark, d, "lineitem").select(F.lit("metrics").alias("kind"), F.concat("l_returnflag", "l_linestatus").alias("id")).union(c.registry(spark, d)).distinct()
+    return new.join(c.registry(spark, d), ["kind", "id"], "left_anti")
+
+
+def der_attachment_paths(spark, d):
+    """Paths that more than one part of a brand has."""
+    parts = c.table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.count("*").alias("times"))
+    return parts.where("times > 1").select(F.col("p_brand").alias("owner"), F.regexp_replace("p_name", " ", "/").alias("path"), "times")
+
+
+def op_relation_add(spark, d):
+    """Edges added later: only those that are not there yet."""
+    e = c.edges(spark, d).where("type = 'uses'")
+    more = c.table(spark, d, "orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("from_id"), F.lit("uses").alias("type"), F.concat(F.lit("p:"), (F.col("o_orderkey") % 10).cast("string")).alias("to_id"))
+    return e.unionByName(more.join(e, ["from_id", "type", "to_id"], "left_anti"))
+
+
 SQL = {
+    "der_split_v1": "select record_id, json_extract_string(body, '$.k') as run_id, max_by(case type when 'error' then 'error' when 'view' then 'skipped' else 'ok' end, version_id) as status from bodies group by 1, 2",
+    "der_batch_atomic": "select record_id, count(*) filter (where type = 'error') as failing, case when count(*) filter (where type = 'error') = 0 then count(*) else 0 end as written from bodies group by 1",
+    "op_ingest": "select version_id, record_id, row_number() over (partition by record_id order by created_at, version_id) as seq, sha256(body) as digest from (select *, lag(body) over (partition by record_id order by created_at, version_id) as before from bodies) where before is null or before <> body",
+    "op_registry_put": "select distinct 'metrics' as kind, l_returnflag || l_linestatus as id from lineitem",
+    "der_attachment_paths": "select p_brand as owner, replace(p_name, ' ', '/') as path, count(*) as times from part group by 1, 2 having count(*) > 1",
+    "op_relation_add": "select * from edges where type = 'uses' union select 'o:' || o_orderkey, 'uses', 'p:' || (o_orderkey % 10) from orders",
     "der_changed": "select version_id, seq, concat_ws(',', case when p is null or env is distinct from pe then 'env' end, case when p is null or model_id is distinct from pm then 'model_id' end, case when p is null or temperature is distinct from pt then 'temperature' end) as changed from (select *, lag(version_id) over w as p, lag(env) over w as pe, lag(model_id) over w as pm, lag(temperature) over w as pt from versions where not tombstoned window w as (partition by record_id order by seq))",
     "der_changed_turns": "select conv_id as record_id, turn as seq, case when lag(role) over (partition by conv_id order by turn) is distinct from role then 'role' else '' end as changed from conversations",
     "der_validate_record": "select l_orderkey, l_linenumber, l_partkey, '/discount' as path, 'out_of_range' as code from lineitem where l_discount > 0.08 union all select l_orderkey, l_linenumber, l_partkey, '/n', 'too_small' from lineitem where l_quantity < 2 union all select l_orderkey, l_linenumber, l_partkey, '/tax', 'inconsistent' from lineitem where l_tax * 100 > l_quantity",
