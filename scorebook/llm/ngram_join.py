@@ -47,7 +47,7 @@ BLOCK_ENTRIES = 400_000
 #: Members of one hub tested by one task at most.
 HUB_MEMBERS = 2000
 #: Words of one worker whose hashes are kept; then it starts anew.
-CACHE = 400_000
+CACHE = 200_000
 
 
 class _Words(dict):
@@ -151,7 +151,7 @@ def _entries(batches: Iterator[pa.RecordBatch], blocks: int, words: int, num: in
             own = s[: prefix_length(len(s), num, den)]
             held.append((own, key, len(s)))
             n_held += len(own)
-        if n_held > 2_000_000:
+        if n_held > 600_000:
             yield from flush()
             n_held = 0
     yield from flush()
@@ -184,8 +184,11 @@ def _columns(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def _overlaps(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Overlap counts of one block's pairs that are in different components and may still link; see the module."""
+def _overlaps(pdf: pd.DataFrame, wide: int, num: int, den: int) -> pd.DataFrame:
+    """Overlap counts of one block's pairs that are in different components and may still link; see the module.
+
+    A pair that reaches its bound has at least its share of it in one of the ``wide`` blocks; lower counts stay here.
+    """
     pdf = pdf.sort_values(["list", "n", "key"], kind="stable")
     keys, node = np.unique(pdf["key"].to_numpy(), return_inverse=True)
     size, held, part = (np.zeros(len(keys), np.int64) for _ in range(3))
@@ -214,7 +217,7 @@ def _overlaps(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
                 pairs.append(x * len(keys) + others)
                 counts.append(np.full(len(others), times[a]))
                 waiting += len(others)
-        if waiting > 2_000_000:
+        if waiting > 500_000:
             fold()
             waiting = 0
     fold()
@@ -222,7 +225,11 @@ def _overlaps(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     code, at = np.unique(code, return_inverse=True)
     shared = np.bincount(at, np.concatenate([n for _, n in total]), len(code)) if total else np.empty(0)
     x, y = code // max(1, len(keys)), code % max(1, len(keys))
-    return pd.DataFrame({"a": keys[x], "b": keys[y], "n": size[x], "m": size[y], "fn": held[x], "fm": held[y], "shared": shared.astype(np.int64)})
+    bound, both = least_shared(size[x], size[y], num, den), np.minimum(held[x], held[y])
+    bound = bound - np.where(both >= bound, 0, both)
+    ok = shared >= -(-bound // wide)
+    x, y = x[ok], y[ok]
+    return pd.DataFrame({"a": keys[x], "b": keys[y], "bound": bound[ok], "shared": shared[ok].astype(np.int64)})
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,17 +257,13 @@ def _test(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) ->
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, source: DataFrame, classes: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that link. A hub (a) with many partners is dealt to several tasks."""
     hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / HUB_MEMBERS).cast("int").alias("parts"))
     salted = pairs.join(hubs, "a").select("a", F.col("b").alias("key"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("is_hub"))
     heads = hubs.select("a", F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("is_hub"))
-    named = materialise(salted.union(heads).join(classes, "key").select("doc_id", "a", "key", "is_hub", "salt"), "join-named")
-    texts = source.mapInArrow(_packed, "doc_id long, text binary")
-    rows = named.join(texts, "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("is_hub")).select("a", "key", "is_hub", "text")
-    out = materialise(rows.mapInArrow(partial(_test, words=words, num=num, den=den), "a long, b long"), "join-links")
-    discard(named)
-    return out
+    rows = salted.union(heads).join(texts, "key").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("is_hub")).select("a", "key", "is_hub", "text")
+    return materialise(rows.mapInArrow(partial(_test, words=words, num=num, den=den), "a long, b long"), "join-links")
 
 
 def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
@@ -273,8 +276,12 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BLOCK_ENTRIES))
     packed = source.mapInArrow(partial(_entries, blocks=blocks, words=words, num=num, den=den), "block long, h binary, keys binary, sizes binary")
     lists = materialise(packed.groupBy("block").applyInPandas(_columns, "list long, keys array<long>, sizes array<int>, times int"), "join-columns")
-    # A set is tested by the text of its smallest id.
-    classes = materialise(sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "join-classes")
+    # Texts that may be tested, fetched once: no pair's bound is under an eighth of its smaller set, which has 3/4 of the
+    # larger one's size, so a set with fewer columns in common with others links with none. The smallest id gives the text.
+    held = lists.select("times", F.explode(F.arrays_zip("keys", "sizes")).alias("m")).groupBy(F.col("m.keys").alias("key"), F.col("m.sizes").cast("long").alias("n"))
+    able = held.agg(F.sum("times").alias("g")).where(f"8L * {den} * g >= {num}L * n").select("key")
+    wanted = sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(able, "key")
+    texts = materialise(source.mapInArrow(_packed, "doc_id long, text binary").join(wanted, "doc_id").select("key", "text"), "join-texts")
     bound = _sql_bound(num, den)
 
     # Round one: neighbours in size, and the smallest set of each column.
@@ -285,7 +292,7 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     near = first.where(f"{den}L * n >= {num}L * m and 2 * shared >= {bound}")
     best = near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     first = materialise(best, "join-pairs")
-    links = _links(first, source, classes, words, num, den)
+    links = _links(first, texts, words, num, den)
     label = materialise(components(links), "join-label")
 
     # Round two: pairs of a column in different components, within the size bound.
@@ -301,25 +308,26 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     member = materialise(member.join(mixed, "list", "left_semi"), "join-mixed")
     wide = max(8, -(-member.count() // BLOCK_ENTRIES))
     cells = member.withColumn("block", F.pmod(F.xxhash64("list"), F.lit(wide))).groupBy("block")
-    found = cells.applyInPandas(partial(_overlaps, num=num, den=den), "a long, b long, n long, m long, fn long, fm long, shared long")
-    found = found.groupBy("a", "b", "n", "m", "fn", "fm").agg(F.sum("shared").alias("shared"))
-    found = found.where(f"shared >= {bound} - if(least(fn, fm) >= {bound}, 0, least(fn, fm))").select("a", "b", "shared")
+    found = cells.applyInPandas(partial(_overlaps, wide=wide, num=num, den=den), "a long, b long, bound long, shared long")
+    found = found.groupBy("a", "b", "bound").agg(F.sum("shared").alias("shared"), F.count("*").alias("blocks"))
+    # The blocks that kept quiet had less than the share each.
+    found = found.where(f"shared + ({wide} - blocks) * ((bound + {wide - 1}) div {wide} - 1) >= bound").select("a", "b", "shared")
     second = materialise(found.join(first, ["a", "b"], "left_anti"), "join-cross")
 
     # The likeliest partner of each first; most of the other pairs are then within a component.
     likely = second.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    more = _links(likely, source, classes, words, num, den)
+    more = _links(likely, texts, words, num, den)
     after = materialise(components(links.union(more)), "join-label")
     of = lambda c: after.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     open_pairs = second.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not coalesce(ca, a) <=> coalesce(cb, b)").select("a", "b")
-    rest = _links(open_pairs, source, classes, words, num, den)
+    rest = _links(open_pairs, texts, words, num, den)
     node = components(links.union(more).union(rest))
 
     ids = sets.join(node.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     ids = materialise(ids, "join-ids")
     smallest = materialise(ids.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "join-least")
     named = ids.join(smallest, "component", "left")
-    discard(lists, classes, first, second, label, after, member, links, more, rest)
+    discard(lists, texts, first, second, label, after, member, links, more, rest)
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
