@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import tempfile
 import uuid
 
@@ -98,3 +99,17 @@ def ranked(df: DataFrame, keys: list, name: str) -> tuple[DataFrame, int]:
     """The rows with a dense global ``rank`` from 0 in order of the keys, and their number."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return offsets_of(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys), name)
+
+
+_encodings: dict[tuple[str, str], object] = {}
+
+
+def tiktoken_encoding(path: str, pattern: str):
+    """The vocabulary of a ranks file, read once per worker."""
+    if (path, pattern) not in _encodings:
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        _encodings[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[path, pattern]

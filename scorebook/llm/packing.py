@@ -12,6 +12,7 @@ no rows; a null doc_id is carried as null; further columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -21,14 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tiktoken_encoding
 
 WINDOW = 2048
 END_ID = 1
 #: Windows that one task holds open; beyond it the open ones are topped up and closed. 8 kB each at most.
 MAX_OPEN = 4096
-#: Distinct text chunks whose ids a worker keeps; then it starts anew.
-CACHE = 300_000
+#: Distinct text chunks of a generation whose ids a worker keeps; there are two.
+CACHE = 150_000
 
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -36,51 +37,48 @@ SCHEMA = pa.schema([
 ])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[tuple, tuple] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def _tokenizer(path: str, ranks: str, pattern: str):
+    """The tokenizer, the same vocabulary as ranks for short chunks, and two generations of known chunks."""
+    key = (path, ranks, pattern)
+    if key not in _tokenizers:
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        _tokenizers[key] = (Tokenizer.from_file(path), tiktoken_encoding(ranks, pattern), {}, {})
+    return _tokenizers[key]
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def encode(texts: list[str], path: str, ranks: str, pattern: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
     The byte-level vocabulary never merges across a space that a non-space follows, so a text is cut at each
-    such space, and the ids of a chunk are looked up once per worker. A text that could hold a special
-    token's string is encoded whole.
+    such space, and the ids of a chunk are worked out once while a worker knows it. The ids are those of the
+    tokenizer file; the same vocabulary as tiktoken ranks gives them faster for short chunks. A text that could
+    hold a special token's string goes to the tokenizer whole.
     """
-    tokenizer, known = _tokenizer(path)
-    if len(known) > CACHE:
+    tokenizer, encoding, known, older = _tokenizer(path, ranks, pattern)
+    ordinary = encoding.encode_ordinary
+    if len(known) > CACHE:  # what was not met since the last time goes
+        older.clear()
+        older.update(known)
         known.clear()
-    cut = []
+    out = []
     for text in texts:
         if "<|" in text:
-            cut.append(None)
+            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             continue
         parts = text.split(" ")
         if "" in parts:
             parts = _chunks(parts)
         else:
             parts[1:] = [" " + p for p in parts[1:]]
-        cut.append(parts)
-    new = list({p for parts in cut if parts for p in parts if p not in known})
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        for chunk, made in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            known[chunk] = np.array(made.ids, "<u4").tobytes()
-    look = known.__getitem__
-    return [
-        np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if parts is None else b"".join(map(look, parts))
-        for text, parts in zip(texts, cut)
-    ]
+        for p in parts:
+            if p not in known:
+                known[p] = older.get(p) or array("I", ordinary(p)).tobytes()
+        out.append(b"".join(map(known.__getitem__, parts)))
+    return out
 
 
 def _chunks(parts: list[str]) -> list[str]:
@@ -154,7 +152,7 @@ class LevelArray:
             lo += 1
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], vocabulary: tuple, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
     sequence = TaskContext.get().partitionId() << 40
     levels, end = LevelArray(window), np.array([end_id], "<u4").tobytes()
     rows: list[tuple] = []
@@ -174,7 +172,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
 
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        for doc, ids in zip(batch.column(0).to_pylist(), encode(texts, path)):
+        for doc, ids in zip(batch.column(0).to_pylist(), encode(texts, *vocabulary)):
             ids += end
             total = len(ids) // 4
             whole = total // window * window
@@ -193,8 +191,8 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int
     yield from flush()
 
 
-def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str, pattern: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     small_batches(docs.sparkSession)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return chosen.mapInArrow(partial(_pack, path=tokenizer_path, window=window, end_id=end_id), DDL)
+    return chosen.mapInArrow(partial(_pack, vocabulary=(tokenizer_path, ranks_path, pattern), window=window, end_id=end_id), DDL)

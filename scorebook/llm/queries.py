@@ -59,7 +59,7 @@ def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(common.read(spark, sf_dir, "documents"), tokenizer_json())
+    return packing.pack(common.read(spark, sf_dir, "documents"), tokenizer_json(), *tiktoken_vocabulary())
 
 
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

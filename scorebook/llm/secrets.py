@@ -11,7 +11,6 @@ no rows; spans count code points, end exclusive; texts of any length are scanned
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tiktoken_encoding
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -41,19 +40,6 @@ SCHEMA = pa.schema([
 ])
 DDL = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
-_encodings: dict[str, object] = {}
-
-
-def _encoding(path: str, pattern: str):
-    if path not in _encodings:
-        import tiktoken
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encodings[path] = tiktoken.Encoding("secret-scan", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _encodings[path]
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed rules, leftmost and non-overlapping within a kind."""
     found = []
@@ -86,7 +72,7 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch], path: str, pattern: str, max_ratio: float) -> Iterator[pa.RecordBatch]:
-    encoding = _encoding(path, pattern)
+    encoding = tiktoken_encoding(path, pattern)
     for batch in batches:
         rows = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -106,7 +92,7 @@ def scan(docs: DataFrame, vocabulary_path: str, pattern: str, max_ratio: float =
 
 
 def _redact(batches: Iterator[pa.RecordBatch], path: str, pattern: str, max_ratio: float, mark: str) -> Iterator[pa.RecordBatch]:
-    encoding = _encoding(path, pattern)
+    encoding = tiktoken_encoding(path, pattern)
     for batch in batches:
         out = []
         for text in batch.column("text"):

@@ -370,7 +370,7 @@ def test_packing(docs, rows, empty):
     some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t, *_ in rows if i is not None}
     for window in (64, 2048):
-        got = packing.pack(some, path, window).toPandas()
+        got = packing.pack(some, path, *queries.tiktoken_vocabulary(), window).toPandas()
         for doc, own in got.groupby("doc_id"):
             at = 0
             for p in own.sort_values("start").itertuples():
@@ -385,7 +385,8 @@ def test_packing(docs, rows, empty):
             assert list(s["offset"]) == [0, *s["length"].cumsum()[:-1]] and s["length"].sum() <= window
             short += s["length"].sum() < window
         assert short <= some.rdd.getNumPartitions()
-    assert packing.pack(empty, path).count() == 0 and packing.pack(docs, path).count() >= len(rows)
+    whole = (path, *queries.tiktoken_vocabulary())
+    assert packing.pack(empty, *whole).count() == 0 and packing.pack(docs, *whole).count() >= len(rows)
 
 
 def test_encoding_by_chunks():
@@ -395,7 +396,7 @@ def test_encoding_by_chunks():
     tokenizer = Tokenizer.from_file(path)
     r = random.Random(4)
     texts = ["".join(r.choices([" ", "  ", "\n", "\t", " ", "a", "it's", "É", "12", "!?", "<|endoftext|>", "word", "　"], k=r.randint(0, 30))) for _ in range(3000)]
-    for text, made in zip(texts, packing.encode(texts, path)):
+    for text, made in zip(texts, packing.encode(texts, path, *queries.tiktoken_vocabulary())):
         assert np.frombuffer(made, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
