@@ -30,7 +30,7 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 2048 tokens."""
-    return packing.pack(docs, queries.tokenizer_json())
+    return packing.pack(docs, queries.tokenizer_json(), *queries.tiktoken_vocabulary())
 
 
 STAGES = [
