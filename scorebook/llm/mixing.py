@@ -36,19 +36,21 @@ def _name(domain: tuple[int, int]) -> str:
     return f"p_quality{domain[0]}_toxic{domain[1]}"
 
 
-def _tokens(text: Column) -> Column:
-    """Distinct lower-case words without end punctuation, and tokens for the shares of symbols, capitals and new words."""
+def _worded(docs: DataFrame) -> DataFrame:
+    """Adds lower-case words without end punctuation (``_words``), the distinct ones (``_new``) and n_tokens."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D.,;:!?]+"), lambda w: w != "")
     symbols = F.char_length(F.regexp_replace(text, r"[^#*$%&|<>]+", ""))
-    capitals = F.char_length(F.regexp_replace(text, r"[^\p{Lu}]+", ""))
-    new = F.array_distinct(words)
-    tenths = lambda name, a, b: F.concat(F.lit(f" {name} "), F.least(F.lit(10), F.floor(10 * a / (b + 1))).cast("string"))
-    return F.concat(new, F.array(tenths("symbols", symbols, F.size(words)), tenths("capitals", capitals, F.char_length(text)), tenths("new", F.size(new), F.size(words))))
+    out = docs.withColumns({"_words": words, "_symbols": symbols}).drop("text")
+    return out.withColumns({"_new": F.array_distinct("_words"), "n_tokens": F.size("_words").cast("long")}).drop("_words")
 
 
-def _cells(docs: DataFrame) -> DataFrame:
-    """A row per document and distinct cell of its tokens."""
-    return docs.withColumn("cell", F.explode(_tokens(F.coalesce("text", F.lit(""))))).withColumn("cell", F.pmod(F.xxhash64("cell"), F.lit(CELLS)).cast("int"))
+def _cells(worded: DataFrame) -> DataFrame:
+    """A row per document and distinct cell: its words, and tokens for the shares of symbols and of new words."""
+    tenths = lambda name, a: F.concat(F.lit(f" {name} "), F.least(F.lit(10), F.floor(10 * a / (F.col("n_tokens") + 1))).cast("string"))
+    tokens = F.concat(F.col("_new"), F.array(tenths("symbols", F.col("_symbols")), tenths("new", F.size("_new"))))
+    rows = worded.withColumn("cell", F.explode(tokens)).drop("_new", "_symbols")
+    return rows.withColumn("cell", F.pmod(F.xxhash64("cell"), F.lit(CELLS)).cast("int"))
 
 
 def classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, dict[str, float]]:
@@ -56,7 +58,7 @@ def classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.max(c).alias(f"_{c}") for c in LABELS])
     some = one.where(" and ".join(f"_{c} in (0, 1)" for c in LABELS)).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(some), "_id").dropDuplicates(["text"])
-    counts = _cells(rows.select("text", *[f"_{c}" for c in LABELS])).groupBy("cell").agg(
+    counts = _cells(_worded(rows.select("text", *[f"_{c}" for c in LABELS]))).groupBy("cell").agg(
         F.count("*").alias("n"), *[F.sum(f"_{c}").cast("long").alias(f"n_{c}") for c in LABELS]
     )
     counts = materialise(counts, "mixing-cells")
@@ -81,9 +83,8 @@ def classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """row, doc_id, n_tokens and a posterior per domain, for every row of docs in order of scan."""
     model, prior = classifier(docs, labels, fit_rows)
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", n.alias("n_tokens")).withColumn("row", F.monotonically_increasing_id())
-    cells = _cells(rows).select("row", "doc_id", "n_tokens", "cell")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
+    cells = _cells(_worded(rows)).select("row", "doc_id", "n_tokens", "cell")
     odds = cells.join(F.broadcast(model), "cell", "left").groupBy("row", "doc_id", "n_tokens").agg(*[F.coalesce(F.sum(f"w_{c}"), F.lit(0.0)).alias(c) for c in LABELS])
     yes = {c: 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col(c) + prior[c])))) for c in LABELS}
     part = lambda c, v: yes[c] if v else 1 - yes[c]
