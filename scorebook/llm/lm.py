@@ -1,22 +1,27 @@
 """N-gram language model as a weighted backoff automaton.
 
-Unigram counts of all training tokens are exact and stay distributed. The most frequent words (the head, of
-bounded number) go to every task; n-grams over the most frequent of those, counted over all training text and
-pruned to a bounded number, become arcs. A state is the longest context that has arcs; its failure arc leads to
-the next shorter context with the backoff weight. One left-to-right pass over a text carries the state and
-adds log probabilities. Words outside the head reset the state to the root and need only their own count: they
-leave the pass as rows, meet the counts in a shuffle join, and come back as one sum per text.
+Words, pairs and triples of all training text are counted, named by 64-bit hashes, and stay distributed; only
+pairs and triples that occur once are left out. A context's arcs are the n-grams that go on from it; its failure
+arc leads to the next shorter context with the backoff weight. Pushing weights along the failure arcs leaves one
+number per n-gram: what its arc adds over the arc of the next shorter context, and what leaving its own state
+costs. So the score of a text is the sum over the n-grams in it. The most frequent n-grams (the hot head, of
+bounded number) go to every task; the others leave the pass as rows, meet the weights in a shuffle join, and come
+back as one sum per text. The head's size changes no result.
 
 Smoothing: the root is add-one over the training vocabulary, (c+1)/(N+V+1); higher contexts take an absolute
 discount off each kept n-gram and give the freed mass to the failure arc, so each state's distribution sums to
 one over the vocabulary and one unknown word.
 
+A caller who gives a bound (``head``, ``bigram_words``, ``trigram_words``, ``max_grams``) gets a small model
+instead, a whole automaton in every task over the most frequent words; no registered query does.
+
 Defined results: null or empty text is the end token alone; repeated rows are scored once each and count once
 each in training; with nothing to learn from every token has probability 1/(0+0+1); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 from collections import Counter
@@ -30,7 +35,11 @@ from pyspark.sql import functions as F
 
 from .common import discard, id_remainder, materialise, small_batches, text_bytes
 
-#: Bounds of what each task holds: head words, words that n-grams may have (bigrams, trigrams), n-grams.
+#: Most frequent n-grams that each task holds; the others are joined.
+HOT = 1 << 20
+#: Tokens of which a task counts the n-grams before it hands them on.
+COUNT_TOKENS = 1_000_000
+#: Bounds of the small model, those not given: head words, words that n-grams may have (bigrams, trigrams), n-grams.
 HEAD, BIGRAM_WORDS, TRIGRAM_WORDS, MAX_GRAMS = 1 << 18, 2048, 256, 200_000
 DISCOUNT = 0.5
 #: Distinct words, or n-grams, that a task counts before it hands them on.
@@ -233,11 +242,195 @@ def _score(batches: Iterator[pa.RecordBatch], shared, grams, key: str, bi: int)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
-def score(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, head: int = HEAD, bigram_words: int = BIGRAM_WORDS, trigram_words: int = TRIGRAM_WORDS, max_grams: int = MAX_GRAMS) -> DataFrame:
+class WordKeys(dict):
+    """64-bit names of words, each worked out once while it is known."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > FLUSH:
+            self.clear()
+        key = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return key
+
+
+#: Names of the end token, and of the beginning, which is no word: words hold no space.
+END_KEY, BEGIN_KEY = WordKeys()[END], WordKeys()[b" "]
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    h = (seed + (_P5 + np.uint64(8))) ^ _turned(x * _P2, 31) * _P1
+    h = _turned(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+def gram_keys(pre: np.ndarray, suf: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64(pre, suf): the name of an n-gram from those of its first and its last n - 1 words."""
+    return _hash_long(suf.view(np.uint64), _hash_long(pre.view(np.uint64), np.full(len(pre), 42, np.uint64))).view(np.int64)
+
+
+def _grams(texts: list[bytes], keys: WordKeys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names of the word, pair and triple that end at each place, a row per place; its place in its text; the texts' starts."""
+    ids: list[int] = []
+    starts = []
+    for text in texts:
+        starts.append(len(ids))
+        ids.append(BEGIN_KEY)
+        ids += [keys[w] for w in text.lower().split()]
+        ids.append(END_KEY)
+    out = np.zeros((3, len(ids)), np.int64)
+    out[0] = ids
+    out[1, 1:] = gram_keys(out[0, :-1], out[0, 1:])
+    out[2, 1:] = gram_keys(out[1, :-1], out[1, 1:])
+    first = np.array(starts, np.int64)
+    at = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
+    return out, at, first
+
+
+def _count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (n = 1, pre = 0), pairs and triples."""
+    keys = WordKeys()
+    texts: list[bytes] = []
+    size = 0
+
+    def flush():
+        names, at, _ = _grams(texts, keys)
+        for n in range(3):
+            own = np.flatnonzero(at > max(0, n - 1))
+            _, i, c = np.unique(names[n, own], return_index=True, return_counts=True)
+            i = own[i]
+            pre, suf = (names[n - 1, i - 1], names[n - 1, i]) if n else (np.zeros(len(i), np.int64), names[0, i])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n + 1, np.int32)), pa.array(pre), pa.array(suf), pa.array(c.astype(np.int64))], names=["n", "pre", "suf", "c"])
+
+    for batch in batches:
+        for text in batch.column(0):
+            texts.append(text.as_py())
+            size += len(texts[-1]) // 6 + 2
+            if size > COUNT_TOKENS:
+                yield from flush()
+                texts.clear()
+                size = 0
+    if texts:
+        yield from flush()
+
+
+def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the sorted ``keys``, and whether found there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return i, keys[i] == wanted
+
+
+def _score_all(batches: Iterator[pa.RecordBatch], shared, start: float, unseen: float) -> Iterator[pa.RecordBatch]:
+    (hot, more, base), (hot_grams, more_grams) = shared.value
+    keys = WordKeys()
+    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "keys"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        grams, at, first = _grams(batch.column(2).to_pylist(), keys)
+        missed = np.zeros(grams.shape, bool)
+        i, found = _look(hot, grams[0])
+        found &= at > 0
+        missed[0] = ~found & (at > 0)
+        value = np.append(more, 0.0)[np.where(found, i, -1)]
+        low = np.append(base, 0.0)[np.where(found, i, -1)]
+        for n in (1, 2):
+            i, hit = _look(hot_grams, grams[n])
+            hit &= at >= n
+            missed[n] = ~hit & (at >= n)
+            value += np.append(more_grams, 0.0)[np.where(hit, i, -1)]
+        tokens = np.diff(np.append(first, len(at))) - 1
+        ends = np.append(0, np.cumsum(np.add.reduceat(missed.sum(0), first))).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), batch.column(1), pa.array(tokens), pa.array(np.add.reduceat(found.astype(np.int64), first)),
+            pa.array(np.add.reduceat(low, first) + unseen * tokens), pa.array(np.add.reduceat(value, first) + unseen * tokens + start),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.T[missed.T])),
+        ], names=names)
+
+
+def _arcs(grams: DataFrame, lower: DataFrame, contexts: DataFrame) -> DataFrame:
+    """key, pre, c, p and p_low, the probability in the next shorter context. lower: key, p; contexts: key, c."""
+    joined = grams.join(lower.select(F.col("key").alias("suf"), F.col("p").alias("p_low")), "suf")
+    joined = joined.join(contexts.select(F.col("key").alias("pre"), F.col("c").alias("_all")), "pre")
+    return joined.select(F.xxhash64("pre", "suf").alias("key"), "pre", "c", ((F.col("c") - DISCOUNT) / F.col("_all")).alias("p"), "p_low")
+
+
+def _failures(arcs: DataFrame) -> DataFrame:
+    """key and back, the log weight of the failure arc, of each context."""
+    left = lambda p: F.greatest(1 - F.sum(p), F.lit(1e-12))
+    return arcs.groupBy(F.col("pre").alias("key")).agg(F.log10(left("p") / left("p_low")).alias("back"))
+
+
+def weights(counted: DataFrame, tokens: int, distinct: int, texts: int) -> tuple[DataFrame, float]:
+    """n, key, c, more and base of each n-gram, and what the beginning's own failure arc costs.
+
+    ``more`` is what the n-gram adds to a score, for a word over an unknown one; ``base`` the part of its unigram.
+    """
+    z = float(tokens + distinct + 1)
+    words = counted.where("n = 1").select(F.col("suf").alias("key"), "c", ((F.col("c") + 1) / z).alias("p"))
+    begin = counted.sparkSession.createDataFrame([(BEGIN_KEY, texts)], "key long, c long")
+    pairs = materialise(_arcs(counted.where("n = 2"), words, words.select("key", "c").union(begin)), "lm-pairs")
+    triples = materialise(_arcs(counted.where("n = 3"), pairs, pairs), "lm-triples")
+    back1, back2 = materialise(_failures(pairs), "lm-back"), materialise(_failures(triples), "lm-back")
+    own, gain = F.coalesce(F.col("back"), F.lit(0.0)), F.log10("p") - F.log10("p_low") - F.col("before")
+    before = lambda back: back.select(F.col("key").alias("pre"), F.col("back").alias("before"))
+    base = F.log10("p") + math.log10(z)
+    none = F.lit(0.0)
+    all_of = words.join(back1, "key", "left").select(F.lit(1).alias("n"), "key", "c", (base + own).alias("more"), base.alias("base"))
+    all_of = all_of.union(pairs.join(before(back1), "pre").join(back2, "key", "left").select(F.lit(2), "key", "c", gain + own, none))
+    all_of = all_of.union(triples.join(before(back2), "pre").select(F.lit(3), "key", "c", gain, none))
+    out = materialise(all_of, "lm-weights")
+    start = back1.where(F.col("key") == BEGIN_KEY).first()
+    discard(pairs, triples, back1, back2)
+    return out, start["back"] if start else 0.0
+
+
+def score(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, hot: int = HOT, **bounds: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
-    Learns from the rows whose crc32(doc_id as text) leaves another remainder than ``held_remainder``.
+    Learns from the rows whose crc32(doc_id as text) leaves another remainder than ``held_remainder``. ``bounds``
+    are those of ``score_bounded``, which they call for.
     """
+    if bounds:
+        return score_bounded(docs, modulus, held_remainder, **bounds)
+    spark = docs.sparkSession
+    small_batches(spark)
+    held = id_remainder(modulus) == held_remainder
+    found = docs.where(~held).select(text_bytes()).mapInArrow(_count_all, "n int, pre long, suf long, c long")
+    counted = materialise(found.groupBy("n", "pre", "suf").agg(F.sum("c").alias("c")).where("n = 1 or c > 1"), "lm-counts")
+    of_end = F.sum(F.when(F.col("suf") == END_KEY, F.col("c")))
+    distinct, tokens, texts = counted.where("n = 1").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(of_end, F.lit(0))).first()
+    table, start = weights(counted, tokens, distinct, texts)
+    discard(counted)
+    least = _at_most(table, hot)
+    top = table.where(F.col("c") >= least).orderBy("key").toArrow()
+    n = top.column("n").to_numpy()
+    key, more, base = (top.column(c).to_numpy() for c in ("key", "more", "base"))
+    shared = spark.sparkContext.broadcast(((key[n == 1], more[n == 1], base[n == 1]), (key[n > 1], more[n > 1])))
+
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_bytes())
+    ddl = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, keys array<long>"
+    passed = chosen.mapInArrow(partial(_score_all, shared=shared, start=start, unseen=-math.log10(tokens + distinct + 1)), ddl)
+    passed = materialise(passed.withColumn("row", F.monotonically_increasing_id()), "lm-passed")
+    rare = table.where(F.col("c") < least).select("key", "more", "base", F.when(F.col("n") == 1, 1).otherwise(0).alias("one"))
+    tail = passed.select("row", F.explode("keys").alias("key")).join(rare, "key")
+    sums = tail.groupBy("row").agg(F.sum("more").alias("more"), F.sum("base").alias("more_base"), F.sum("one").alias("more_known"))
+    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
+    return passed.drop("keys").join(sums, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", plus("known", "more_known").cast("long").alias("n_known"),
+        F.lit(tokens).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more").alias("score"),
+    )
+
+
+def score_bounded(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, head: int = HEAD, bigram_words: int = BIGRAM_WORDS, trigram_words: int = TRIGRAM_WORDS, max_grams: int = MAX_GRAMS) -> DataFrame:
+    """``score`` by a model that every task holds, cut to the bounds."""
     spark = docs.sparkSession
     small_batches(spark)
     held = id_remainder(modulus) == held_remainder

@@ -151,6 +151,50 @@ def test_lm_states_are_distributions(docs):
         assert sum(p(state, w) if w < bi else 10 ** (a.all_back[state] + log10[w]) for w in range(len(order))) + unseen == pytest.approx(1)
 
 
+@pytest.mark.parametrize("hot", [lm.HOT, 40, 0])
+def test_lm_counts_all_words(spark, hot):
+    """Pairs and triples of rare words too: the scores are those of a backoff model over every n-gram."""
+    r = random.Random(9)
+    texts = [" ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(1500, 3000))]
+    texts += [" ".join(f"w{r.randint(0, 40)}" for _ in range(r.randint(0, 60))) for _ in range(40)] + ["w2900 w2901 w2902 unknown w2903", "", None]
+    got = {x["doc_id"]: x for x in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), hot=hot).collect()}
+    runs = {i: ["<", *words(t), ""] for i, t in enumerate(texts)}
+    grams = [Counter(), Counter(), Counter()]
+    for i, t in runs.items():
+        if crc(i) % 7 != 2:
+            for n in range(3):
+                grams[n].update(tuple(t[k : k + n + 1]) for k in range(len(t) - n))
+    start = grams[0].pop(("<",))
+    z = sum(grams[0].values()) + len(grams[0]) + 1
+    total = lambda c: start if c == ("<",) else grams[len(c) - 1][c]
+    after: dict = {}
+    for g, c in [*grams[1].items(), *grams[2].items()]:
+        if c > 1:
+            after.setdefault(g[:-1], {})[g[-1]] = c
+
+    def p(c: tuple, w: str) -> float:
+        if not c:
+            return (grams[0][w,] + 1) / z
+        arcs = after.get(c, {})
+        if w in arcs:
+            return (arcs[w] - lm.DISCOUNT) / total(c)
+        if not arcs:
+            return p(c[1:], w)
+        return p(c[1:], w) * back(c)
+
+    seen: dict = {}
+
+    def back(c: tuple) -> float:
+        if c not in seen:
+            seen[c] = (1 - sum(n - lm.DISCOUNT for n in after[c].values()) / total(c)) / (1 - sum(p(c[1:], w) for w in after[c]))
+        return seen[c]
+
+    assert len(got) == len(texts) and ("w2900", "w2901") in {(*c, w) for c, a in after.items() for w in a}
+    for i, t in runs.items():
+        assert got[i]["score"] == pytest.approx(sum(math.log10(p(tuple(t[max(0, k - 2) : k]), t[k])) for k in range(1, len(t)))), i
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10(p((), w)) for w in t[1:]))
+
+
 # --- secrets
 
 
