@@ -24,7 +24,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rate rounds to."""
+    """Documents as often as their fitted rate says on average; toxic ones not at all."""
     return mixing.mix(docs, common.read(spark, sf_dir, "labels"))
 
 

@@ -30,6 +30,8 @@ LABELS = ("quality", "toxic")
 #: Domains (quality, toxic) and their wanted shares of all tokens.
 TARGETS = {(1, 0): 0.900, (0, 0): 0.080, (1, 1): 0.015, (0, 1): 0.005}
 STEPS, CLOSE = 30, 1e-4
+#: The toxic domains' posterior over which mix() rejects a document.
+TOXIC = 0.5
 
 
 def _name(domain: tuple[int, int]) -> str:
@@ -81,14 +83,15 @@ def classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """row, doc_id, n_tokens and a posterior per domain, for every row of docs in order of scan."""
+    """row, doc_id, n_tokens and a posterior per domain, for every row of docs in order of scan; ``_hash`` too if docs have it."""
     model, prior = classifier(docs, labels, fit_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.monotonically_increasing_id())
-    cells = _cells(_worded(rows)).select("row", "doc_id", "n_tokens", "cell")
-    odds = cells.join(F.broadcast(model), "cell", "left").groupBy("row", "doc_id", "n_tokens").agg(*[F.coalesce(F.sum(f"w_{c}"), F.lit(0.0)).alias(c) for c in LABELS])
+    more = [c for c in ("_hash",) if c in docs.columns]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).withColumn("row", F.monotonically_increasing_id())
+    cells = _cells(_worded(rows)).select("row", "doc_id", "n_tokens", "cell", *more)
+    odds = cells.join(F.broadcast(model), "cell", "left").groupBy("row", "doc_id", "n_tokens", *more).agg(*[F.coalesce(F.sum(f"w_{c}"), F.lit(0.0)).alias(c) for c in LABELS])
     yes = {c: 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), F.col(c) + prior[c])))) for c in LABELS}
     part = lambda c, v: yes[c] if v else 1 - yes[c]
-    return odds.select("row", "doc_id", "n_tokens", *[(part("quality", q) * part("toxic", t)).alias(_name((q, t))) for q, t in TARGETS])
+    return odds.select("row", "doc_id", "n_tokens", *more, *[(part("quality", q) * part("toxic", t)).alias(_name((q, t))) for q, t in TARGETS])
 
 
 def fitted_rate(rows: DataFrame, targets: dict[tuple[int, int], float] = TARGETS, steps: int = STEPS) -> Column:
@@ -120,9 +123,16 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], flo
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], float] = TARGETS, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The documents, each as often as its rate rounds to: not at all under a half."""
-    found = rates(docs, labels, targets, fit_rows)
-    copies = found.groupBy("doc_id").agg(F.max(F.round("rate")).cast("int").alias("_copies"))
-    kept = copies.where("_copies > 0").withColumnRenamed("doc_id", "_id")
-    joined = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    """The documents, each as often as its rate says on average: a hash of id and text settles the fraction.
+
+    Documents that are toxic rather than not are rejected by rule; the others keep their domains' proportions.
+    """
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long"), "text").alias("_hash"))
+    rows = materialise(posteriors(hashed, labels, fit_rows).drop("row"), "mixing-posteriors")
+    rate = rows.withColumn("rate", fitted_rate(rows, targets))
+    toxic = sum((F.col(_name(d)) for d in targets if d[1]), F.lit(0.0)) > TOXIC
+    part = F.shiftrightunsigned("_hash", 11) / float(1 << 53)
+    whole = F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    copies = rate.groupBy("_hash").agg(F.max(F.when(toxic, 0).otherwise(whole)).cast("int").alias("_copies")).where("_copies > 0")
+    joined = docs.withColumn("_hash", F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long"), "text")).join(copies, "_hash")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)

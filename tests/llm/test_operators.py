@@ -249,6 +249,25 @@ def test_mixing(spark, docs, empty):
     assert mixing.rates(docs, none).count() == docs.count() and mixing.rates(empty, labels).count() == 0
 
 
+@pytest.mark.parametrize("junk_share", [0.05, 0.3, 0.6])
+def test_mix_meets_targets(spark, junk_share):
+    """Realised token shares of the clean domains, whatever their shares are before."""
+    r = random.Random(12)
+    data = []
+    for i in range(3000):
+        toxic, junk = i % 20 == 0, r.random() < junk_share
+        text = " ".join(r.choices(WORDS, k=40) + ["vile"] * 2 * toxic) + " #&*" * 30 * junk
+        data.append((i if i % 50 else None, f"{text} n{i}", int(not junk), int(toxic)))
+    some = spark.createDataFrame([d[:2] for d in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q, t) for i, _, q, t in data], "doc_id long, quality int, toxic int")
+    tokens: Counter = Counter()
+    of = {t: (q, x) for _, t, q, x in data}
+    for x in mixing.mix(some, labels).collect():
+        tokens[of[x["text"]]] += len(x["text"].split())
+    assert tokens[0, 1] == tokens[1, 1] == 0
+    assert tokens[0, 0] / sum(tokens.values()) == pytest.approx(0.08 / 0.98, abs=0.02)
+
+
 # --- quality
 
 
