@@ -9,10 +9,10 @@ chi-square cut-off of the final distance are rejected.
 Counts per text need no shuffle. The estimates are sums of products, combined before the shuffle, so a hot
 source costs no more than others; the order statistic of the distances comes from a histogram with fixed bins.
 A source with fewer than ``MIN_ROWS`` texts in a language is pooled with the language's other small sources,
-and those with the rest, if they are still too few.
+and those with the rest, if they are still too few; the rest needs ``LEAST_ROWS`` only.
 
 Defined results: null text has no words and fails; null language or source is a value of its own; repeated rows
-count once each; groups that stay under ``MIN_ROWS`` reject nothing by distance; an empty table gives no rows.
+count once each; a rest under ``LEAST_ROWS`` rejects nothing by distance; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +26,14 @@ from .common import SPACE, discard, materialise
 
 WINDOW = 5
 MIN_ROWS = 200
+#: The least rows of the pool of all the rest, ten for each statistic.
+LEAST_ROWS = 40
 KEPT_SHARE, STEPS = 0.75, 4
 #: Upper tail of the chi-square distribution beyond which a text is an outlier.
-TAIL = 1e-9
-#: Least standard deviation of each statistic, so that one that is constant in a group rejects no small change.
-FLOORS = {"f_length": 0.08, "f_symbols": 0.5, "f_lines": 0.15, "f_repeats": 0.15}
+TAIL = 1e-3
+#: Least standard deviation of each statistic, so that one that is constant in a group rejects no small change; each
+#: so small that the statistic alone can reach the cut before base_failed() does.
+FLOORS = {"f_length": 0.08, "f_symbols": 0.5, "f_lines": 0.15, "f_repeats": 0.07}
 FEATURES = list(FLOORS)
 
 
@@ -94,7 +97,7 @@ def chi_square_cut(p: float, df: int) -> float:
 
 
 def grouped(rows: DataFrame, least: int = MIN_ROWS) -> DataFrame:
-    """``g``: language and source, or the pool that stands in for small ones; null if that is small too."""
+    """``g``: language and source, or the pool that stands in for small ones; null for a rest under LEAST_ROWS."""
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
     own = F.concat_ws("\x1f", named("lang"), named("source"))
     sizes = rows.groupBy(own.alias("_own"), named("lang").alias("_lang")).agg(F.count("*").alias("n"))
@@ -102,7 +105,7 @@ def grouped(rows: DataFrame, least: int = MIN_ROWS) -> DataFrame:
     pooled = sizes.withColumn("_pool", F.when(F.col("n") >= least, F.col("_own")).otherwise(F.concat(F.lit("pool\x1f"), "_lang")))
     per_pool = pooled.groupBy("_pool").agg(F.sum("n").alias("m"))
     pooled = pooled.join(per_pool, "_pool").withColumn("g", F.when(F.col("m") >= least, F.col("_pool")).otherwise("rest"))
-    rest = pooled.groupBy("g").agg(F.sum("n").alias("k")).where(F.col("k") >= least)
+    rest = pooled.groupBy("g").agg(F.sum("n").alias("k")).where(F.col("k") >= min(least, LEAST_ROWS))
     pooled = pooled.join(rest, "g").select("_own", "g")
     return rows.withColumn("_own", own).join(pooled, "_own", "left").drop("_own")
 

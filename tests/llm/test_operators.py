@@ -308,6 +308,26 @@ def test_quality_pools(spark):
     assert got[("en", "b")] == got[("en", "c")] != got[("en", "a")] and got[("de", "a")] == got[(None, None)] == got[("fr", "a")] == "rest"
 
 
+@pytest.mark.parametrize("clean", [100, 300])
+def test_quality_planted_outliers(spark, clean):
+    """Each statistic rejects by itself, in a small table too, and clean texts stay."""
+    r = random.Random(11)
+    fresh = lambda n, size=5: ["".join(r.choices("abcdefgh", k=size + r.randint(-1, 1))) for _ in range(n)]
+    data = [" ".join(fresh(r.randint(60, 200))) for _ in range(clean)]
+    again = fresh(75)
+    data += [
+        "\n".join(x for _ in range(60) for x in (" ".join(fresh(6)), "ok")),
+        " ".join([*fresh(400), *again, *fresh(400), *again]),
+        " ".join(fresh(150)) + " #" * 30,
+        " ".join(fresh(300, 11)),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(data)], "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: x for x in quality.assess(docs).collect()}
+    assert not any(x["q_base_failed"] for x in got.values())
+    assert [i for i in range(clean, clean + 4) if got[i]["q_kept"]] == []
+    assert sum(got[i]["q_kept"] for i in range(clean)) >= 0.99 * clean
+
+
 # --- n-gram join
 
 
