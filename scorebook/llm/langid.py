@@ -19,14 +19,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_remainder, small_batches
+from .common import discard, id_remainder, materialise, small_batches
 
-#: The bound of the fit: code points of labelled text per language, and languages.
+#: The bound of the fit: code points of labelled text per language.
 SAMPLE_CHARS = 40_000
-MAX_LANGUAGES = 64
+#: Parts of a language's rows by hash, in whose order the sample is filled.
+BUCKETS = 1 << 16
 #: Words of one worker whose phrase counts are kept; then it starts anew.
 CACHE = 300_000
 
@@ -90,21 +91,47 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
-def sample(docs: DataFrame, held_out, chars: int = SAMPLE_CHARS, languages: int = MAX_LANGUAGES) -> dict[str, str]:
-    """Labelled rows per language, whole ones in order of an id hash until ``chars`` code points are reached."""
+def _leading(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[pa.RecordBatch]:
+    """The leading words of each text, letters only, until ``chars`` code points are reached."""
+    for batch in batches:
+        out = []
+        for text in batch.column(2):
+            own, size = [], 0
+            for w in filter(None, map(letters, text.as_py().lower().split())):
+                own.append(w)
+                size += len(w) + 1
+                if size >= chars:
+                    break
+            out.append(" ".join(own))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["lang", "at", "text"])
+
+
+def sample(docs: DataFrame, held_out, chars: int = SAMPLE_CHARS) -> dict[str, str]:
+    """Words of labelled rows for every language, row by row in order of a hash until ``chars`` code points are reached."""
     rows = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    per = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not per:
-        return {}
-    # About 200 rows per language pass the hash threshold, each of at most ``chars`` code points.
-    rate = F.create_map([F.lit(x) for r in per for x in (r["lang"], min(1.0, 200 / r["n"]))])
-    at = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_003))
-    some = rows.where((at < rate[F.col("lang")] * 1_000_003) & (F.char_length("text") <= chars))
-    out: dict[str, str] = {}
-    for r in some.select("lang", at.alias("at"), "text").orderBy("at", "text").toLocalIterator():
-        if len(had := out.get(r["lang"], "")) < chars:
-            out[r["lang"]] = had + " " + " ".join(map(letters, r["text"].lower().split()))
-    return dict(sorted(out.items()))
+    rows = rows.select("lang", F.pmod(F.xxhash64("doc_id", "text"), F.lit(BUCKETS)).alias("at"), "text")
+    size = F.sum(F.least(F.char_length("text"), F.lit(chars))).alias("size")
+    sizes = materialise(rows.groupBy("lang", "at").agg(size), "langid-sizes")
+    so_far = sizes.withColumn("before", F.sum("size").over(Window.partitionBy("lang").orderBy("at")) - F.col("size"))
+    wanted = 2 * chars
+    while True:
+        upto = so_far.groupBy("lang").agg(F.max(F.when(F.col("before") < wanted, F.col("at"))).alias("upto"), F.max("at").alias("last"))
+        upto = materialise(upto, "langid-upto")
+        some = rows.join(F.broadcast(upto), "lang").where("at <= upto").select("lang", "at", "text")
+        found: dict[str, list[str]] = {}
+        have: dict[str, int] = {}
+        for r in some.mapInArrow(partial(_leading, chars=chars), "lang string, at long, text string").orderBy("at", "text").toLocalIterator():
+            for w in r["text"].split():
+                if have.get(r["lang"], 0) >= chars:
+                    break
+                found.setdefault(r["lang"], []).append(w)
+                have[r["lang"]] = have.get(r["lang"], 0) + len(w) + 1
+        more = any(have.get(r["lang"], 0) < chars for r in upto.where("upto < last").select("lang").toLocalIterator())
+        discard(upto)
+        if not more:
+            discard(sizes)
+            return {la: " " + " ".join(w) for la, w in sorted(found.items())}
+        wanted *= 4  # texts with few letters
 
 
 _models: dict[str, tuple] = {}

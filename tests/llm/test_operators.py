@@ -562,6 +562,19 @@ def test_languages(spark, empty):
     assert langid.identify(empty).count() == 0
 
 
+def test_languages_fill_their_samples(spark):
+    """Languages of long texts only, of many short ones, and more than 64 of them, are all learned from equally much."""
+    r = random.Random(10)
+    make = lambda la, n: " ".join("".join(r.choices([chr(0x4E00 + 3 * la + k) for k in range(3)], k=4)) for _ in range(n))
+    data = [(i, make(0, 10_000), "l0") for i in range(5)] + [(100 + i, make(1, 10), "l1") for i in range(2000)]
+    data += [(5000 + i, "12 ! " * 200 + make(2, 20), "l2") for i in range(800)] + [(9000 + 9 * la + k, make(la, 20), f"l{la}") for la in range(3, 80) for k in range(9)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = langid.sample(docs, F.lit(False))
+    assert len(got) == 80 and all(langid.SAMPLE_CHARS <= len(got[la]) <= langid.SAMPLE_CHARS + 10 for la in ("l0", "l1", "l2"))
+    found = {x["doc_id"]: x["lang_pred"] for x in langid.identify(docs, chars=2000).collect()}
+    assert all(found[i] == la for i, _, la in data)
+
+
 # --- pipeline
 
 
