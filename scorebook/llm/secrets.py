@@ -1,9 +1,9 @@
 """Secret scan: fixed rules for keys and passwords, and a token-efficiency test for random strings.
 
 A random string breaks into many short vocabulary pieces, so its characters-per-token ratio under a
-public byte-level vocabulary is low. Candidates are long runs of letters, digits and +/_- that mix letters
-and digits; known digests (pure hex of a usual digest length), UUIDs, times and numbers are excluded before
-the ratio is taken.
+public byte-level vocabulary is low. Candidates are long runs of letters, digits and +/_- with a letter; those
+without a digit are held to a stricter ratio. Known digests (pure hex of a usual digest length), UUIDs, times
+and numbers are excluded before the ratio is taken.
 
 Defined results: null or empty text has no spans; repeated rows are scanned once each; an empty table gives
 no rows; spans count code points, end exclusive; texts of any length are scanned whole.
@@ -33,6 +33,8 @@ PURE_HEX = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 #: Characters per token at or under which a candidate counts as random.
 MAX_RATIO = 2.0
+#: The same for candidates without a digit, so that ordinary words stay out.
+LETTERS_RATIO = 1.5
 
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()),
@@ -57,12 +59,12 @@ def random_spans(text: str, encoding, max_ratio: float = MAX_RATIO) -> list[tupl
     found = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        letters = sum(c.isalpha() for c in s)
-        if not letters or not any(c.isdigit() for c in s):
+        if not any(c.isalpha() for c in s):
             continue
         if UUID.fullmatch(s) or (len(s) in DIGEST_LENGTHS and PURE_HEX.fullmatch(s)):
             continue
-        if len(s) <= max_ratio * len(encoding.encode_ordinary(s)):
+        ratio = max_ratio if any(c.isdigit() for c in s) else min(max_ratio, LETTERS_RATIO)
+        if len(s) <= ratio * len(encoding.encode_ordinary(s)):
             found.append((m.start(), 3, m.end()))
     return found
 

@@ -217,6 +217,14 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan(empty, path, pattern).count() == 0 and secrets.scan(docs, path, pattern).count() == docs.count()
 
 
+def test_secrets_of_letters_only():
+    encoding = common.tiktoken_encoding(*queries.tiktoken_vocabulary())
+    token = "xkdqLqPzzvWmwRtYbrNcHjQzTgBn"
+    assert secrets.random_spans(f"see {token} here", encoding) == [(4, 3, 4 + len(token))]
+    for plain in ("internationalization", "Donaudampfschifffahrtsgesellschaft", "state-of-the-art-methods", "snake_case_names_here", "UNCHARACTERISTICALLY"):
+        assert secrets.random_spans(f"see {plain} here", encoding) == []
+
+
 # --- mixing
 
 
