@@ -60,6 +60,14 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet, in either case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_bytes(column: str = "text") -> Column:
     """The text as UTF-8 bytes; null is empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary").alias(column)

@@ -1,26 +1,26 @@
 """Exact n-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
-Sets of n and m distinct shingles link at 0.75 only if they share at least o = ceil(0.75 (n + m) / 1.75). So
-of the P first shingles of the first, in any common order, at least P - n + o are shared, and P is chosen as
-about 3/8 of n. The product therefore runs over those columns only; its columns are dealt into blocks by
-hash, and a block's task sorts its entries and keeps the columns that two different sets hold. Overlap counts
-of pairs accumulate over all blocks, and pairs under their size-derived bound are discarded.
+One pass over the texts turns each distinct set of shingles of a scan task into a node and deals its incidence
+entries, sorted and delta-coded, into blocks by shingle. A block's task keeps the columns that two nodes hold; a
+column that many sets of a chunk hold is dealt to several tasks, as parts of one list.
 
-Columns that many sets hold would give pairs by the square. But if a set has f such columns, a partner shares
-at least bound - f of the others; so frequent columns count only for pairs of which both sets have at least
-the bound of them, and other pairs are held to bound - f on the rare columns alone. That loses no pair.
+Linked sets share at least 75 % of either. So a node with fewer shingles in common with others links with
+none, which leaves out nearly all texts before any pair is formed. Of the rest, columns with equal nodes are one list
+with a multiplicity, so overlaps are sums over lists. Links are found in two steps, both on exact overlap counts:
 
-Links are found in two rounds. Round one counts, per column, each set against its neighbour in size and the
-smallest set, a number of pairs linear in the entries; each set's best partner is tested over the whole sets,
-and those that link join into components. Round two counts the pairs of sets in different components and within
-the size bound, and tests all that reach their bound, so no link between components is missed and large groups
-of copies never become all their pairs.
+* Each list names the node whose shingles are the most common ones, such as the text that others were copied from.
+  Each node is held against the one it meets most often, a number of pairs linear in the nodes. Links join into
+  components, so that large groups of copies never become all their pairs.
+* Only lists that nodes of different components hold still matter. Of two components, the nodes of the smaller one
+  are looked up in the larger one: they are dealt into slices, and a slice's task multiplies its nodes' incidence
+  with that of all nodes in their lists, block by block, and discards the pairs under the size-derived bound.
 
-Equal sets are one node, named by 64 bits of a cryptographic digest of the set.
+Nodes are named by place, so ``docs`` must give its rows in the same order when a task is repeated, as scans of
+files do. Equal sets of different tasks are nodes that link.
 
 Defined results: null or empty text and text without words has 0 shingles and its own component; repeated
-rows (same id) give a row each; null ids are kept, name no component, and a set that only they hold links with
-nothing; an empty table gives no rows.
+rows (same id) give a row each; null ids are kept and name no component, so one without other ids has none; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,26 +28,41 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, small_batches, text_bytes
+from .common import discard, free_name, materialise, small_batches, text_bytes
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-#: Sets in a column from which on it is frequent.
-FREQUENT = 10
-#: Incidence entries per block.
-BLOCK_ENTRIES = 400_000
-#: Members of one hub tested by one task at most.
-HUB_MEMBERS = 2000
-#: Words of one worker whose hashes are kept; then it starts anew.
-CACHE = 200_000
+class Bounds(NamedTuple):
+    """Sizes of the work in one task; no result depends on them."""
+
+    #: Incidence entries and sets that a task holds before it deals them out; sets are numbered in 16 bits.
+    chunk_entries: int = 600_000
+    chunk_sets: int = 60_000
+    #: Bytes of text per block of columns.
+    block_bytes: int = 4_000_000
+    #: Sets of a chunk in a column from which on it is dealt to several tasks, and to how many.
+    hot: int = 64
+    parts: int = 16
+    #: Nodes of a part of a list.
+    segment: int = 1 << 16
+    #: Incidence entries of a slice, pairs that its task counts at once, and lists that it multiplies at once.
+    slice_entries: int = 200_000
+    tile: int = 8_000_000
+    lists: int = 256
+
+
+#: Words of one worker whose hashes are kept, and sets of a task that are known again; then they start anew.
+CACHE, KNOWN_SETS = 200_000, 1_000_000
 
 
 class _Words(dict):
@@ -62,6 +77,11 @@ _words = _Words()
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word n-grams; the whole sequence if it has fewer words."""
     found = text.lower().split()
@@ -74,260 +94,346 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     for i in range(k):
         h = (h ^ w[i : n - k + 1 + i]) * _ODD
         h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return np.unique(h)
-
+    return np.unique(_mixed(h))
 
-def set_key(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed; ascending 64-bit ones as differences."""
+    if values.dtype == np.uint64:
+        values = np.diff(values, prepend=np.uint64(0))
+    width = values.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes())
 
-def prefix_length(n: int, num: int = NUMERATOR, den: int = DENOMINATOR) -> int:
-    """The shingles a partner may lack, an eighth of all, and one."""
-    return n - -(-num * n // den) + n // 8 + 1 if n else 0
 
+def _unpack(packed: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(values, dtype=np.uint64) if kind == np.uint64 else values
 
-def least_shared(n, m, num: int = NUMERATOR, den: int = DENOMINATOR):
-    """The least number of prefix columns that linked sets of sizes n and m share; arrays or numbers."""
-    overlap = -(-num * (n + m) // (num + den))
-    return np.minimum(overlap - -(-num * n // den) + n // 8 + 1, overlap - -(-num * m // den) + m // 8 + 1)
 
-
-def _sql_bound(num: int, den: int) -> str:
-    """SQL of the least number of prefix columns that linked sets of sizes n and m share."""
-    overlap = f"(({num}L * (n + m) + {num + den - 1}) div {num + den})"
-    lacks = lambda x: f"({overlap} - {x} + {x} - ({num}L * {x} + {den - 1}) div {den} + {x} div 8 + 1)"
-    return f"least({lacks('n')}, {lacks('m')})"
-
-
-def linked(x: np.ndarray, y: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) -> bool:
-    """Whether den * |x & y| >= num * |x | y|; sets are sorted and distinct."""
-    a, b = len(x), len(y)
-    if not a or not b or den * min(a, b) < num * max(a, b):
-        return False
-    both = np.concatenate([x, y])
-    both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return den * shared >= num * (a + b - shared)
-
-
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [shingles(text.as_py(), words) for text in batch.column(1)]
-        columns = [batch.column(0), pa.array(map(set_key, found), pa.int64()), pa.array(map(len, found), pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n"])
+MESSAGE = pa.schema([
+    ("block", pa.int64()), ("part", pa.int32()), ("base", pa.int64()), ("h", pa.binary()), ("places", pa.binary()), ("hot", pa.binary()),
+    ("own", pa.binary()), ("ids", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
+])
+MESSAGE_DDL = "block long, part int, base long, h binary, places binary, hot binary, own binary, ids array<long>, docs array<long>, sizes array<long>"
+#: ``columns`` are numbers within the block, or shingles (dealt) if the column is in several tasks.
+ENTRIES = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("base", pa.int64()), ("dealt", pa.bool_()), ("columns", pa.binary()), ("places", pa.binary()), *list(MESSAGE)[6:]])
+ENTRIES_DDL = "block long, part int, base long, dealt boolean, columns binary, places binary, own binary, ids array<long>, docs array<long>, sizes array<long>"
+ABLE_DDL = "block long, part int, dealt boolean, base long, columns binary, places binary, sizes binary"
+PACKED_DDL = "bucket long, dealt boolean, names binary, times binary, widths binary, nodes binary, sizes binary"
+LISTS_DDL = "list long, times long, nodes array<long>, sizes array<int>"
 
 
-def _entries(batches: Iterator[pa.RecordBatch], blocks: int, words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Incidence entries, packed per block: shingle, set and size arrays. A set that a task meets again is left out."""
-    seen, held, n_held = set(), [], 0
+def _deal(batches: Iterator[pa.RecordBatch], blocks: int, words: int, bounds: Bounds) -> Iterator[pa.RecordBatch]:
+    """Messages to the blocks: entries (shingle, place of the set after ``base``), columns dealt to parts, and rows (id, node, size)."""
+    task = TaskContext.get().partitionId()
+    known: dict[bytes, int] = {}
+    held: list[np.ndarray] = []
+    rows: list[tuple] = []
+    made = n_held = chunk = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        h = np.concatenate([x for x, _, _ in held])
-        lengths = [len(x) for x, _, _ in held]
-        keys = np.repeat(np.array([k for _, k, _ in held], np.int64), lengths)
-        sizes = np.repeat(np.array([n for _, _, n in held], np.int32), lengths)
-        block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(block, kind="stable")
-        h, keys, sizes, block = h[order], keys[order], sizes[order], block[order]
-        at = np.searchsorted(block, np.arange(blocks + 1))
-        use = np.flatnonzero(at[1:] > at[:-1])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(use, pa.int64()), *(pa.array([a[at[b] : at[b + 1]].tobytes() for b in use], pa.binary()) for a in (h, keys, sizes))],
-            names=["block", "h", "keys", "sizes"],
-        )
+        out, none = [], (None,) * 4
+        base = (task << 40) + made - len(held)
+        if held:
+            h = np.concatenate(held)
+            place = np.repeat(np.arange(len(held), dtype=np.uint16), list(map(len, held)))
+            order = np.argsort(h, kind="stable")
+            h, place = h[order], place[order]
+            starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            often = np.diff(np.r_[starts, len(h)])
+            hot_h = h[starts[often >= bounds.hot]]
+            for part, own in ((0, np.repeat(often < bounds.hot, often)), (1 + chunk % bounds.parts, np.repeat(often >= bounds.hot, often))):
+                x, p = h[own], place[own]
+                edges = (np.arange(blocks + 1, dtype=object) * (1 << 64) // blocks).tolist()
+                at = np.r_[0, np.searchsorted(x, np.array(edges[1:-1], np.uint64)), len(x)] if blocks > 1 else np.array([0, len(x)])
+                mark = np.r_[0, np.searchsorted(hot_h, np.array(edges[1:-1], np.uint64)), len(hot_h)] if blocks > 1 else np.array([0, len(hot_h)])
+                for b in np.flatnonzero((at[1:] > at[:-1]) | ((mark[1:] > mark[:-1]) & (part == 0))):
+                    hot = _pack(hot_h[mark[b] : mark[b + 1]]) if part == 0 and mark[b + 1] > mark[b] else None
+                    out.append((int(b), part, base, _pack(x[at[b] : at[b + 1]]), _pack(p[at[b] : at[b + 1]]), hot, *none))
+        if rows:
+            own = _pack(np.array(list(map(len, held)), np.uint32))
+            out.append(((task * 7919 + chunk) % blocks, 0, base, None, None, None, own, *map(list, zip(*rows))))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), MESSAGE.types)], schema=MESSAGE)
         held.clear()
+        rows.clear()
 
     for batch in batches:
-        for text in batch.column(1):
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             s = shingles(text.as_py(), words)
-            key = set_key(s)
-            if not len(s) or key in seen:
-                continue
-            seen.add(key)
-            own = s[: prefix_length(len(s), num, den)]
-            held.append((own, key, len(s)))
-            n_held += len(own)
-        if n_held > 600_000:
-            yield from flush()
-            n_held = 0
+            node = None
+            if len(s):
+                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                node = known.get(key)
+                if node is None:
+                    if len(known) >= KNOWN_SETS:
+                        known.clear()
+                    node = known[key] = (task << 40) + made
+                    made += 1
+                    held.append(s)
+                    n_held += len(s)
+            rows.append((doc, node, len(s)))
+            if n_held > bounds.chunk_entries or len(rows) >= bounds.chunk_sets:
+                yield from flush()
+                n_held, chunk = 0, chunk + 1
     yield from flush()
 
 
-def _columns(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Columns of one block that at least two different sets hold; equal columns once, with their number. Sets in order of size."""
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["h"]])
-    keys = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["keys"]])
-    sizes = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]])
+def _rows(rows: list[tuple], types: list, names: list[str]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start ... start + length - 1 of each range, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _repeated(key: tuple, table: pa.Table) -> pa.Table:
+    """Of each chunk, the entries in columns of the block that at least two nodes hold; parts of dealt ones; the rows as they came."""
+    block, part = key[0].as_py(), key[1].as_py()
+    hs, places, bases, hot = [], [], [], []
+    rows = table.filter(pc.is_valid(table["ids"]))
+    out = [pa.table([*(rows[c].combine_chunks() if c in rows.column_names else pa.nulls(len(rows), t) for c, t in zip(ENTRIES.names, ENTRIES.types))], schema=ENTRIES)]
+    out[0] = out[0].set_column(5, "places", pa.nulls(len(rows), pa.binary()))
+    for base, h, p, mark in zip(*(table.filter(pc.is_valid(table["h"]))[c].to_pylist() for c in ("base", "h", "places", "hot"))):
+        hs.append(_unpack(h, np.uint64))
+        places.append(_unpack(p, np.uint16))
+        bases.append(base)
+        if mark is not None:
+            hot.append(_unpack(mark, np.uint64))
+    if not hs:
+        return out[0]
+    h, place = np.concatenate(hs), np.concatenate(places)
+    source = np.repeat(np.arange(len(hs)), list(map(len, hs)))
     order = np.argsort(h, kind="stable")
-    h, keys, sizes = h[order], keys[order], sizes[order]
-    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    ends = np.r_[starts[1:], len(h)]
-    out: dict[bytes, np.ndarray] = {}
-    times: dict[bytes, int] = {}
-    for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-        k, first = np.unique(keys[a:b], return_index=True)
-        if len(k) > 1:
-            n = sizes[a:b][first]
-            by_size = np.lexsort((k, n))
-            k = k[by_size]
-            out.setdefault(k.tobytes(), n[by_size])
-            times[k.tobytes()] = times.get(k.tobytes(), 0) + 1
-    block = int(pdf["block"].iloc[0])
-    return pd.DataFrame({
-        "list": np.arange(len(out), dtype=np.int64) + (block << 32),
-        "keys": pd.Series([np.frombuffer(k, np.int64) for k in out], dtype=object), "sizes": pd.Series(list(out.values()), dtype=object),
-        "times": [times[k] for k in out],
-    })
-
-
-def _overlaps(pdf: pd.DataFrame, wide: int, num: int, den: int) -> pd.DataFrame:
-    """Overlap counts of one block's pairs that are in different components and may still link; see the module.
-
-    A pair that reaches its bound has at least its share of it in one of the ``wide`` blocks; lower counts stay here.
+    h, place, source = h[order], place[order], source[order]
+    starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    often = np.diff(np.r_[starts, len(h)])
+    dealt = np.ones(len(starts), bool) if part else np.isin(h[starts], np.concatenate(hot) if hot else np.empty(0, np.uint64))
+    number = np.repeat(np.cumsum(~dealt & (often > 1)).astype(np.uint64), often)
+    found = []
+    for named, use, name in ((False, ~dealt & (often > 1), number), (True, dealt, h)):
+        own = np.flatnonzero(np.repeat(use, often))
+        own = own[np.argsort(source[own], kind="stable")]  # in a chunk still by column
+        at = np.searchsorted(source[own], np.arange(len(bases) + 1))
+        for i in np.flatnonzero(at[1:] > at[:-1]):
+            mine = own[at[i] : at[i + 1]]
+            found.append((block, part, bases[i], named, _pack(name[mine]), _pack(place[mine]), *(None,) * 4))
+    if found:
+        out.append(pa.table([pa.array(c, t) for c, t in zip(zip(*found), ENTRIES.types)], schema=ENTRIES))
+    return pa.concat_tables(out)
+
+
+def _able(table: pa.Table, num: int, den: int) -> pa.Table:
+    """A chunk's entries of nodes with enough of their shingles in common with others."""
+    size = [_unpack(x, np.uint32).astype(np.int64) for x in table["own"].to_pylist() if x is not None]
+    size = np.concatenate([*size, np.empty(0, np.int64)])
+    some = table.filter(pc.is_valid(table["places"]))
+    places = [_unpack(x, np.uint16) for x in some["places"].to_pylist()]
+    able = np.bincount(np.concatenate([*places, np.empty(0, np.uint16)]).astype(np.int64), minlength=len(size)) * den >= num * size
+    out = []
+    for block, part, base, dealt, columns, p in zip(*(some[c].to_pylist() for c in ("block", "part", "base", "dealt", "columns")), places):
+        ok = able[p]
+        if ok.any():
+            out.append((block, part, dealt, base, _pack(_unpack(columns, np.uint64)[ok]), _pack(p[ok]), _pack(size[p[ok]].astype(np.uint32))))
+    return _rows(out, [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 3], ["block", "part", "dealt", "base", "columns", "places", "sizes"])
+
+
+def _listed(key: tuple, table: pa.Table, segment: int, buckets: int) -> pa.Table:
+    """The block's lists of nodes, equal columns once with their number, dealt to buckets by what they hold.
+
+    Columns in several tasks come in segments, named by shingle, and are not compared.
     """
-    pdf = pdf.sort_values(["list", "n", "key"], kind="stable")
-    keys, node = np.unique(pdf["key"].to_numpy(), return_inverse=True)
-    size, held, part = (np.zeros(len(keys), np.int64) for _ in range(3))
-    size[node], held[node], part[node] = pdf["n"], pdf["f"], pdf["component"]
-    lists, often, times = pdf["list"].to_numpy(), pdf["often"].to_numpy(), pdf["times"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]])
-    total: list[tuple[np.ndarray, np.ndarray]] = []
-    pairs, counts, waiting = [], [], 0
-
-    def fold() -> None:
-        if pairs:
-            code, at = np.unique(np.concatenate(pairs), return_inverse=True)
-            total.append((code, np.bincount(at, np.concatenate(counts))))
-            pairs.clear()
-            counts.clear()
-
-    for a, b in zip(starts, np.r_[starts[1:], len(lists)]):
-        own = node[a:b]
-        for i in range(len(own) - 1):
-            x, others = own[i], own[i + 1 :]
-            others = others[: np.searchsorted(size[others] * num, size[x] * den, side="right")]
-            others = others[part[others] != part[x]]
-            if often[a] and len(others):
-                others = others[np.minimum(held[others], held[x]) >= least_shared(size[x], size[others], num, den)]
-            if len(others):
-                pairs.append(x * len(keys) + others)
-                counts.append(np.full(len(others), times[a]))
-                waiting += len(others)
-        if waiting > 500_000:
-            fold()
-            waiting = 0
-    fold()
-    code = np.concatenate([c for c, _ in total]) if total else np.empty(0, np.int64)
-    code, at = np.unique(code, return_inverse=True)
-    shared = np.bincount(at, np.concatenate([n for _, n in total]), len(code)) if total else np.empty(0)
-    x, y = code // max(1, len(keys)), code % max(1, len(keys))
-    bound, both = least_shared(size[x], size[y], num, den), np.minimum(held[x], held[y])
-    bound = bound - np.where(both >= bound, 0, both)
-    ok = shared >= -(-bound // wide)
-    x, y = x[ok], y[ok]
-    return pd.DataFrame({"a": keys[x], "b": keys[y], "bound": bound[ok], "shared": shared[ok].astype(np.int64)})
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for the shuffle."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.as_py()) for t in batch.column(1)], pa.binary())], names=["doc_id", "text"])
-
-
-def _test(batches: Iterator[pa.RecordBatch], words: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Members against the hub row that comes before them. A text must have the set that its key names: ids may repeat."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    hub, own = None, np.empty(0, np.uint64)
-    for batch in batches:
-        a, b = [], []
-        for h, k, is_hub, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-            s = shingles(unpack(text.as_py()), words)
-            if set_key(s) != k:
+    out = []
+    for dealt in (False, True):
+        own = table.filter(pc.equal(table["dealt"], dealt))
+        if not len(own):
+            continue
+        column = np.concatenate([_unpack(x, np.uint64) for x in own["columns"].to_pylist()])
+        node = np.concatenate([b + _unpack(x, np.uint16).astype(np.int64) for b, x in zip(own["base"].to_pylist(), own["places"].to_pylist())])
+        size = np.concatenate([_unpack(x, np.uint32) for x in own["sizes"].to_pylist()])
+        order = np.lexsort((node, column))
+        column, node, size = column[order], node[order], size[order]
+        starts = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+        n = np.diff(np.r_[starts, len(column)])
+        if dealt:
+            cuts = -(-n // segment)
+            at = _ranges(np.zeros(len(n), np.int64), cuts) * segment
+            starts, n = np.repeat(starts, cuts) + at, np.minimum(segment, np.repeat(n, cuts) - at)
+            name, times = column[starts], np.ones(len(starts), np.uint32)
+        else:
+            mix = (node.view(np.uint64) + np.uint64(1)) * _ODD
+            sums = np.add.reduceat(_mixed(mix ^ mix >> np.uint64(29)), starts)
+            starts, sums, n = starts[n > 1], sums[n > 1], n[n > 1]
+            name, first, times = np.unique(_mixed(sums + n.astype(np.uint64)), return_index=True, return_counts=True)
+            starts, n = starts[first], n[first]
+        bucket = (name % np.uint64(buckets)).astype(np.int64)
+        for b in np.unique(bucket):
+            mine = np.flatnonzero(bucket == b)
+            at = _ranges(starts[mine], n[mine])
+            packed = (name[mine].view(np.int64), times[mine].astype(np.uint32), n[mine].astype(np.uint32), node[at], size[at])
+            out.append((int(b), dealt, *map(_pack, packed)))
+    return _rows(out, [pa.int64(), pa.bool_(), *[pa.binary()] * 5], ["bucket", "dealt", "names", "times", "widths", "nodes", "sizes"])
+
+
+def _merged(key: tuple, table: pa.Table) -> pa.Table:
+    """The bucket's lists, equal ones of all blocks once with their number."""
+    out = []
+    for dealt in (False, True):
+        own = table.filter(pc.equal(table["dealt"], dealt))
+        if not len(own):
+            continue
+        kinds = {"names": np.int64, "times": np.uint32, "widths": np.uint32, "nodes": np.int64, "sizes": np.uint32}
+        name, times, n, node, size = (np.concatenate([_unpack(x, k) for x in own[c].to_pylist()]) for c, k in kinds.items())
+        times, n = times.astype(np.int64), n.astype(np.int64)
+        starts = np.cumsum(n) - n
+        if dealt:
+            name = ~(name.view(np.uint64) >> np.uint64(1)).view(np.int64)
+        else:
+            ids = [name, n, node[starts], node[starts + n - 1]]  # a digest of the nodes, their number, the first and the last
+            order = np.lexsort(ids)
+            new = np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in ids], axis=0)]
+            times = np.add.reduceat(times[order], np.flatnonzero(new))
+            starts, n = starts[order][new], n[order][new]
+            name = (key[0].as_py() << 32) + np.arange(len(n))
+        offsets, at = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), _ranges(starts, n)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (node[at], size[at].astype(np.int32))]
+        out.append(pa.table([pa.array(name), pa.array(times), *lists], names=["list", "times", "nodes", "sizes"]))
+    return pa.concat_tables(out)
+
+
+def _cross(table: pa.Table, num: int, den: int, bounds: Bounds) -> pa.Table:
+    """Links (a, b) between a slice's nodes and those of other components; of those that join the same components one."""
+    flat = lambda c: (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.diff(table[c].combine_chunks().offsets.to_numpy()))
+    (x, nx), (y, ny) = flat("xs"), flat("ys")
+    comp, size = flat("components")[0], flat("sizes")[0]
+    times = table["times"].to_numpy().astype(np.float32)
+    uy, first, yi = np.unique(y, return_index=True, return_inverse=True)
+    comp, size = comp[first], size[first].astype(np.int64)
+    ux, xi = np.unique(x, return_inverse=True)
+    at = np.searchsorted(uy, ux)  # a node is in its own lists
+    xrow, yrow = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
+    order = np.argsort(ny, kind="stable")  # lists of like length share more of their nodes
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    xb, yb = place[xrow], place[yrow]
+    by_x, by_y = np.argsort(xb, kind="stable"), np.argsort(yb, kind="stable")
+    xi, xb, yi, yb = xi[by_x], xb[by_x], yi[by_y], yb[by_y]
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    a, b = [], []
+    step = max(1, bounds.tile // max(1, len(uy)))
+    for lo in range(0, len(ux), step):
+        own = slice(lo, min(len(ux), lo + step))
+        count = np.zeros((own.stop - lo, len(uy)), np.float32)
+        for block in range(0, len(order), bounds.lists):
+            xs = slice(*np.searchsorted(xb, [block, block + bounds.lists]))
+            ys = slice(*np.searchsorted(yb, [block, block + bounds.lists]))
+            use = (xi[xs] >= lo) & (xi[xs] < own.stop)
+            rx, px = np.unique(xi[xs][use], return_inverse=True)
+            if not len(rx):
                 continue
-            if is_hub:
-                hub, own = h, s
-            elif h == hub and linked(own, s, num, den):
-                a.append(h)
-                b.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _links(pairs: DataFrame, texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link. A hub (a) with many partners is dealt to several tasks."""
-    hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / HUB_MEMBERS).cast("int").alias("parts"))
-    salted = pairs.join(hubs, "a").select("a", F.col("b").alias("key"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), F.lit(False).alias("is_hub"))
-    heads = hubs.select("a", F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(True).alias("is_hub"))
-    rows = salted.union(heads).join(texts, "key").repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("is_hub")).select("a", "key", "is_hub", "text")
-    return materialise(rows.mapInArrow(partial(_test, words=words, num=num, den=den), "a long, b long"), "join-links")
-
-
-def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
+            ry, py = np.unique(yi[ys], return_inverse=True)
+            left, right = np.zeros((len(rx), bounds.lists), np.float32), np.zeros((len(ry), bounds.lists), np.float32)
+            cx = xb[xs][use] - block
+            left[px, cx] = times[order[cx + block]]
+            right[py, yb[ys] - block] = 1
+            count[np.ix_(rx - lo, ry)] += left @ right.T
+        i, j = np.nonzero(count * den >= num * size[at[own]][:, None])
+        shared, sx, sy = count[i, j].astype(np.int64), size[at[own]][i], size[j]
+        ok = (shared * den >= num * (sx + sy - shared)) & (comp[at[own]][i] != comp[j])
+        for p, q in zip(at[own][i[ok]].tolist(), j[ok].tolist()):
+            u, v = root(int(comp[p])), root(int(comp[q]))
+            if u != v:
+                parent[u] = v
+                a.append(int(uy[p]))
+                b.append(int(uy[q]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _incidence(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """list, times, node, n of the nodes that may link with another such node, and how common a node's shingles are."""
+    rows = lists.select("list", "times", F.explode(F.arrays_zip("nodes", "sizes")).alias("e")).select("list", "times", F.col("e.nodes").alias("node"), F.col("e.sizes").cast("long").alias("n"))
+    width = lists.groupBy("list").agg(F.sum(F.size("nodes")).alias("width")).where("width > 1")
+    held = materialise(rows.join(width, "list"), "join-able")
+    common = F.sum(F.col("times") * F.log("width")) / F.max("n")
+    still = held.groupBy("node").agg(common.alias("common"), F.sum("times").alias("g"), F.max("n").alias("n"))
+    return materialise(held.join(still.where(f"{den}L * g >= {num}L * n").select("node", "common"), "node"), "join-incidence")
+
+
+def _hub_links(cells: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """node and hub, the most common node of its lists that it meets most often; the pairs (a, b) of these that link."""
+    hubs = cells.groupBy("list").agg(F.max(F.struct("common", "node", "n")).alias("h")).select("list", F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
+    met = cells.join(hubs, "list").where(f"node <> hub and {den}L * least(n, m) >= {num}L * greatest(n, m)").groupBy("node", "hub").agg(F.sum("times").alias("shared"), F.max("m").alias("m"))
+    best = materialise(met.groupBy("node").agg(F.max(F.struct("shared", "hub", "m")).alias("b")).select("node", F.col("b.hub").alias("hub"), F.col("b.m").alias("m")), "join-hubs")
+    own = cells.select("list", "times", "node", "n").join(best, "node")
+    both = own.join(cells.select("list", F.col("node").alias("hub")), ["list", "hub"]).groupBy("node", "hub", "n", "m").agg(F.sum("times").alias("shared"))
+    linked = both.where(f"{den}L * shared >= {num}L * (n + m - shared)").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    return best, materialise(linked, "join-links")
+
+
+def _cross_links(cells: DataFrame, best: DataFrame, links: DataFrame, num: int, den: int, bounds: Bounds) -> DataFrame:
+    """Links (a, b) between components of ``links``; all of them but those that others make needless."""
+    label = materialise(components(links), "join-label")
+    sizes = label.groupBy("component").agg(F.count("*").alias("many"))
+    named = materialise(label.join(sizes, "component"), "join-named")
+    cells = cells.select("list", "times", "node", "n").join(named, "node", "left")
+    rank = F.struct(F.coalesce("many", F.lit(1)).alias("many"), F.coalesce("component", "node").alias("component"))
+    cells = materialise(cells.select("list", "times", "node", "n", rank.alias("rank")), "join-ranked")
+    mixed = materialise(cells.groupBy("list").agg(F.min("rank").alias("least"), F.max("rank").alias("most"), F.count("*").alias("width")).where("least <> most").select("list", "most", "width"), "join-mixed")
+    cells = cells.join(mixed, "list")
+    # Nodes of a smaller component that have enough shingles in common with larger ones.
+    x = cells.where("rank < most")
+    open_ = x.groupBy("node").agg(F.sum("times").alias("g"), F.max("n").alias("n"), F.max("width").alias("width")).where(f"{den}L * g >= {num}L * n")
+    open_ = materialise(open_.join(best.select("node", "hub"), "node", "left").withColumn("hub", F.coalesce("hub", "node")), "join-open")
+    parts = F.greatest(F.ceil(F.sum("n") / bounds.slice_entries), F.ceil(F.count("*") * F.max("width") / bounds.tile)).cast("long")
+    slices = open_.join(open_.groupBy("hub").agg(parts.alias("parts")), "hub").select("node", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "parts")).alias("slice"))
+    xs = x.select("list", "node").join(slices, "node").groupBy("slice", "list").agg(F.collect_list("node").alias("xs"))
+    segment = F.pmod(F.xxhash64("node"), F.ceil(F.col("width") / bounds.segment).cast("long"))
+    ys = cells.groupBy("list", segment.alias("segment")).agg(F.max("times").alias("times"), F.collect_list(F.struct("node", "n", F.col("rank.component").alias("component"))).alias("y"))
+    ys = ys.select("list", "times", F.col("y.node").alias("ys"), F.col("y.n").alias("sizes"), F.col("y.component").alias("components"))
+    rows = xs.join(ys, "list").select("slice", "times", "xs", "ys", "sizes", "components")
+    out = materialise(rows.groupBy("slice").applyInArrow(_with(_cross, num=num, den=den, bounds=bounds), "a long, b long"), "join-links")
+    discard(label, named, cells, mixed, open_)
+    return out
+
+
+def _with(function, **fixed):
+    """The function of a group's key and table, or of its table alone, with the other arguments fixed."""
+    if function is _cross or function is _able:
+        return lambda table: function(table, **fixed)
+    return lambda key, table: function(key, table, **fixed)
+
+
+def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = DENOMINATOR, bounds: Bounds = Bounds()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row; see the module."""
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
-    sets = materialise(source.mapInArrow(partial(_sets, words=words), "doc_id long, key long, n long"), "join-sets")
-    entries = sets.agg(F.coalesce(F.sum(F.floor(F.col("n") * (den - num) / den) + F.floor(F.col("n") / 8) + 1), F.lit(0)).cast("long")).first()[0]
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // BLOCK_ENTRIES))
-    packed = source.mapInArrow(partial(_entries, blocks=blocks, words=words, num=num, den=den), "block long, h binary, keys binary, sizes binary")
-    lists = materialise(packed.groupBy("block").applyInPandas(_columns, "list long, keys array<long>, sizes array<int>, times int"), "join-columns")
-    # Texts that may be tested, fetched once: no pair's bound is under an eighth of its smaller set, which has 3/4 of the
-    # larger one's size, so a set with fewer columns in common with others links with none. The smallest id gives the text.
-    held = lists.select("times", F.explode(F.arrays_zip("keys", "sizes")).alias("m")).groupBy(F.col("m.keys").alias("key"), F.col("m.sizes").cast("long").alias("n"))
-    able = held.agg(F.sum("times").alias("g")).where(f"8L * {den} * g >= {num}L * n").select("key")
-    wanted = sets.where("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(able, "key")
-    texts = materialise(source.mapInArrow(_packed, "doc_id long, text binary").join(wanted, "doc_id").select("key", "text"), "join-texts")
-    bound = _sql_bound(num, den)
-
-    # Round one: neighbours in size, and the smallest set of each column.
-    item = lambda i: F.struct(F.element_at("keys", i).alias("key"), F.element_at("sizes", i).cast("long").alias("n"))
-    places = F.sequence(F.lit(2), F.size("keys"))
-    both = F.flatten(F.transform(places, lambda i: F.when(i == 2, F.array(F.struct(item(1).alias("a"), item(i).alias("b")))).otherwise(F.array(F.struct(item(1).alias("a"), item(i).alias("b")), F.struct(item(i - 1).alias("a"), item(i).alias("b"))))))
-    first = lists.select("times", F.explode(both).alias("p")).groupBy(F.col("p.a.key").alias("a"), F.col("p.b.key").alias("b"), F.col("p.a.n").alias("n"), F.col("p.b.n").alias("m")).agg(F.sum("times").alias("shared"))
-    near = first.where(f"{den}L * n >= {num}L * m and 2 * shared >= {bound}")
-    best = near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    first = materialise(best, "join-pairs")
-    links = _links(first, texts, words, num, den)
-    label = materialise(components(links), "join-label")
-
-    # Round two: pairs of a column in different components, within the size bound.
-    often = f"size(keys) >= {FREQUENT}"
-    member = lists.select("list", "times", F.expr(often).alias("often"), F.explode(F.arrays_zip("keys", "sizes")).alias("m"))
-    member = member.select("list", "times", "often", F.col("m.keys").alias("key"), F.col("m.sizes").cast("long").alias("n"))
-    held = member.where("often").groupBy("key").agg(F.sum("times").alias("f"))
-    member = member.join(held, "key", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    # No pair's bound is under an eighth of its smaller set, which has 3/4 of the larger one's size.
-    member = member.where(f"not often or 8L * {den} * f >= {num}L * n")
-    member = member.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = member.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    member = materialise(member.join(mixed, "list", "left_semi"), "join-mixed")
-    wide = max(8, -(-member.count() // BLOCK_ENTRIES))
-    cells = member.withColumn("block", F.pmod(F.xxhash64("list"), F.lit(wide))).groupBy("block")
-    found = cells.applyInPandas(partial(_overlaps, wide=wide, num=num, den=den), "a long, b long, bound long, shared long")
-    found = found.groupBy("a", "b", "bound").agg(F.sum("shared").alias("shared"), F.count("*").alias("blocks"))
-    # The blocks that kept quiet had less than the share each.
-    found = found.where(f"shared + ({wide} - blocks) * ((bound + {wide - 1}) div {wide} - 1) >= bound").select("a", "b", "shared")
-    second = materialise(found.join(first, ["a", "b"], "left_anti"), "join-cross")
-
-    # The likeliest partner of each first; most of the other pairs are then within a component.
-    likely = second.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-    more = _links(likely, texts, words, num, den)
-    after = materialise(components(links.union(more)), "join-label")
-    of = lambda c: after.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    open_pairs = second.join(of("a"), "a", "left").join(of("b"), "b", "left").where("not coalesce(ca, a) <=> coalesce(cb, b)").select("a", "b")
-    rest = _links(open_pairs, texts, words, num, den)
-    node = components(links.union(more).union(rest))
-
-    ids = sets.join(node.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    ids = materialise(ids, "join-ids")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bounds.block_bytes))
+    dealt = source.mapInArrow(partial(_deal, blocks=blocks, words=words, bounds=bounds), MESSAGE_DDL)
+    found = materialise(dealt.groupBy("block", "part").applyInArrow(_with(_repeated), ENTRIES_DDL), "join-entries")
+    row = F.explode(F.arrays_zip("ids", "docs", "sizes")).alias("r")
+    rows = found.where("ids is not null").select(row).select(F.col("r.ids").alias("doc_id"), F.col("r.docs").alias("node"), F.col("r.sizes").alias("n"))
+    able = found.drop("ids", "docs", "sizes").groupBy("base").applyInArrow(_with(_able, num=num, den=den), ABLE_DDL)
+    listed = able.groupBy("block", "part").applyInArrow(_with(_listed, segment=bounds.segment, buckets=max(1, blocks // 8)), PACKED_DDL)
+    lists = materialise(listed.groupBy("bucket").applyInArrow(_with(_merged), LISTS_DDL), "join-lists")
+    cells = _incidence(lists, num, den)
+    best, links = _hub_links(cells, num, den)
+    more = _cross_links(cells, best, links, num, den, bounds)
+    of = materialise(components(links.union(more)), "join-label")
+    ids = materialise(rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-ids")
     smallest = materialise(ids.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "join-least")
     named = ids.join(smallest, "component", "left")
-    discard(lists, texts, first, second, label, after, member, links, more, rest)
+    discard(found, lists, cells, best, links, more, of)
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -335,5 +441,6 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each component, the one with the smallest id, repeated rows once. Texts without words or id stay."""
     found = join(docs, **options).where("doc_id = component_id").select("doc_id")
     kept = docs.where("doc_id is not null").join(found, "doc_id", "left_semi")
-    once = kept.withColumn("_text", F.md5(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    digest = free_name(docs, "digest")
+    once = kept.withColumn(digest, F.md5(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", digest]).drop(digest)
     return once.unionByName(docs.where("doc_id is null"))

@@ -362,12 +362,13 @@ def near(sets: dict) -> list:
     return [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
 
 
-@pytest.mark.parametrize("frequent", [ngram_join.FREQUENT, 2])
-def test_join(docs, rows, empty, monkeypatch, frequent):
-    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+@pytest.mark.parametrize("small", [False, True])
+def test_join(docs, rows, empty, small):
+    """With ``small``, columns are dealt to parts, lists to segments, nodes to slices of a few, and pairs to tiles of a few."""
+    bounds = ngram_join.Bounds(chunk_entries=500, hot=2, parts=3, segment=2, slice_entries=100, tile=7, lists=3) if small else ngram_join.Bounds()
     sets = {i: shingle_set(t) for i, t, *_ in rows if i is not None}
     want = closure(sets, near(sets))
-    got = ngram_join.join(docs).collect()
+    got = ngram_join.join(docs, bounds=bounds).collect()
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is not None:
