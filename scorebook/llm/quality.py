@@ -2,12 +2,13 @@
 
 Each text gives a few counts. Two fixed rules fail texts that are too short or repeat themselves. For the
 rest, transformed statistics form a vector per text; per language and source, location and scatter come from
-the minimum-covariance-determinant method: from a start of medians and quartile ranges, concentration steps
-keep the 75 % of rows with the smallest Mahalanobis distance and estimate again from those. Texts beyond a
-chi-square cut-off of the final distance are rejected.
+the minimum-covariance-determinant method: from several starts, concentration steps keep the 75 % of rows with
+the smallest Mahalanobis distance and estimate again from those, until no determinant falls any more; the estimate
+with the least determinant counts. Texts beyond a chi-square cut-off of the final distance are rejected.
 
-Counts per text need no shuffle. The estimates are sums of products, combined before the shuffle, so a hot
-source costs no more than others; the order statistic of the distances comes from a histogram with fixed bins.
+Counts per text need no shuffle. A step is one pass for all groups and starts: sums and products per bin of the
+distance, combined before the shuffle, so a hot source costs no more than others; which bins are within the 75 % is
+settled on those sums. Models and pools are written, so they are broadcast if they are small and joined otherwise.
 A source with fewer than ``MIN_ROWS`` texts in a language is pooled with the language's other small sources,
 and those with the rest, if they are still too few; the rest needs ``LEAST_ROWS`` only.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, discard, materialise
@@ -28,7 +29,9 @@ WINDOW = 5
 MIN_ROWS = 200
 #: The least rows of the pool of all the rest, ten for each statistic.
 LEAST_ROWS = 40
-KEPT_SHARE, STEPS = 0.75, 4
+KEPT_SHARE = 0.75
+#: Concentration steps at most, and the fall of a log determinant that calls for another.
+STEPS, FALL = 20, 1e-3
 #: Upper tail of the chi-square distribution beyond which a text is an outlier.
 TAIL = 1e-3
 #: Least standard deviation of each statistic, so that one that is constant in a group rejects no small change; each
@@ -106,21 +109,10 @@ def grouped(rows: DataFrame, least: int = MIN_ROWS) -> DataFrame:
     per_pool = pooled.groupBy("_pool").agg(F.sum("n").alias("m"))
     pooled = pooled.join(per_pool, "_pool").withColumn("g", F.when(F.col("m") >= least, F.col("_pool")).otherwise("rest"))
     rest = pooled.groupBy("g").agg(F.sum("n").alias("k")).where(F.col("k") >= min(least, LEAST_ROWS))
-    pooled = pooled.join(rest, "g").select("_own", "g")
+    pooled = materialise(pooled.join(rest, "g").select("_own", "g"), "quality-pools")
     return rows.withColumn("_own", own).join(pooled, "_own", "left").drop("_own")
 
 
-def _order_statistic(rows: DataFrame, value: str, shares: dict[str, float], step: float) -> DataFrame:
-    """Per group g, the upper edge of the histogram bin in which each share of the rows is reached."""
-    from pyspark.sql import Window
-
-    bins = rows.where("g is not null").groupBy("g", F.floor(F.col(value) / step).alias("bin")).agg(F.count("*").alias("n"))
-    so_far = Window.partitionBy("g").orderBy("bin")
-    bins = bins.withColumns({"at": F.sum("n").over(so_far), "all": F.sum("n").over(Window.partitionBy("g"))})
-    reach = lambda q: F.min(F.when(F.col("at") >= q * F.col("all"), F.col("bin")))
-    return bins.groupBy("g").agg(*[((reach(q) + 1) * step).alias(name) for name, q in shares.items()])
-
-
 def _distance(model: str = "") -> Column:
     """Squared Mahalanobis distance by forward substitution with the Cholesky factor in the row."""
     y: list[Column] = []
@@ -132,12 +124,16 @@ def _distance(model: str = "") -> Column:
     return sum((v * v for v in y[1:]), y[0] * y[0])
 
 
-def _estimate(inner: DataFrame, scale: float) -> DataFrame:
-    """Mean and Cholesky factor of the scaled covariance per group."""
+def _products() -> list[tuple[str, Column]]:
     p = len(FEATURES)
-    sums = [F.avg(f).alias(f"m_{i}") for i, f in enumerate(FEATURES)]
-    sums += [F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s_{i}{j}") for i in range(p) for j in range(i + 1)]
-    model = inner.groupBy("g").agg(*sums)
+    out = [(f"m_{i}", F.col(f)) for i, f in enumerate(FEATURES)]
+    return out + [(f"s_{i}{j}", F.col(FEATURES[i]) * F.col(FEATURES[j])) for i in range(p) for j in range(i + 1)]
+
+
+def _factor(moments: DataFrame, scale: float) -> DataFrame:
+    """g, start, mean, Cholesky factor of the scaled covariance, and its log determinant. moments: means m_i and s_ij."""
+    p = len(FEATURES)
+    model = moments
     for i in range(p):
         for j in range(i + 1):
             v = (F.col(f"s_{i}{j}") - F.col(f"m_{i}") * F.col(f"m_{j}")) * scale
@@ -146,30 +142,69 @@ def _estimate(inner: DataFrame, scale: float) -> DataFrame:
             for k in range(j):
                 v = v - F.col(f"l_{i}{k}") * F.col(f"l_{j}{k}")
             model = model.withColumn(f"l_{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l_{j}{j}"))
-    return model.select("g", *[f"m_{i}" for i in range(p)], *[f"l_{i}{j}" for i in range(p) for j in range(i + 1)])
+    return _shaped(model)
+
+
+def _shaped(model: DataFrame) -> DataFrame:
+    p = len(FEATURES)
+    logdet = 2 * sum((F.log(f"l_{i}{i}") for i in range(1, p)), F.log("l_00"))
+    return model.select("g", "start", *[f"m_{i}" for i in range(p)], *[f"l_{i}{j}" for i in range(p) for j in range(i + 1)], logdet.alias("logdet"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Medians with quartile ranges (0), medians with the least scales (1), and means with covariances (2)."""
+    p = len(FEATURES)
+    one = rows.select("g", F.posexplode(F.array(*FEATURES)).alias("f", "v"))
+    bins = materialise(one.groupBy("g", "f", F.floor(F.col("v") / 0.005).alias("bin")).agg(F.count("*").alias("n")), "mcd-bins")
+    whole = Window.partitionBy("g", "f")
+    bins = bins.withColumns({"at": F.sum("n").over(whole.orderBy("bin")), "all": F.sum("n").over(whole)})
+    reach = lambda q: (F.min(F.when(F.col("at") >= q * F.col("all"), F.col("bin"))) + 1) * 0.005
+    q = bins.groupBy("g", "f").agg(reach(0.25).alias("lo"), reach(0.5).alias("mid"), reach(0.75).alias("hi"))
+    of = lambda i, c: F.max(F.when(F.col("f") == i, F.col(c)))
+    wide = q.groupBy("g").agg(*[of(i, "mid").alias(f"m_{i}") for i in range(p)], *[(of(i, "hi") - of(i, "lo")).alias(f"_{i}") for i in range(p)])
+    out = _factor(rows.groupBy("g").agg(F.lit(2).alias("start"), *[F.avg(v).alias(k) for k, v in _products()]), 1.0)
+    for start in (0, 1):
+        own = wide.withColumn("start", F.lit(start)).withColumns({f"l_{i}{j}": F.lit(0.0) for i in range(p) for j in range(i)})
+        least = {i: F.lit(FLOORS[f]) for i, f in enumerate(FEATURES)}
+        own = own.withColumns({f"l_{i}{i}": least[i] if start else F.greatest(F.col(f"_{i}") / 1.349, least[i]) for i in range(p)})
+        out = out.unionByName(_shaped(own))
+    # A start's determinant is not one of 75 % of the rows: the first step's counts in any case.
+    out = materialise(out.withColumn("logdet", F.lit(1e9)), "mcd-model")
+    discard(bins)
+    return out
+
+
+def _concentrated(rows: DataFrame, model: DataFrame, scale: float) -> DataFrame:
+    """The estimates from the rows nearest to the model, the share KEPT_SHARE of each group."""
+    # Logarithms, in steps of 2 %, hold any distance in few bins.
+    far = rows.join(model.drop("logdet"), "g").withColumn("bin", F.floor(F.log(_distance() + 1e-6) / 0.02))
+    bins = materialise(far.groupBy("g", "start", "bin").agg(F.count("*").alias("n"), *[F.sum(v).alias(k) for k, v in _products()]), "mcd-bins")
+    whole = Window.partitionBy("g", "start")
+    inner = bins.withColumns({"at": F.sum("n").over(whole.orderBy("bin")), "all": F.sum("n").over(whole)})
+    inner = inner.where(F.col("at") - F.col("n") < KEPT_SHARE * F.col("all"))
+    after = materialise(_factor(inner.groupBy("g", "start").agg(*[(F.sum(k) / F.sum("n")).alias(k) for k, _ in _products()]), scale), "mcd-model")
+    discard(bins)
+    return after
 
 
 def fit(rows: DataFrame) -> DataFrame:
     """The robust location and scatter of each group, one row each. rows: g and the features."""
     p = len(FEATURES)
-    start = None
-    for i, f in enumerate(FEATURES):
-        q = _order_statistic(rows, f, {"lo": 0.25, "mid": 0.5, "hi": 0.75}, 0.005)
-        spread = F.greatest((F.col("hi") - F.col("lo")) / 1.349, F.lit(FLOORS[f]))
-        q = q.select("g", F.col("mid").alias(f"m_{i}"), spread.alias(f"l_{i}{i}"), *[F.lit(0.0).alias(f"l_{i}{j}") for j in range(i)])
-        start = q if start is None else start.join(q, "g")
-    model = materialise(start, "mcd-model")
+    rows = rows.where("g is not null")
     inner_cut = chi_square_cut(KEPT_SHARE, p)
     scale = KEPT_SHARE / chi_square(inner_cut, p + 2)
+    model = _starts(rows)
     for _ in range(STEPS):
-        # Logarithms, in steps of 2 %, hold any distance in few bins.
-        far = rows.join(model, "g").withColumn("d", F.log(_distance() + 1e-6))
-        cut = _order_statistic(far, "d", {"cut": KEPT_SHARE}, 0.02)
-        closer = far.join(cut, "g").where("d <= cut")
-        after = materialise(_estimate(closer, scale), "mcd-model")
+        after = _concentrated(rows, model, scale)
+        before = model.select("g", "start", F.col("logdet").alias("before"))
+        falls = after.join(before, ["g", "start"]).agg(F.max(F.col("before") - F.col("logdet")).alias("most")).first()["most"]
         discard(model)
         model = after
-    return model
+        if falls is None or falls <= FALL:
+            break
+    names = [c for c in model.columns if c not in ("g", "start")]
+    least = model.groupBy("g").agg(F.min_by(F.struct(*names), F.struct("logdet", "start")).alias("m"))
+    return materialise(least.select("g", "m.*"), "mcd-model")
 
 
 def assess(docs: DataFrame, carry: bool = False) -> DataFrame:

@@ -309,6 +309,28 @@ def test_quality_outliers(spark):
     assert quality.chi_square(quality.chi_square_cut(0.75, 4), 4) == pytest.approx(0.75) and quality.chi_square_cut(0.95, 2) == pytest.approx(5.991, abs=1e-3)
 
 
+def test_quality_least_determinant(spark):
+    """Of the starts the one with the least determinant counts, and more steps do not lower it."""
+    r = np.random.default_rng(3)
+    scale = np.array([0.3, 0.8, 0.3, 0.3])
+    groups = {"a": np.r_[r.normal(0, scale, (700, 4)), r.normal(4, 3 * scale, (200, 4))], "b": r.normal(1, scale, (300, 4))}
+    rows = spark.createDataFrame(pd.concat(pd.DataFrame(x, columns=quality.FEATURES).assign(g=g) for g, x in groups.items()))
+    got = {m["g"]: m for m in quality.fit(rows).collect()}
+    floor = np.diag([f**2 for f in quality.FLOORS.values()])
+    cut = quality.chi_square_cut(0.75, 4)
+    factor = 0.75 / quality.chi_square(cut, 6)
+    for g, x in groups.items():
+        least = np.inf
+        for start in range(40):  # brute force: concentration from random starts
+            own = x[r.choice(len(x), 20, replace=False)]
+            for _ in range(30):
+                m, c = own.mean(0), np.cov(own.T, bias=True) * factor + floor
+                far = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+                own = x[np.argsort(far)[: int(0.75 * len(x))]]
+            least = min(least, np.linalg.slogdet(np.cov(own.T, bias=True) * factor + floor)[1])
+        assert got[g]["logdet"] == pytest.approx(least, abs=0.05)
+
+
 def test_quality_pools(spark):
     sizes = {("en", "a"): 250, ("en", "b"): 120, ("en", "c"): 90, ("de", "a"): 150, (None, None): 60, ("fr", "a"): 5}
     data = [(la, so) for (la, so), n in sizes.items() for _ in range(n)]
