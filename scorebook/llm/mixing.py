@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, free_name, materialise
 
 #: The bound of the fit: labelled rows, those of smallest id hash; and cells for hashed words.
 FIT_ROWS, CELLS = 20_000, 1 << 16
@@ -55,16 +55,22 @@ def _cells(worded: DataFrame) -> DataFrame:
     return rows.withColumn("cell", F.pmod(F.xxhash64("cell"), F.lit(CELLS)).cast("int"))
 
 
+def _labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """text and labels of the rows to learn from: ``fit_rows`` labelled documents by hash of the id, equal texts once."""
+    one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.max(c).alias(f"_{c}") for c in LABELS])
+    there = docs.select(F.col("doc_id").cast("long").alias("_id"))
+    known = one.where(" and ".join(f"_{c} in (0, 1)" for c in LABELS)).join(there, "_id", "left_semi")
+    some = known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(some), "_id")
+    return rows.groupBy("text").agg(*[F.max(f"_{c}").alias(f"_{c}") for c in LABELS])
+
+
 def classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, dict[str, float]]:
     """Weights per cell present, at most CELLS rows, and the log odds of each label with none present."""
-    one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.max(c).alias(f"_{c}") for c in LABELS])
-    some = one.where(" and ".join(f"_{c} in (0, 1)" for c in LABELS)).orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(F.broadcast(some), "_id").dropDuplicates(["text"])
-    counts = _cells(_worded(rows.select("text", *[f"_{c}" for c in LABELS]))).groupBy("cell").agg(
-        F.count("*").alias("n"), *[F.sum(f"_{c}").cast("long").alias(f"n_{c}") for c in LABELS]
-    )
+    learned = materialise(_labelled(docs, labels, fit_rows), "mixing-fit")
+    counts = _cells(_worded(learned)).groupBy("cell").agg(F.count("*").alias("n"), *[F.sum(f"_{c}").cast("long").alias(f"n_{c}") for c in LABELS])
     counts = materialise(counts, "mixing-cells")
-    per_row = some.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"_{c}"), F.lit(0)).alias(c) for c in LABELS]).first()
+    per_row = learned.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f"_{c}"), F.lit(0)).alias(c) for c in LABELS]).first()
     model, rows_n = counts, per_row["n"]
     for c in LABELS:
         yes, no = per_row[c], rows_n - per_row[c]
@@ -79,6 +85,7 @@ def classifier(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     model = materialise(model.select("cell", *[f"{k}_{c}" for c in LABELS for k in "wa"]).where(" or ".join(f"w_{c} <> 0" for c in LABELS)), "mixing-model")
     absent = model.agg(*[F.coalesce(F.sum(f"a_{c}"), F.lit(0.0)).alias(c) for c in LABELS]).first()
     prior = {c: math.log((per_row[c] + 1) / (rows_n - per_row[c] + 1)) + absent[c] for c in LABELS}
+    discard(learned, counts)
     return model.select("cell", *[f"w_{c}" for c in LABELS]), prior
 
 
@@ -134,5 +141,6 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple[int, int], float
     part = F.shiftrightunsigned("_hash", 11) / float(1 << 53)
     whole = F.floor("rate") + F.when(part < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     copies = rate.groupBy("_hash").agg(F.max(F.when(toxic, 0).otherwise(whole)).cast("int").alias("_copies")).where("_copies > 0")
-    joined = docs.withColumn("_hash", F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long"), "text")).join(copies, "_hash")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    h, n, i = (free_name(docs, c) for c in ("_hash", "_copies", "_copy"))
+    joined = docs.withColumn(h, F.xxhash64(F.lit("mix"), F.col("doc_id").cast("long"), "text")).join(copies.withColumnsRenamed({"_hash": h, "_copies": n}), h)
+    return joined.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -253,6 +253,11 @@ def test_mixing(spark, docs, empty):
     assert sum(bool(predicted[i]) == (i % 6 == 0) for i in range(300)) > 290
     kept = {x["doc_id"] for x in mixing.mix(some, labels).collect()}
     assert all(i % 6 for i in kept) and {i for i in range(300) if i % 6 and i % 5} <= kept
+    # Labels without a document and copies of a text tell nothing; input columns keep their names and values.
+    more = labels.union(spark.createDataFrame([(i, 0, 1) for i in range(1000, 1400)], labels.schema))
+    assert mixing.classifier(some.union(some), more)[1] == mixing.classifier(some, labels)[1]
+    clash = some.withColumns({c: F.lit(7) for c in ("_id", "_hash", "_copies", "_copy", "n_tokens", "row")})
+    assert {(x["doc_id"], x["_copy"], x["_id"]) for x in mixing.mix(clash, labels).collect()} == {(i, 7, 7) for i in kept}
     none = labels.where("false")
     assert mixing.rates(docs, none).count() == docs.count() and mixing.rates(empty, labels).count() == 0
 
