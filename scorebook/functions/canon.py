@@ -17,7 +17,7 @@ EXCLUDED = {"model": {"context_window"}, "env": {"os", "hardware"}}
 
 def number(x: float) -> str:
     """A double as ECMAScript prints it."""
-    if isinstance(x, int) and abs(x) < 10**21:
+    if isinstance(x, int) and abs(x) <= 2**53:
         return str(x)
     x = float(x)
     if math.isnan(x) or math.isinf(x):

@@ -145,6 +145,8 @@ class _Compiler:
 
     def column(self, f: dict, at: str) -> Column:
         if "and" in f or "or" in f:
+            if len(f) > 1:
+                raise FilterError(at, "bad_request")
             word = "and" if "and" in f else "or"
             parts = [self.column(x, f"{at}/{word}/{i}") for i, x in enumerate(f[word])]
             return reduce(lambda a, b: a & b if word == "and" else a | b, parts, F.lit(word == "and"))

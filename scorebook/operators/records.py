@@ -15,7 +15,7 @@ def live(versions: DataFrame) -> DataFrame:
 def latest(versions: DataFrame) -> DataFrame:
     """The latest live version of each record: one row a record leaves each task before the shuffle."""
     rest = [c for c in versions.columns if c not in ("record_id", "seq")]
-    best = live(versions).groupBy("record_id").agg(F.max(F.struct("seq", *rest)).alias("v"))
+    best = live(versions).groupBy("record_id").agg(F.max_by(F.struct("seq", *rest), "seq").alias("v"))
     return best.select("record_id", "v.*").select(*versions.columns)
 
 

@@ -9,26 +9,26 @@ from ..operators import records as rec
 from ..sources import carriers as c
 
 
-def _start(spark, d, n: int = 100):
-    """Every n-th order opens a traversal."""
-    return c.versions(spark, d).where(f"version_id % {n} = 0").select(F.concat(F.lit("o:"), F.col("version_id").cast("string")).alias("node"))
+def _start(spark, d, condition: str):
+    """Orders that a traversal starts at."""
+    return c.table(spark, d, "orders").where(condition).select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("node"))
 
 
 def graph_outgoing(spark, d):
-    return graph.outgoing(c.edges(spark, d), _start(spark, d, 10), ["uses"])
+    return graph.outgoing(c.edges(spark, d), _start(spark, d, "o_orderstatus = 'F'"), ["uses"])
 
 
 def graph_incoming(spark, d):
-    nodes = c.table(spark, d, "part").where("p_partkey % 5 = 0").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("node"))
+    nodes = c.table(spark, d, "part").where("p_brand = 'Brand#7'").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("node"))
     return graph.incoming(c.edges(spark, d), nodes)
 
 
 def graph_bfs(spark, d):
-    return graph.traverse(c.edges(spark, d), _start(spark, d), 5)
+    return graph.traverse(c.edges(spark, d), _start(spark, d, "o_orderpriority = '1-URGENT'"), 5)
 
 
 def graph_bfs_in(spark, d):
-    nodes = c.table(spark, d, "nation").where("n_nationkey % 10 = 0").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("node"))
+    nodes = c.table(spark, d, "nation").where("n_regionkey = 0").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("node"))
     return graph.traverse(c.edges(spark, d), nodes, 2, "in")
 
 
@@ -54,10 +54,10 @@ def graph_hidden_targets(spark, d):
 
 
 def join_edge_target(spark, d):
-    """Orders' parts with the part's name; parts of odd id resolve by name text alone."""
+    """Orders' parts with the part's name, where the part is known."""
     e = c.edges(spark, d).where("type = 'uses'")
     parts = c.table(spark, d, "part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("to_id"), F.col("p_name").alias("target"), "p_partkey")
-    by_id = parts.where("p_partkey % 2 = 0").select("to_id", "target")
+    by_id = parts.select("to_id", "target")
     return e.join(by_id, "to_id", "left").select("from_id", "to_id", "target")
 
 
@@ -96,19 +96,19 @@ def _bfs_sql(start: str, hops: str, depth: int) -> str:
 OUT = "select from_id as node, to_id as next from edges"
 IN = "select to_id as node, from_id as next from edges"
 SQL = {
-    "graph_outgoing": "select from_id, type, to_id from edges where type = 'uses' and from_id in (select 'o:' || version_id from versions where version_id % 10 = 0)",
-    "graph_incoming": "select distinct from_id, type, to_id from edges where to_id in (select 'p:' || p_partkey from part where p_partkey % 5 = 0)",
+    "graph_outgoing": "select from_id, type, to_id from edges where type = 'uses' and from_id in (select 'o:' || o_orderkey from orders where o_orderstatus = 'F')",
+    "graph_incoming": "select distinct from_id, type, to_id from edges where to_id in (select 'p:' || p_partkey from part where p_brand = 'Brand#7')",
     "graph_follow_latest": "select v.version_id, v.record_id, l.version_id as latest_id from versions v left join lateral (select w.version_id from versions w where w.record_id = v.record_id and not w.tombstoned order by w.seq desc limit 1) l on true",
     "graph_private_node": "select record_id as node, not (visibility = 'public' or ns = 'MACHINERY') as private, case when visibility = 'public' or ns = 'MACHINERY' then name end as label from records",
     "graph_hidden_targets": "select v.version_id, v.record_id from versions v join records r on r.record_id = v.record_id where not (r.visibility = 'public' or r.ns = 'MACHINERY')",
-    "join_edge_target": "select from_id, to_id, (select p_name from part where 'p:' || p_partkey = to_id and p_partkey % 2 = 0) as target from edges where type = 'uses'",
+    "join_edge_target": "select from_id, to_id, (select p_name from part where 'p:' || p_partkey = to_id) as target from edges where type = 'uses'",
     "join_resolve_ingest": "select p.p_partkey, p.p_name, case when (select count(*) from part q where q.p_name = p.p_name) = 1 then p.p_partkey end as resolved from part p",
     "join_mutual_refs": "select m.to_id as supplier, count(distinct m.from_id) as parts, count(distinct u.from_id) as orders from edges m join edges u on u.type = 'uses' and u.to_id = m.from_id where m.type = 'made_by' group by 1",
     "graph_comparison": "select v.version_id, r.ns, r.name, f.fingerprint, b.best, coalesce(f.fingerprint = sha256('1-URGENT'), false) as same_model from versions v join records r on r.record_id = v.record_id left join fingerprints f on f.version_id = v.version_id and f.facet = 'model' left join (select version_id, max(value) as best from results where metric = 'R' group by 1) b on b.version_id = v.version_id where r.visibility = 'public' and not v.tombstoned and v.seq = (select max(w.seq) from versions w where w.record_id = v.record_id and not w.tombstoned) and exists (select 1 from edges u join edges m on m.type = 'made_by' and m.from_id = u.to_id and m.to_id = 's:0' where u.type = 'uses' and u.from_id = 'o:' || v.version_id)",
 }
 BFS = {
-    "graph_bfs": _bfs_sql("select 'o:' || o_orderkey as node from orders where o_orderkey % 100 = 0", OUT, 5),
-    "graph_bfs_in": _bfs_sql("select 'n:' || n_nationkey as node from nation where n_nationkey % 10 = 0", IN, 2),
+    "graph_bfs": _bfs_sql("select 'o:' || o_orderkey as node from orders where o_orderpriority = '1-URGENT'", OUT, 5),
+    "graph_bfs_in": _bfs_sql("select 'n:' || n_nationkey as node from nation where n_regionkey = 0", IN, 2),
     "graph_bfs_both": _bfs_sql("select 'r:' || r_regionkey as node from region", f"{OUT} where type = 'in' union all {IN} where type = 'in'", 2),
 }
 

@@ -72,7 +72,7 @@ def flt_run_result_exists(spark, d):
 
 def _facet(spark, d):
     """A print per run over its language, missing for some."""
-    return c.runs(spark, d).where("doc_id % 7 <> 0").select("record_id", "run_id", F.sha2("lang", 256).alias("fingerprint"))
+    return c.runs(spark, d).where("status <> 'error'").select("record_id", "run_id", F.sha2("lang", 256).alias("fingerprint"))
 
 
 def flt_run_fp(spark, d):
@@ -134,7 +134,7 @@ def join_used_set(spark, d):
 
 def agg_same_all(spark, d):
     mine = c.runs(spark, d).select("record_id").distinct().withColumn("fingerprint", F.sha2(F.lit("en"), 256))
-    some = c.used_runs(spark, d).where("cast(run_id as int) % 60 = 1").select("record_id", "run_id")
+    some = c.used_runs(spark, d).select("record_id", "run_id")
     return run.same_all(some, mine, _facet(spark, d))
 
 
@@ -143,7 +143,7 @@ def agg_hidden_evals(spark, d):
 
 
 def set_outside_used(spark, d):
-    return c.run_results(spark, d).select("record_id", "run_id").distinct().join(c.used_runs(spark, d).where("cast(run_id as int) % 2 = 0"), ["record_id", "run_id"], "left_anti")
+    return c.run_results(spark, d).select("record_id", "run_id").distinct().join(c.used_runs(spark, d).join(c.runs(spark, d).where("status = 'ok'"), ["record_id", "run_id"], "left_semi"), ["record_id", "run_id"], "left_anti")
 
 
 def set_union_refs(spark, d):
@@ -154,7 +154,7 @@ def set_union_refs(spark, d):
 
 def set_except_missing(spark, d):
     wanted = c.runs(spark, d).select(F.col("content_hash").alias("sha256"))
-    ready = c.runs(spark, d).where("doc_id % 3 = 0").select(F.col("content_hash").alias("sha256"))
+    ready = c.runs(spark, d).where("lang = 'en'").select(F.col("content_hash").alias("sha256"))
     return wanted.join(ready, "sha256", "left_anti").distinct()
 
 
@@ -168,7 +168,7 @@ def set_symdiff_keys(spark, d):
 
 def der_run_change(spark, d):
     new = c.used_runs(spark, d).select("record_id", "run_id", F.col("posted_hash").alias("content_hash"))
-    return derive.run_changes(new, c.runs(spark, d).where("doc_id % 4 <> 0"))
+    return derive.run_changes(new, c.runs(spark, d).where("lang <> 'fr'"))
 
 
 def der_batch_dup(spark, d):
@@ -224,7 +224,7 @@ STATE = "case when tombstoned then 'deleted' when archived then '{}' else 'live'
 UP = "not tombstoned and not archived"
 SEEN_RUNS = f"(select r.*, u.run_id is not null as used, {STATE.format('deleted')} as state from runs r left join used_runs u on u.record_id = r.record_id and u.run_id = r.run_id)"
 PAGE = "(select r.run_id, r.status, 'live' as state, r.error_kind, m.value as chars, q.value as quality from runs r left join run_metrics m on m.record_id = r.record_id and m.run_id = r.run_id left join run_results q on q.record_id = r.record_id and q.run_id = r.run_id and q.metric = 'quality' where r.record_id = 'src3' and not r.tombstoned and not r.archived) p"
-FACET = "(select record_id, run_id, sha256(lang) as fingerprint from runs where doc_id % 7 <> 0)"
+FACET = "(select record_id, run_id, sha256(lang) as fingerprint from runs where status <> 'error')"
 PAIRS = "string_agg('[\"' || {0} || '\",\"' || {1} || '\"]', ',' order by {0})"
 SQL = {
     "src_run_scan": f"select record_id, run_id, status, 'live' as state from runs where {UP}",
@@ -234,7 +234,7 @@ SQL = {
     "flt_run_metric": "select r.record_id, r.run_id, m.value as chars from runs r join run_metrics m on m.record_id = r.record_id and m.run_id = r.run_id where m.value >= 2000",
     "flt_run_result": "select record_id, run_id from runs r where exists (select 1 from run_results j where j.record_id = r.record_id and j.run_id = r.run_id and j.metric = 'quality' and j.value >= 1)",
     "flt_run_result_exists": "select record_id, run_id from runs r where exists (select 1 from run_results j where j.record_id = r.record_id and j.run_id = r.run_id and j.metric = 'toxic' and j.value is not null)",
-    "flt_run_fp": "select record_id, run_id, sha256(lang) as fingerprint from runs where doc_id % 7 <> 0 and lang <> 'en'",
+    "flt_run_fp": "select record_id, run_id, sha256(lang) as fingerprint from runs where status <> 'error' and lang <> 'en'",
     "proj_pivot_judgements": "select record_id, run_id, count(*) as judgements, max(value) filter (where metric = 'quality') as quality, max(value) filter (where metric = 'toxic') as toxic from run_results group by all",
     "proj_pivot_metrics": "select record_id, run_id, max(value) filter (where metric = 'core/chars') as chars, max(value) filter (where metric = 'quality') as quality, max(value) filter (where metric = 'toxic') as toxic from (select record_id, run_id, metric, value from run_metrics union all select record_id, run_id, metric, value from run_results) group by all",
     "sort_judgement": f"select * from {PAGE} order by quality nulls last, run_id limit 51",
@@ -247,13 +247,13 @@ SQL = {
     "agg_set_hash": f"select record_id, sha256('[' || coalesce({PAIRS.format('run_id', 'content_hash')} filter (where {UP}), '') || ']') as runs_hash from runs group by 1",
     "agg_used_summary": f"select u.record_id, count(*) as runs_used, sha256('[' || {PAIRS.format('r.run_id', 'r.content_hash')} || ']') as used_hash, sha256('[' || {PAIRS.format('r.run_id', 'u.posted_hash')} || ']') as posted_hash, coalesce(string_agg(r.run_id, ',' order by r.run_id) filter (where u.posted_hash <> r.content_hash), '') as changed from used_runs u join runs r on r.record_id = u.record_id and r.run_id = u.run_id group by 1",
     "join_used_set": f"select u.record_id, u.run_id, r.status, f.fingerprint, u.posted_hash <> r.content_hash as changed from used_runs u join runs r on r.record_id = u.record_id and r.run_id = u.run_id left join {FACET} f on f.record_id = u.record_id and f.run_id = u.run_id",
-    "agg_same_all": f"select s.record_id, count(u.run_id) > 0 and bool_and(coalesce(f.fingerprint = sha256('en'), false)) as same from (select distinct record_id from runs) s left join used_runs u on u.record_id = s.record_id and cast(u.run_id as int) % 60 = 1 left join {FACET} f on f.record_id = u.record_id and f.run_id = u.run_id group by 1",
+    "agg_same_all": f"select s.record_id, count(u.run_id) > 0 and bool_and(coalesce(f.fingerprint = sha256('en'), false)) as same from (select distinct record_id from runs) s left join used_runs u on u.record_id = s.record_id left join {FACET} f on f.record_id = u.record_id and f.run_id = u.run_id group by 1",
     "agg_hidden_evals": "select record_id, count(*) as judgements from run_results where record_id not in ('src0', 'src1') group by 1",
-    "set_outside_used": "select distinct record_id, run_id from run_results j where not exists (select 1 from used_runs u where u.record_id = j.record_id and u.run_id = j.run_id and cast(u.run_id as int) % 2 = 0)",
+    "set_outside_used": "select distinct record_id, run_id from run_results j where not exists (select 1 from used_runs u join runs r on r.record_id = u.record_id and r.run_id = u.run_id and r.status = 'ok' where u.record_id = j.record_id and u.run_id = j.run_id)",
     "set_union_refs": "select 'run' as by, count(*) as refs, count(distinct content_hash) as objects from runs union all select 'version', count(*), count(distinct fingerprint) from fingerprints",
-    "set_except_missing": "select content_hash as sha256 from runs except select content_hash from runs where doc_id % 3 = 0",
+    "set_except_missing": "select content_hash as sha256 from runs except select content_hash from runs where lang = 'en'",
     "set_symdiff_keys": "select q.run_id as id, 'q' as changed from run_results q join run_results t on t.record_id = q.record_id and t.run_id = q.run_id where q.metric = 'quality' and t.metric = 'toxic' and q.value <> t.value",
-    "der_run_change": "select u.record_id, u.run_id, case when r.run_id is null then 'created' when r.tombstoned then 'refused' when r.content_hash = u.posted_hash then 'unchanged' else 'updated' end as change from used_runs u left join (select * from runs where doc_id % 4 <> 0) r on r.record_id = u.record_id and r.run_id = u.run_id",
+    "der_run_change": "select u.record_id, u.run_id, case when r.run_id is null then 'created' when r.tombstoned then 'refused' when r.content_hash = u.posted_hash then 'unchanged' else 'updated' end as change from used_runs u left join (select * from runs where lang <> 'fr') r on r.record_id = u.record_id and r.run_id = u.run_id",
     "der_batch_dup": "select record_id, run_id, ordinal from run_results where ordinal = 1",
     "sink_upsert_run": "select r.record_id, r.run_id, coalesce(u.posted_hash, r.content_hash) as content_hash from runs r left join used_runs u on u.record_id = r.record_id and u.run_id = r.run_id",
     "der_used_set": f"select record_id, run_id, content_hash from runs r where (record_id in ('src0', 'src1', 'src2') and exists (select 1 from used_runs u where u.record_id = r.record_id and u.run_id = r.run_id)) or (({UP}) and record_id not in (select record_id from used_runs where record_id in ('src0', 'src1', 'src2')))",

@@ -40,10 +40,10 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facets model and env; versions whose id is a multiple of 7 have none."""
+    """Facets model and env; versions without a specified priority have none."""
     facet = lambda name, column: F.struct(F.lit(name).alias("facet"), F.sha2(F.col(column), 256).alias("fingerprint"))
     return (
-        table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0")
+        table(spark, sf_dir, "orders").where("o_orderpriority <> '4-NOT SPECIFIED'")
         .select(F.col("o_orderkey").alias("version_id"), F.explode(F.array(facet("model", "o_orderpriority"), facet("env", "o_orderstatus"))).alias("f"))
         .select("version_id", "f.facet", "f.fingerprint")
     )
@@ -71,7 +71,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0")
+    d = table(spark, sf_dir, "documents").where("n_chars >= 200")
     return d.select(F.col("source").alias("record_id"), F.col("doc_id").cast("string").alias("run_id"), F.lit("core/chars").alias("metric"), F.col("n_chars").cast("double").alias("value"))
 
 
@@ -102,10 +102,10 @@ SQL = {
     "records": "select c_custkey as record_id, c_mktsegment as ns, c_name as name, case when c_acctbal < 0 then 'private' else 'public' end as visibility from customer",
     "versions": "select o_orderkey as version_id, o_custkey as record_id, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as seq, o_orderdate as created_at, o_orderstatus = 'P' as tombstoned, o_orderpriority as model_id, o_totalprice as temperature, o_orderstatus as env from orders",
     "results": "select l_orderkey as version_id, l_returnflag as metric, l_linestatus as aggregation, l_extendedprice as value, l_quantity as n from lineitem",
-    "fingerprints": "select o_orderkey as version_id, 'model' as facet, sha256(o_orderpriority) as fingerprint from orders where o_orderkey % 7 <> 0 union all select o_orderkey, 'env', sha256(o_orderstatus) from orders where o_orderkey % 7 <> 0",
+    "fingerprints": "select o_orderkey as version_id, 'model' as facet, sha256(o_orderpriority) as fingerprint from orders where o_orderpriority <> '4-NOT SPECIFIED' union all select o_orderkey, 'env', sha256(o_orderstatus) from orders where o_orderpriority <> '4-NOT SPECIFIED'",
     "edges": "select distinct 'o:' || l_orderkey as from_id, 'uses' as type, 'p:' || l_partkey as to_id from lineitem union select 'p:' || l_partkey, 'made_by', 's:' || l_suppkey from lineitem union select 's:' || s_suppkey, 'in', 'n:' || s_nationkey from supplier union select 'n:' || n_nationkey, 'in', 'r:' || n_regionkey from nation",
     "runs": "select source as record_id, cast(doc_id as varchar) as run_id, case when n_chars < 200 then 'error' when lang = 'es' then 'skipped' else 'ok' end as status, case when n_chars < 200 then 'kind' || (doc_id % 3) end as error_kind, doc_id % 11 = 0 as archived, doc_id % 13 = 0 as tombstoned, sha256(text) as content_hash, lang, doc_id from documents",
-    "run_metrics": "select source as record_id, cast(doc_id as varchar) as run_id, 'core/chars' as metric, cast(n_chars as double) as value from documents where doc_id % 5 <> 0",
+    "run_metrics": "select source as record_id, cast(doc_id as varchar) as run_id, 'core/chars' as metric, cast(n_chars as double) as value from documents where n_chars >= 200",
     "run_results": "select d.source as record_id, cast(d.doc_id as varchar) as run_id, x.ordinal, x.metric, x.value from labels l join documents d using (doc_id), lateral (select 0 as ordinal, 'quality' as metric, cast(l.quality as double) as value union all select 1, 'toxic', cast(l.toxic as double)) x",
     "used_runs": "select source as record_id, cast(doc_id as varchar) as run_id, case when doc_id % 17 = 0 then sha256(lang) else sha256(text) end as posted_hash from documents where doc_id in (select doc_id from labels)",
     "bodies": "select event_id as version_id, user_id as record_id, event_type as type, props as body, ts as created_at from events",

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scorebook.functions import canon, ids, jsonx
+from scorebook.operators import records
 from scorebook.sources import ingest
 from scorebook.streaming import jobs
 
@@ -36,7 +37,7 @@ def test_containment():
         jsonx.path("a\x01")
 
 
-@pytest.mark.parametrize(("x", "text"), [(0.0, "0"), (-0.0, "0"), (1.0, "1"), (4.50, "4.5"), (1e21, "1e+21"), (1e20, "100000000000000000000"), (1e-7, "1e-7"), (0.000001, "0.000001"), (123e-20, "1.23e-18"), (333333333.33333329, "333333333.3333333")])
+@pytest.mark.parametrize(("x", "text"), [(0.0, "0"), (-0.0, "0"), (1.0, "1"), (4.50, "4.5"), (1e21, "1e+21"), (1e20, "100000000000000000000"), (1e-7, "1e-7"), (0.000001, "0.000001"), (123e-20, "1.23e-18"), (333333333.33333329, "333333333.3333333"), (9007199254740993, "9007199254740992"), (100000000000000000001, "100000000000000000000")])
 def test_numbers(x, text):
     assert canon.number(x) == text
 
@@ -106,3 +107,8 @@ def test_streams(spark, tmp_path):
     known = spark.createDataFrame([("metrics", "m")], "kind string, id string")
     jobs.badge_sweep(spark, f"{out}/results", known, str(tmp_path / "badges"), str(tmp_path / "cp2"))
     assert sorted((r["version_id"], r["registered"]) for r in spark.read.parquet(str(tmp_path / "badges")).collect()) == [(1, True), (2, False)]
+
+
+def test_latest_carries_any_type(spark):
+    rows = spark.sql("select 'r' as record_id, seq, false as tombstoned, map('k', seq) as body from values (1), (3), (2) as t(seq)")
+    assert records.latest(rows).first()["body"] == {"k": 3}
