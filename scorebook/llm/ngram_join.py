@@ -359,24 +359,27 @@ def _cross(table: pa.Table, num: int, den: int, bounds: Bounds) -> pa.Table:
 
 
 def _incidence(lists: DataFrame, num: int, den: int) -> DataFrame:
-    """list, times, node, n of the nodes that may link with another such node, and how common a node's shingles are."""
-    rows = lists.select("list", "times", F.explode(F.arrays_zip("nodes", "sizes")).alias("e")).select("list", "times", F.col("e.nodes").alias("node"), F.col("e.sizes").cast("long").alias("n"))
-    width = lists.groupBy("list").agg(F.sum(F.size("nodes")).alias("width")).where("width > 1")
-    held = materialise(rows.join(width, "list"), "join-able")
+    """list, segment, times and members (how common its shingles are, node, n): the nodes with enough of their shingles in lists."""
+    rows = lists.select("list", "times", F.element_at("nodes", 1).alias("segment"), F.size("nodes").alias("width"), F.explode(F.arrays_zip("nodes", "sizes")).alias("e"))
+    rows = rows.select("list", "segment", "times", "width", F.col("e.nodes").alias("node"), F.col("e.sizes").cast("long").alias("n"))
     common = F.sum(F.col("times") * F.log("width")) / F.max("n")
-    still = held.groupBy("node").agg(common.alias("common"), F.sum("times").alias("g"), F.max("n").alias("n"))
-    return materialise(held.join(still.where(f"{den}L * g >= {num}L * n").select("node", "common"), "node"), "join-incidence")
+    able = rows.groupBy("node").agg(common.alias("common"), F.sum("times").alias("g"), F.max("n").alias("n")).where(f"{den}L * g >= {num}L * n")
+    rows = rows.join(able.select("node", "common"), "node")
+    cells = rows.groupBy("list", "segment").agg(F.max("times").alias("times"), F.collect_list(F.struct("common", "node", "n")).alias("members"))
+    return materialise(cells, "join-incidence")
 
 
 def _hub_links(cells: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """node and hub, the most common node of its lists that it meets most often; the pairs (a, b) of these that link."""
-    hubs = cells.groupBy("list").agg(F.max(F.struct("common", "node", "n")).alias("h")).select("list", F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
-    met = cells.join(hubs, "list").where(f"node <> hub and {den}L * least(n, m) >= {num}L * greatest(n, m)").groupBy("node", "hub").agg(F.sum("times").alias("shared"), F.max("m").alias("m"))
-    best = materialise(met.groupBy("node").agg(F.max(F.struct("shared", "hub", "m")).alias("b")).select("node", F.col("b.hub").alias("hub"), F.col("b.m").alias("m")), "join-hubs")
-    own = cells.select("list", "times", "node", "n").join(best, "node")
-    both = own.join(cells.select("list", F.col("node").alias("hub")), ["list", "hub"]).groupBy("node", "hub", "n", "m").agg(F.sum("times").alias("shared"))
-    linked = both.where(f"{den}L * shared >= {num}L * (n + m - shared)").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    return best, materialise(linked, "join-links")
+    """node and hub, the most common node of its lists that it meets most often; and pairs (a, b) of such that surely link."""
+    hubs = cells.withColumn("h", F.array_max("members")).select("times", "h", F.explode("members").alias("x"))
+    met = hubs.select("times", F.col("x.node").alias("node"), F.col("x.n").alias("n"), F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
+    met = met.where(f"node <> hub and {den}L * least(n, m) >= {num}L * greatest(n, m)").groupBy("node", "hub", "n", "m").agg(F.sum("times").alias("shared"))
+    met = materialise(met, "join-met")
+    # Lists where a node more common than the hub stands count for another pair, so this is the least that they share.
+    links = materialise(met.where(f"{den}L * shared >= {num}L * (n + m - shared)").select(F.col("hub").alias("a"), F.col("node").alias("b")), "join-links")
+    best = materialise(met.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("b")).select("node", F.col("b.hub").alias("hub")), "join-hubs")
+    discard(met)
+    return best, links
 
 
 def _cross_links(cells: DataFrame, best: DataFrame, links: DataFrame, num: int, den: int, bounds: Bounds) -> DataFrame:
@@ -384,24 +387,27 @@ def _cross_links(cells: DataFrame, best: DataFrame, links: DataFrame, num: int,
     label = materialise(components(links), "join-label")
     sizes = label.groupBy("component").agg(F.count("*").alias("many"))
     named = materialise(label.join(sizes, "component"), "join-named")
-    cells = cells.select("list", "times", "node", "n").join(named, "node", "left")
-    rank = F.struct(F.coalesce("many", F.lit(1)).alias("many"), F.coalesce("component", "node").alias("component"))
-    cells = materialise(cells.select("list", "times", "node", "n", rank.alias("rank")), "join-ranked")
-    mixed = materialise(cells.groupBy("list").agg(F.min("rank").alias("least"), F.max("rank").alias("most"), F.count("*").alias("width")).where("least <> most").select("list", "most", "width"), "join-mixed")
-    cells = cells.join(mixed, "list")
+    rows = cells.select("list", "segment", "times", F.explode("members").alias("x")).select("list", "segment", "times", F.col("x.node").alias("node"), F.col("x.n").alias("n"))
+    rank = F.struct(F.coalesce("many", F.lit(1)).alias("many"), F.coalesce("component", "node").alias("component")).alias("rank")
+    member = F.struct(rank, "node", "n")
+    ranked = rows.join(named, "node", "left").groupBy("list", "segment").agg(F.max("times").alias("times"), F.collect_list(member).alias("members"))
+    ranked = materialise(ranked, "join-ranked")
+    ends = ranked.select("list", F.array_min("members")["rank"].alias("lo"), F.array_max("members")["rank"].alias("hi"), F.size("members").alias("width"))
+    mixed = ends.groupBy("list").agg(F.min("lo").alias("lo"), F.max("hi").alias("most"), F.sum("width").alias("width")).where("lo <> most")
+    mixed = materialise(mixed.select("list", "most", "width"), "join-mixed")
+    lists = ranked.join(mixed, "list")
     # Nodes of a smaller component that have enough shingles in common with larger ones.
-    x = cells.where("rank < most")
+    x = lists.select("list", "times", "width", F.explode(F.filter("members", lambda m: m["rank"] < F.col("most"))).alias("x"))
+    x = x.select("list", "times", "width", F.col("x.node").alias("node"), F.col("x.n").alias("n"))
     open_ = x.groupBy("node").agg(F.sum("times").alias("g"), F.max("n").alias("n"), F.max("width").alias("width")).where(f"{den}L * g >= {num}L * n")
-    open_ = materialise(open_.join(best.select("node", "hub"), "node", "left").withColumn("hub", F.coalesce("hub", "node")), "join-open")
+    open_ = materialise(open_.join(best, "node", "left").withColumn("hub", F.coalesce("hub", "node")), "join-open")
     parts = F.greatest(F.ceil(F.sum("n") / bounds.slice_entries), F.ceil(F.count("*") * F.max("width") / bounds.tile)).cast("long")
     slices = open_.join(open_.groupBy("hub").agg(parts.alias("parts")), "hub").select("node", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "parts")).alias("slice"))
     xs = x.select("list", "node").join(slices, "node").groupBy("slice", "list").agg(F.collect_list("node").alias("xs"))
-    segment = F.pmod(F.xxhash64("node"), F.ceil(F.col("width") / bounds.segment).cast("long"))
-    ys = cells.groupBy("list", segment.alias("segment")).agg(F.max("times").alias("times"), F.collect_list(F.struct("node", "n", F.col("rank.component").alias("component"))).alias("y"))
-    ys = ys.select("list", "times", F.col("y.node").alias("ys"), F.col("y.n").alias("sizes"), F.col("y.component").alias("components"))
+    ys = lists.select("list", "times", F.col("members.node").alias("ys"), F.col("members.n").alias("sizes"), F.col("members.rank.component").alias("components"))
     rows = xs.join(ys, "list").select("slice", "times", "xs", "ys", "sizes", "components")
     out = materialise(rows.groupBy("slice").applyInArrow(_with(_cross, num=num, den=den, bounds=bounds), "a long, b long"), "join-links")
-    discard(label, named, cells, mixed, open_)
+    discard(label, named, ranked, mixed, open_)
     return out
 
 
