@@ -369,20 +369,16 @@ def _incidence(lists: DataFrame, num: int, den: int) -> DataFrame:
     return materialise(cells, "join-incidence")
 
 
-def _hub_links(cells: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """node and hub, the most common node of its lists that it meets most often; and pairs (a, b) of such that surely link."""
+def _hub_links(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of nodes with the most common node of their lists."""
     hubs = cells.withColumn("h", F.array_max("members")).select("times", "h", F.explode("members").alias("x"))
     met = hubs.select("times", F.col("x.node").alias("node"), F.col("x.n").alias("n"), F.col("h.node").alias("hub"), F.col("h.n").alias("m"))
     met = met.where(f"node <> hub and {den}L * least(n, m) >= {num}L * greatest(n, m)").groupBy("node", "hub", "n", "m").agg(F.sum("times").alias("shared"))
-    met = materialise(met, "join-met")
     # Lists where a node more common than the hub stands count for another pair, so this is the least that they share.
-    links = materialise(met.where(f"{den}L * shared >= {num}L * (n + m - shared)").select(F.col("hub").alias("a"), F.col("node").alias("b")), "join-links")
-    best = materialise(met.groupBy("node").agg(F.max(F.struct("shared", "hub")).alias("b")).select("node", F.col("b.hub").alias("hub")), "join-hubs")
-    discard(met)
-    return best, links
+    return materialise(met.where(f"{den}L * shared >= {num}L * (n + m - shared)").select(F.col("hub").alias("a"), F.col("node").alias("b")), "join-links")
 
 
-def _cross_links(cells: DataFrame, best: DataFrame, links: DataFrame, num: int, den: int, bounds: Bounds) -> DataFrame:
+def _cross_links(cells: DataFrame, links: DataFrame, num: int, den: int, bounds: Bounds) -> DataFrame:
     """Links (a, b) between components of ``links``; all of them but those that others make needless."""
     label = materialise(components(links), "join-label")
     sizes = label.groupBy("component").agg(F.count("*").alias("many"))
@@ -397,12 +393,14 @@ def _cross_links(cells: DataFrame, best: DataFrame, links: DataFrame, num: int,
     mixed = materialise(mixed.select("list", "most", "width"), "join-mixed")
     lists = ranked.join(mixed, "list")
     # Nodes of a smaller component that have enough shingles in common with larger ones.
-    x = lists.select("list", "times", "width", F.explode(F.filter("members", lambda m: m["rank"] < F.col("most"))).alias("x"))
-    x = x.select("list", "times", "width", F.col("x.node").alias("node"), F.col("x.n").alias("n"))
-    open_ = x.groupBy("node").agg(F.sum("times").alias("g"), F.max("n").alias("n"), F.max("width").alias("width")).where(f"{den}L * g >= {num}L * n")
-    open_ = materialise(open_.join(best, "node", "left").withColumn("hub", F.coalesce("hub", "node")), "join-open")
+    x = lists.select("list", "times", "width", F.col("most.component").alias("target"), F.explode(F.filter("members", lambda m: m["rank"] < F.col("most"))).alias("x"))
+    x = x.select("list", "times", "width", "target", F.col("x.node").alias("node"), F.col("x.n").alias("n"))
+    met = x.groupBy("node", "target").agg(F.sum("times").alias("g"), F.max("n").alias("n"), F.max("width").alias("width"))
+    open_ = met.groupBy("node").agg(F.sum("g").alias("g"), F.max("n").alias("n"), F.max("width").alias("width"), F.max(F.struct("g", "target"))["target"].alias("target"))
+    open_ = materialise(open_.where(f"{den}L * g >= {num}L * n"), "join-open")
+    # Nodes that meet the same component share their lists, which go to each slice once.
     parts = F.greatest(F.ceil(F.sum("n") / bounds.slice_entries), F.ceil(F.count("*") * F.max("width") / bounds.tile)).cast("long")
-    slices = open_.join(open_.groupBy("hub").agg(parts.alias("parts")), "hub").select("node", F.xxhash64("hub", F.pmod(F.xxhash64("node"), "parts")).alias("slice"))
+    slices = open_.join(open_.groupBy("target").agg(parts.alias("parts")), "target").select("node", F.xxhash64("target", F.pmod(F.xxhash64("node"), "parts")).alias("slice"))
     xs = x.select("list", "node").join(slices, "node").groupBy("slice", "list").agg(F.collect_list("node").alias("xs"))
     ys = lists.select("list", "times", F.col("members.node").alias("ys"), F.col("members.n").alias("sizes"), F.col("members.rank.component").alias("components"))
     rows = xs.join(ys, "list").select("slice", "times", "xs", "ys", "sizes", "components")
@@ -433,13 +431,13 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     listed = able.groupBy("block", "part").applyInArrow(_with(_listed, segment=bounds.segment, buckets=max(1, blocks // 8)), PACKED_DDL)
     lists = materialise(listed.groupBy("bucket").applyInArrow(_with(_merged), LISTS_DDL), "join-lists")
     cells = _incidence(lists, num, den)
-    best, links = _hub_links(cells, num, den)
-    more = _cross_links(cells, best, links, num, den, bounds)
+    links = _hub_links(cells, num, den)
+    more = _cross_links(cells, links, num, den, bounds)
     of = materialise(components(links.union(more)), "join-label")
     ids = materialise(rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-ids")
     smallest = materialise(ids.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "join-least")
     named = ids.join(smallest, "component", "left")
-    discard(found, lists, cells, best, links, more, of)
+    discard(found, lists, cells, links, more, of)
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
