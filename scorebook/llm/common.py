@@ -6,7 +6,9 @@ import base64
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,20 @@ def batches(schema: pa.Schema, rows: list[tuple]):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed; ascending 64-bit ones as differences."""
+    if values.dtype == np.uint64:
+        values = np.diff(values, prepend=np.uint64(0))
+    width = values.dtype.itemsize
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes())
+
+
+def unpack(packed: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    values = np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(values, dtype=np.uint64) if kind == np.uint64 else values
+
+
 def offsets_of(df: DataFrame, name: str, column: str = "rank") -> tuple[DataFrame, int]:
     """Write df once; ``column`` numbers its rows from 0 in order of partition and place. Also their number.
 

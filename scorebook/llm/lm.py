@@ -2,11 +2,15 @@
 
 Words, pairs and triples of all training text are counted, named by 64-bit hashes, and stay distributed; only
 pairs and triples that occur once are left out. A context's arcs are the n-grams that go on from it; its failure
-arc leads to the next shorter context with the backoff weight. Pushing weights along the failure arcs leaves one
-number per n-gram: what its arc adds over the arc of the next shorter context, and what leaving its own state
-costs. So the score of a text is the sum over the n-grams in it. The most frequent n-grams (the hot head, of
-bounded number) go to every task; the others leave the pass as rows, meet the weights in a shuffle join, and come
-back as one sum per text. The head's size changes no result.
+arc leads to the next shorter context with the backoff weight.
+
+Texts are written once in chunks. Each chunk asks for the counts of its distinct n-grams: their names go, sorted and
+delta-coded, to blocks of the name space, and a block's task answers with the counts over all training text, one
+answer per question. So most n-grams, which occur once, never become rows. With the counts at its places a chunk is
+traversed left to right: at each place the longest arc is taken, which its counts give the weight of, and the failure
+arcs that lead there are noted. One chunk of each n-gram, named by the block, hands its arc on to the sums that
+give a context's failure weight. The weights of the most frequent contexts (the hot head, of bounded number) go to
+every task; the others meet the noted failure arcs in a shuffle join. The head's size changes no result.
 
 Smoothing: the root is add-one over the training vocabulary, (c+1)/(N+V+1); higher contexts take an absolute
 discount off each kept n-gram and give the freed mass to the failure arc, so each state's distribution sums to
@@ -30,19 +34,22 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_remainder, materialise, small_batches, text_bytes
+from .common import discard, id_remainder, materialise, pack, small_batches, text_bytes, unpack
 
-#: Most frequent n-grams that each task holds; the others are joined.
+#: Most frequent contexts whose failure weights each task holds; the others are joined.
 HOT = 1 << 20
-#: Tokens of which a task counts the n-grams before it hands them on.
-COUNT_TOKENS = 1_000_000
+#: Tokens of a chunk, about; a longer text is a chunk of its own. Bytes of text per block of the name space.
+CHUNK_TOKENS, BLOCK_BYTES = 1_000_000, 8_000_000
 #: Bounds of the small model, those not given: head words, words that n-grams may have (bigrams, trigrams), n-grams.
 HEAD, BIGRAM_WORDS, TRIGRAM_WORDS, MAX_GRAMS = 1 << 18, 2048, 256, 200_000
 DISCOUNT = 0.5
-#: Distinct words, or n-grams, that a task counts before it hands them on.
+#: Distinct words, or n-grams of the small model, that a task counts before it hands them on.
 FLUSH = 400_000
 #: The end token's place among the words, which are never empty.
 END = b""
@@ -254,24 +261,16 @@ class WordKeys(dict):
 
 #: Names of the end token, and of the beginning, which is no word: words hold no space.
 END_KEY, BEGIN_KEY = WordKeys()[END], WordKeys()[b" "]
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-
-def _turned(x: np.ndarray, bits: int) -> np.ndarray:
-    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
-
-
-def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    h = (seed + (_P5 + np.uint64(8))) ^ _turned(x * _P2, 31) * _P1
-    h = _turned(h, 27) * _P1 + _P4
-    h = (h ^ h >> np.uint64(33)) * _P2
-    h = (h ^ h >> np.uint64(29)) * _P3
-    return h ^ h >> np.uint64(32)
+_ODD = np.uint64(0x9E3779B185EBCA87)
 
 
 def gram_keys(pre: np.ndarray, suf: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64(pre, suf): the name of an n-gram from those of its first and its last n - 1 words."""
-    return _hash_long(suf.view(np.uint64), _hash_long(pre.view(np.uint64), np.full(len(pre), 42, np.uint64))).view(np.int64)
+    """Names of n-grams from those of their first and their last n - 1 words."""
+    h = pre.view(np.uint64) * _ODD
+    h = (h ^ h >> np.uint64(29)) + suf.view(np.uint64)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(29)) * _ODD
+    return (h ^ h >> np.uint64(32)).view(np.int64)
 
 
 def _grams(texts: list[bytes], keys: WordKeys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -292,107 +291,165 @@ def _grams(texts: list[bytes], keys: WordKeys) -> tuple[np.ndarray, np.ndarray,
     return out, at, first
 
 
-def _count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words (n = 1, pre = 0), pairs and triples."""
-    keys = WordKeys()
-    texts: list[bytes] = []
-    size = 0
+def _distinct(grams: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the n-grams (n from 0): their places, the sorted distinct names, the first place of each, and which each place has."""
+    places = np.flatnonzero(at > max(0, n - 1))
+    names, i, which = np.unique(grams[n, places].view(np.uint64), return_index=True, return_inverse=True)
+    return places, names, places[i], which
+
+
+CHUNKS = pa.schema([("chunk", pa.int64()), ("bytes", pa.int64()), ("learned", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())), ("body", pa.binary())])
+CHUNKS_DDL = "chunk long, bytes long, learned long, ids array<long>, held array<boolean>, lengths array<long>, body binary"
+QUESTIONS = pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("names", pa.list_(pa.binary())), ("times", pa.list_(pa.binary()))])
+QUESTIONS_DDL = "block long, chunk long, names array<binary>, times array<binary>"
+ANSWERS = pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("words", pa.int64()), ("tokens", pa.int64()), ("counts", pa.list_(pa.binary())), ("owned", pa.list_(pa.binary()))])
+ANSWERS_DDL = "block long, chunk long, words long, tokens long, counts array<binary>, owned array<binary>"
+PASSED = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
+    ("keys", pa.list_(pa.int64())), ("context", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("p", pa.list_(pa.float64())), ("p_low", pa.list_(pa.float64())),
+])
+PASSED_DDL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, keys array<long>, context array<long>, c array<long>, p array<double>, p_low array<double>"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a scan task by about ``tokens`` tokens; a chunk is named by the place of its first row."""
+    made = TaskContext.get().partitionId() << 40
+    ids, held, texts, size = [], [], [], 0
 
     def flush():
-        names, at, _ = _grams(texts, keys)
-        for n in range(3):
-            own = np.flatnonzero(at > max(0, n - 1))
-            _, i, c = np.unique(names[n, own], return_index=True, return_counts=True)
-            i = own[i]
-            pre, suf = (names[n - 1, i - 1], names[n - 1, i]) if n else (np.zeros(len(i), np.int64), names[0, i])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), n + 1, np.int32)), pa.array(pre), pa.array(suf), pa.array(c.astype(np.int64))], names=["n", "pre", "suf", "c"])
+        body = b"".join(texts)
+        row = (made, len(body), held.count(False), list(ids), list(held), list(map(len, texts)), zstandard.ZstdCompressor(level=1).compress(body))
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, CHUNKS.types)], schema=CHUNKS)
 
     for batch in batches:
-        for text in batch.column(0):
+        for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            ids.append(doc)
+            held.append(out)
             texts.append(text.as_py())
             size += len(texts[-1]) // 6 + 2
-            if size > COUNT_TOKENS:
+            if size >= tokens:
                 yield from flush()
-                texts.clear()
-                size = 0
-    if texts:
+                made += len(ids)
+                ids, held, texts, size = [], [], [], 0
+    if ids:
         yield from flush()
 
 
-def _look(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the sorted ``keys``, and whether found there."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return i, keys[i] == wanted
+def _texts(body: bytes, lengths: list[int]) -> list[bytes]:
+    whole = zstandard.ZstdDecompressor().decompress(body)
+    ends = np.cumsum(lengths).tolist()
+    return [whole[e - n : e] for e, n in zip(ends, lengths)]
 
 
-def _score_all(batches: Iterator[pa.RecordBatch], shared, start: float, unseen: float) -> Iterator[pa.RecordBatch]:
-    (hot, more, base), (hot_grams, more_grams) = shared.value
+def _ask(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """For each chunk and block the distinct words, pairs and triples named there, and how often training rows hold each."""
     keys = WordKeys()
-    names = ["doc_id", "held_out", "n_tokens", "known", "base", "score", "keys"]
+    edges = np.array([i * (1 << 64) // blocks for i in range(1, blocks)], np.uint64)
+    for batch in batches:
+        for chunk, held, lengths, body in zip(*(batch.column(c) for c in ("chunk", "held", "lengths", "body"))):
+            grams, at, first = _grams(_texts(body.as_py(), lengths.as_py()), keys)
+            learned = np.repeat(~np.array(held.as_py(), bool), np.diff(np.append(first, len(at))))
+            found = []
+            for n in range(3):
+                places, names, _, which = _distinct(grams, at, n)
+                times = np.bincount(which, weights=learned[places], minlength=len(names)).astype(np.int64)
+                found.append((names, times, np.r_[0, np.searchsorted(names, edges), len(names)]))
+            rows = []
+            for b in range(blocks):
+                own = [slice(cuts[b], cuts[b + 1]) for _, _, cuts in found]
+                if any(x.stop > x.start for x in own):
+                    rows.append((b, chunk.as_py(), [pack(f[0][x]) for f, x in zip(found, own)], [pack(f[1][x]) for f, x in zip(found, own)]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), QUESTIONS.types)], schema=QUESTIONS)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """To each question the counts over all training rows, for pairs and triples 0 in place of 1; each n-gram is one chunk's own.
+
+    ``words`` and ``tokens``: the distinct training words that are the chunk's own, and their occurrences.
+    """
+    asked, times = table["names"].to_pylist(), table["times"].to_pylist()
+    out = [[(), ()] for _ in asked]
+    sums = [(0, 0)] * len(asked)
+    for n in range(3):
+        parts = [unpack(x[n], np.uint64) for x in asked]
+        names, c = np.concatenate(parts), np.concatenate([unpack(x[n], np.int64) for x in times])
+        order = np.argsort(names, kind="stable")
+        new = np.r_[True, names[order][1:] != names[order][:-1]][: len(names)]
+        total = np.add.reduceat(c[order], np.flatnonzero(new)) if len(names) else c
+        count, own = np.empty_like(c), np.empty(len(c), bool)
+        count[order], own[order] = total[np.cumsum(new) - 1], new
+        if n:
+            count[count < 2] = 0
+        ends = np.cumsum(list(map(len, parts)))
+        for i, (start, end) in enumerate(zip(ends - list(map(len, parts)), ends)):
+            mine, some = own[start:end], count[start:end]
+            out[i][0] += (pack(some),)
+            out[i][1] += (pack(np.packbits(mine)),)
+            if not n:
+                sums[i] = (int((mine & (some > 0)).sum()), int(some[mine].sum()))
+    columns = [table["block"], table["chunk"], *zip(*sums), *zip(*out)]
+    return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, t) for x, t in zip(columns, ANSWERS.types)], schema=ANSWERS)
+
+
+def _traverse(table: pa.Table, z: int, texts: int) -> pa.Table:
+    """One chunk's rows with the weights of the arcs taken, and the failure arcs that remain (keys); sums over its own arcs by context."""
+    (chunk,) = table.filter(pc.is_valid(table["body"])).to_pylist()
+    answers = table.filter(pc.is_null(table["body"])).sort_by("block")
+    grams, at, first = _grams(_texts(chunk["body"], chunk["lengths"]), WordKeys())
+    c, own = np.zeros(grams.shape, np.int64), np.zeros(grams.shape, bool)
+    counts, owned = answers["counts"].to_pylist(), answers["owned"].to_pylist()
+    for n in range(3):
+        places, _, firsts, which = _distinct(grams, at, n)
+        parts = [unpack(x[n], np.int64) for x in counts]
+        mine = [np.unpackbits(unpack(x[n], np.uint8), count=len(some)) for x, some in zip(owned, parts)]
+        c[n, places] = np.concatenate(parts)[which] if len(places) else 0
+        own[n, firsts] = np.concatenate(mine).astype(bool)
+    c[0, first] = texts  # how often a text begins
+    before, context = np.roll(c, 1, axis=1), np.roll(grams, 1, axis=1)
+    p = np.zeros(c.shape)
+    p[0] = (c[0] + 1) / z
+    arc = c[1:] > 1
+    p[1:][arc] = (c[1:][arc] - DISCOUNT) / before[:2][arc]
+    word = at > 0
+    taken = np.where(arc[1], p[2], np.where(arc[0], p[1], p[0]))
+    fails = [word & ~arc[0] & ~arc[1] & (before[0] > 1), (at > 1) & ~arc[1] & (before[1] > 1)]
+    missed = np.array(fails)
+    lengths = np.diff(np.append(first, len(at))) - 1
+    add = lambda values: np.add.reduceat(values, first)
+    ends = np.append(0, np.cumsum(add(missed.sum(0)))).astype(np.int32)
+    m, nulls = len(first), lambda t: pa.nulls(len(first), t)
+    rows = pa.table([
+        pa.array(chunk["chunk"] + np.arange(m)), pa.array(chunk["ids"], pa.int64()), pa.array(chunk["held"], pa.bool_()), pa.array(lengths),
+        pa.array(add((word & (c[0] > 0)).astype(np.int64))), pa.array(add(np.where(word, np.log10(p[0]), 0.0))), pa.array(add(np.where(word, np.log10(taken), 0.0))),
+        pa.ListArray.from_arrays(pa.array(ends), pa.array(context[:2].T[missed.T])), *(nulls(t) for t in PASSED.types[8:]),
+    ], schema=PASSED)
+    sums = [own[1:][n] & arc[n] for n in (0, 1)]
+    name = np.concatenate([context[n, x] for n, x in enumerate(sums)])
+    of, i, which = np.unique(name, return_index=True, return_inverse=True)
+    high, low = (np.bincount(which, weights=np.concatenate([p[n + up, x] for n, x in enumerate(sums)]), minlength=len(of)) for up in (1, 0))
+    c_of = np.concatenate([before[n, x] for n, x in enumerate(sums)])[i]
+    arcs = pa.table([pa.nulls(1, t) for t in PASSED.types[:8]] + [pa.array([x], t) for x, t in zip((of, c_of, high, low), PASSED.types[8:])], schema=PASSED)
+    return pa.concat_tables([rows, arcs])
+
+
+def _hot_failures(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Adds the failure weights of contexts in the hot head; keys are those of other contexts."""
+    hot, back = shared.value
     for batch in batches:
         if not batch.num_rows:
             continue
-        grams, at, first = _grams(batch.column(2).to_pylist(), keys)
-        missed = np.zeros(grams.shape, bool)
-        i, found = _look(hot, grams[0])
-        found &= at > 0
-        missed[0] = ~found & (at > 0)
-        value = np.append(more, 0.0)[np.where(found, i, -1)]
-        low = np.append(base, 0.0)[np.where(found, i, -1)]
-        for n in (1, 2):
-            i, hit = _look(hot_grams, grams[n])
-            hit &= at >= n
-            missed[n] = ~hit & (at >= n)
-            value += np.append(more_grams, 0.0)[np.where(hit, i, -1)]
-        tokens = np.diff(np.append(first, len(at))) - 1
-        ends = np.append(0, np.cumsum(np.add.reduceat(missed.sum(0), first))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array(tokens), pa.array(np.add.reduceat(found.astype(np.int64), first)),
-            pa.array(np.add.reduceat(low, first) + unseen * tokens), pa.array(np.add.reduceat(value, first) + unseen * tokens + start),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(grams.T[missed.T])),
-        ], names=names)
-
-
-def _arcs(grams: DataFrame, lower: DataFrame, contexts: DataFrame) -> DataFrame:
-    """key, pre, c, p and p_low, the probability in the next shorter context. lower: key, p; contexts: key, c."""
-    joined = grams.join(lower.select(F.col("key").alias("suf"), F.col("p").alias("p_low")), "suf")
-    joined = joined.join(contexts.select(F.col("key").alias("pre"), F.col("c").alias("_all")), "pre")
-    return joined.select(F.xxhash64("pre", "suf").alias("key"), "pre", "c", ((F.col("c") - DISCOUNT) / F.col("_all")).alias("p"), "p_low")
-
-
-def _failures(arcs: DataFrame) -> DataFrame:
-    """key and back, the log weight of the failure arc, of each context."""
-    left = lambda p: F.greatest(1 - F.sum(p), F.lit(1e-12))
-    return arcs.groupBy(F.col("pre").alias("key")).agg(F.log10(left("p") / left("p_low")).alias("back"))
-
-
-def weights(counted: DataFrame, tokens: int, distinct: int, texts: int) -> tuple[DataFrame, float]:
-    """n, key, c, more and base of each n-gram, and what the beginning's own failure arc costs.
-
-    ``more`` is what the n-gram adds to a score, for a word over an unknown one; ``base`` the part of its unigram.
-    """
-    z = float(tokens + distinct + 1)
-    words = counted.where("n = 1").select(F.col("suf").alias("key"), "c", ((F.col("c") + 1) / z).alias("p"))
-    begin = counted.sparkSession.createDataFrame([(BEGIN_KEY, texts)], "key long, c long")
-    pairs = materialise(_arcs(counted.where("n = 2"), words, words.select("key", "c").union(begin)), "lm-pairs")
-    triples = materialise(_arcs(counted.where("n = 3"), pairs, pairs), "lm-triples")
-    back1, back2 = materialise(_failures(pairs), "lm-back"), materialise(_failures(triples), "lm-back")
-    own, gain = F.coalesce(F.col("back"), F.lit(0.0)), F.log10("p") - F.log10("p_low") - F.col("before")
-    before = lambda back: back.select(F.col("key").alias("pre"), F.col("back").alias("before"))
-    base = F.log10("p") + math.log10(z)
-    none = F.lit(0.0)
-    all_of = words.join(back1, "key", "left").select(F.lit(1).alias("n"), "key", "c", (base + own).alias("more"), base.alias("base"))
-    all_of = all_of.union(pairs.join(before(back1), "pre").join(back2, "key", "left").select(F.lit(2), "key", "c", gain + own, none))
-    all_of = all_of.union(triples.join(before(back2), "pre").select(F.lit(3), "key", "c", gain, none))
-    out = materialise(all_of, "lm-weights")
-    start = back1.where(F.col("key") == BEGIN_KEY).first()
-    discard(pairs, triples, back1, back2)
-    return out, start["back"] if start else 0.0
-
-
-def score(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, hot: int = HOT, **bounds: int) -> DataFrame:
+        lists = batch.column("keys")
+        keys, n = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+        row = np.repeat(np.arange(len(n)), n)
+        i = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
+        found = hot[i] == keys if len(hot) else np.zeros(len(keys), bool)
+        more = np.bincount(row[found], weights=back[i[found]], minlength=len(n))
+        left = np.append(0, np.cumsum(np.bincount(row[~found], minlength=len(n)))).astype(np.int32)
+        columns = {c: batch.column(c) for c in batch.schema.names} | {"score": pa.array(batch.column("score").to_numpy() + more), "keys": pa.ListArray.from_arrays(pa.array(left), pa.array(keys[~found]))}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def score(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, hot: int = HOT, chunk_tokens: int = CHUNK_TOKENS, **bounds: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Learns from the rows whose crc32(doc_id as text) leaves another remainder than ``held_remainder``. ``bounds``
@@ -403,29 +460,33 @@ def score(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, hot: int =
     spark = docs.sparkSession
     small_batches(spark)
     held = id_remainder(modulus) == held_remainder
-    found = docs.where(~held).select(text_bytes()).mapInArrow(_count_all, "n int, pre long, suf long, c long")
-    counted = materialise(found.groupBy("n", "pre", "suf").agg(F.sum("c").alias("c")).where("n = 1 or c > 1"), "lm-counts")
-    of_end = F.sum(F.when(F.col("suf") == END_KEY, F.col("c")))
-    distinct, tokens, texts = counted.where("n = 1").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(of_end, F.lit(0))).first()
-    table, start = weights(counted, tokens, distinct, texts)
-    discard(counted)
-    least = _at_most(table, hot)
-    top = table.where(F.col("c") >= least).orderBy("key").toArrow()
-    n = top.column("n").to_numpy()
-    key, more, base = (top.column(c).to_numpy() for c in ("key", "more", "base"))
-    shared = spark.sparkContext.broadcast(((key[n == 1], more[n == 1], base[n == 1]), (key[n > 1], more[n > 1])))
-
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_bytes())
-    ddl = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, keys array<long>"
-    passed = chosen.mapInArrow(partial(_score_all, shared=shared, start=start, unseen=-math.log10(tokens + distinct + 1)), ddl)
-    passed = materialise(passed.withColumn("row", F.monotonically_increasing_id()), "lm-passed")
-    rare = table.where(F.col("c") < least).select("key", "more", "base", F.when(F.col("n") == 1, 1).otherwise(0).alias("one"))
-    tail = passed.select("row", F.explode("keys").alias("key")).join(rare, "key")
-    sums = tail.groupBy("row").agg(F.sum("more").alias("more"), F.sum("base").alias("more_base"), F.sum("one").alias("more_known"))
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return passed.drop("keys").join(sums, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", plus("known", "more_known").cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more").alias("score"),
+    chunks = materialise(chosen.mapInArrow(partial(_chunks, tokens=chunk_tokens), CHUNKS_DDL), "lm-chunks")
+    size, texts = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+    asked = chunks.mapInArrow(partial(_ask, blocks=blocks), QUESTIONS_DDL)
+    answers = materialise(asked.groupBy("block").applyInArrow(lambda table: _answer(table), ANSWERS_DDL), "lm-answers")
+    distinct, tokens = answers.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    z = tokens + distinct + 1
+    both = chunks.drop("bytes", "learned").unionByName(answers.drop("words", "tokens"), allowMissingColumns=True)
+    passed = materialise(both.groupBy("chunk").applyInArrow(lambda table: _traverse(table, z=z, texts=texts), PASSED_DDL), "lm-passed")
+    discard(chunks, answers)
+    arcs = passed.where("context is not null").select(F.explode(F.arrays_zip("context", "c", "p", "p_low")).alias("a")).select("a.*")
+    left = lambda p: F.greatest(1 - F.sum(p), F.lit(1e-12))
+    backs = arcs.groupBy(F.col("context").alias("key")).agg(F.max("c").alias("c"), F.log10(left("p") / left("p_low")).alias("back"))
+    backs = materialise(backs, "lm-backs")
+    least = _at_most(backs, hot)
+    top = backs.where(F.col("c") >= least).select("key", "back").orderBy("key").toArrow()
+    shared = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy() for c in ("key", "back")))
+
+    rows = passed.where("row is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", F.col("base").alias("base_score"), "score", "keys")
+    rows = materialise(rows.mapInArrow(partial(_hot_failures, shared=shared), rows.schema), "lm-scored")
+    rare = backs.where(F.col("c") < least).select("key", "back")
+    sums = rows.select("row", F.explode("keys").alias("key")).join(rare, "key").groupBy("row").agg(F.sum("back").alias("more"))
+    discard(passed)
+    return rows.drop("keys").join(sums, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score",
+        (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )
 
 

@@ -33,12 +33,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialise, small_batches, text_bytes
+from .common import discard, free_name, materialise, pack, small_batches, text_bytes, unpack
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -97,20 +96,6 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Numbers by byte planes, compressed; ascending 64-bit ones as differences."""
-    if values.dtype == np.uint64:
-        values = np.diff(values, prepend=np.uint64(0))
-    width = values.dtype.itemsize
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T).tobytes())
-
-
-def _unpack(packed: bytes, kind) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-    values = np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-    return np.cumsum(values, dtype=np.uint64) if kind == np.uint64 else values
-
-
 MESSAGE = pa.schema([
     ("block", pa.int64()), ("part", pa.int32()), ("base", pa.int64()), ("h", pa.binary()), ("places", pa.binary()), ("hot", pa.binary()),
     ("own", pa.binary()), ("ids", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
@@ -149,10 +134,10 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: int, words: int, bounds: Bo
                 at = np.r_[0, np.searchsorted(x, np.array(edges[1:-1], np.uint64)), len(x)] if blocks > 1 else np.array([0, len(x)])
                 mark = np.r_[0, np.searchsorted(hot_h, np.array(edges[1:-1], np.uint64)), len(hot_h)] if blocks > 1 else np.array([0, len(hot_h)])
                 for b in np.flatnonzero((at[1:] > at[:-1]) | ((mark[1:] > mark[:-1]) & (part == 0))):
-                    hot = _pack(hot_h[mark[b] : mark[b + 1]]) if part == 0 and mark[b + 1] > mark[b] else None
-                    out.append((int(b), part, base, _pack(x[at[b] : at[b + 1]]), _pack(p[at[b] : at[b + 1]]), hot, *none))
+                    hot = pack(hot_h[mark[b] : mark[b + 1]]) if part == 0 and mark[b + 1] > mark[b] else None
+                    out.append((int(b), part, base, pack(x[at[b] : at[b + 1]]), pack(p[at[b] : at[b + 1]]), hot, *none))
         if rows:
-            own = _pack(np.array(list(map(len, held)), np.uint32))
+            own = pack(np.array(list(map(len, held)), np.uint32))
             out.append(((task * 7919 + chunk) % blocks, 0, base, None, None, None, own, *map(list, zip(*rows))))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), MESSAGE.types)], schema=MESSAGE)
@@ -198,11 +183,11 @@ def _repeated(key: tuple, table: pa.Table) -> pa.Table:
     out = [pa.table([*(rows[c].combine_chunks() if c in rows.column_names else pa.nulls(len(rows), t) for c, t in zip(ENTRIES.names, ENTRIES.types))], schema=ENTRIES)]
     out[0] = out[0].set_column(5, "places", pa.nulls(len(rows), pa.binary()))
     for base, h, p, mark in zip(*(table.filter(pc.is_valid(table["h"]))[c].to_pylist() for c in ("base", "h", "places", "hot"))):
-        hs.append(_unpack(h, np.uint64))
-        places.append(_unpack(p, np.uint16))
+        hs.append(unpack(h, np.uint64))
+        places.append(unpack(p, np.uint16))
         bases.append(base)
         if mark is not None:
-            hot.append(_unpack(mark, np.uint64))
+            hot.append(unpack(mark, np.uint64))
     if not hs:
         return out[0]
     h, place = np.concatenate(hs), np.concatenate(places)
@@ -220,7 +205,7 @@ def _repeated(key: tuple, table: pa.Table) -> pa.Table:
         at = np.searchsorted(source[own], np.arange(len(bases) + 1))
         for i in np.flatnonzero(at[1:] > at[:-1]):
             mine = own[at[i] : at[i + 1]]
-            found.append((block, part, bases[i], named, _pack(name[mine]), _pack(place[mine]), *(None,) * 4))
+            found.append((block, part, bases[i], named, pack(name[mine]), pack(place[mine]), *(None,) * 4))
     if found:
         out.append(pa.table([pa.array(c, t) for c, t in zip(zip(*found), ENTRIES.types)], schema=ENTRIES))
     return pa.concat_tables(out)
@@ -228,16 +213,16 @@ def _repeated(key: tuple, table: pa.Table) -> pa.Table:
 
 def _able(table: pa.Table, num: int, den: int) -> pa.Table:
     """A chunk's entries of nodes with enough of their shingles in common with others."""
-    size = [_unpack(x, np.uint32).astype(np.int64) for x in table["own"].to_pylist() if x is not None]
+    size = [unpack(x, np.uint32).astype(np.int64) for x in table["own"].to_pylist() if x is not None]
     size = np.concatenate([*size, np.empty(0, np.int64)])
     some = table.filter(pc.is_valid(table["places"]))
-    places = [_unpack(x, np.uint16) for x in some["places"].to_pylist()]
+    places = [unpack(x, np.uint16) for x in some["places"].to_pylist()]
     able = np.bincount(np.concatenate([*places, np.empty(0, np.uint16)]).astype(np.int64), minlength=len(size)) * den >= num * size
     out = []
     for block, part, base, dealt, columns, p in zip(*(some[c].to_pylist() for c in ("block", "part", "base", "dealt", "columns")), places):
         ok = able[p]
         if ok.any():
-            out.append((block, part, dealt, base, _pack(_unpack(columns, np.uint64)[ok]), _pack(p[ok]), _pack(size[p[ok]].astype(np.uint32))))
+            out.append((block, part, dealt, base, pack(unpack(columns, np.uint64)[ok]), pack(p[ok]), pack(size[p[ok]].astype(np.uint32))))
     return _rows(out, [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 3], ["block", "part", "dealt", "base", "columns", "places", "sizes"])
 
 
@@ -251,9 +236,9 @@ def _listed(key: tuple, table: pa.Table, segment: int, buckets: int) -> pa.Table
         own = table.filter(pc.equal(table["dealt"], dealt))
         if not len(own):
             continue
-        column = np.concatenate([_unpack(x, np.uint64) for x in own["columns"].to_pylist()])
-        node = np.concatenate([b + _unpack(x, np.uint16).astype(np.int64) for b, x in zip(own["base"].to_pylist(), own["places"].to_pylist())])
-        size = np.concatenate([_unpack(x, np.uint32) for x in own["sizes"].to_pylist()])
+        column = np.concatenate([unpack(x, np.uint64) for x in own["columns"].to_pylist()])
+        node = np.concatenate([b + unpack(x, np.uint16).astype(np.int64) for b, x in zip(own["base"].to_pylist(), own["places"].to_pylist())])
+        size = np.concatenate([unpack(x, np.uint32) for x in own["sizes"].to_pylist()])
         order = np.lexsort((node, column))
         column, node, size = column[order], node[order], size[order]
         starts = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
@@ -274,7 +259,7 @@ def _listed(key: tuple, table: pa.Table, segment: int, buckets: int) -> pa.Table
             mine = np.flatnonzero(bucket == b)
             at = _ranges(starts[mine], n[mine])
             packed = (name[mine].view(np.int64), times[mine].astype(np.uint32), n[mine].astype(np.uint32), node[at], size[at])
-            out.append((int(b), dealt, *map(_pack, packed)))
+            out.append((int(b), dealt, *map(pack, packed)))
     return _rows(out, [pa.int64(), pa.bool_(), *[pa.binary()] * 5], ["bucket", "dealt", "names", "times", "widths", "nodes", "sizes"])
 
 
@@ -286,7 +271,7 @@ def _merged(key: tuple, table: pa.Table) -> pa.Table:
         if not len(own):
             continue
         kinds = {"names": np.int64, "times": np.uint32, "widths": np.uint32, "nodes": np.int64, "sizes": np.uint32}
-        name, times, n, node, size = (np.concatenate([_unpack(x, k) for x in own[c].to_pylist()]) for c, k in kinds.items())
+        name, times, n, node, size = (np.concatenate([unpack(x, k) for x in own[c].to_pylist()]) for c, k in kinds.items())
         times, n = times.astype(np.int64), n.astype(np.int64)
         starts = np.cumsum(n) - n
         if dealt:

@@ -151,13 +151,13 @@ def test_lm_states_are_distributions(docs):
         assert sum(p(state, w) if w < bi else 10 ** (a.all_back[state] + log10[w]) for w in range(len(order))) + unseen == pytest.approx(1)
 
 
-@pytest.mark.parametrize("hot", [lm.HOT, 40, 0])
-def test_lm_counts_all_words(spark, hot):
+@pytest.mark.parametrize(("hot", "chunk"), [(lm.HOT, lm.CHUNK_TOKENS), (40, 100), (0, 1)])
+def test_lm_counts_all_words(spark, hot, chunk):
     """Pairs and triples of rare words too: the scores are those of a backoff model over every n-gram."""
     r = random.Random(9)
     texts = [" ".join(f"w{i}" for i in range(3000)), " ".join(f"w{i}" for i in range(1500, 3000))]
     texts += [" ".join(f"w{r.randint(0, 40)}" for _ in range(r.randint(0, 60))) for _ in range(40)] + ["w2900 w2901 w2902 unknown w2903", "", None]
-    got = {x["doc_id"]: x for x in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), hot=hot).collect()}
+    got = {x["doc_id"]: x for x in lm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), hot=hot, chunk_tokens=chunk).collect()}
     runs = {i: ["<", *words(t), ""] for i, t in enumerate(texts)}
     grams = [Counter(), Counter(), Counter()]
     for i, t in runs.items():
