@@ -45,7 +45,10 @@ from .common import discard, id_remainder, materialise, pack, small_batches, tex
 #: Most frequent contexts whose failure weights each task holds; the others are joined.
 HOT = 1 << 20
 #: Tokens of a chunk, about; a longer text is a chunk of its own. Bytes of text per block of the name space.
-CHUNK_TOKENS, BLOCK_BYTES = 1_000_000, 8_000_000
+CHUNK_TOKENS, BLOCK_BYTES = 500_000, 8_000_000
+#: Bits of a name in questions beyond those that the bytes of all texts need: two n-grams share a name, and so their
+#: counts, with a probability under 2^-22 each. Names have 64 bits at most.
+SPARE_BITS = 22
 #: Bounds of the small model, those not given: head words, words that n-grams may have (bigrams, trigrams), n-grams.
 HEAD, BIGRAM_WORDS, TRIGRAM_WORDS, MAX_GRAMS = 1 << 18, 2048, 256, 200_000
 DISCOUNT = 0.5
@@ -291,10 +294,10 @@ def _grams(texts: list[bytes], keys: WordKeys) -> tuple[np.ndarray, np.ndarray,
     return out, at, first
 
 
-def _distinct(grams: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the n-grams (n from 0): their places, the sorted distinct names, the first place of each, and which each place has."""
+def _distinct(grams: np.ndarray, at: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the n-grams (n from 0): their places, the sorted distinct names of so many bits, the first place of each, and which each place has."""
     places = np.flatnonzero(at > max(0, n - 1))
-    names, i, which = np.unique(grams[n, places].view(np.uint64), return_index=True, return_inverse=True)
+    names, i, which = np.unique(grams[n, places].view(np.uint64) >> np.uint64(64 - bits), return_index=True, return_inverse=True)
     return places, names, places[i], which
 
 
@@ -318,7 +321,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.Recor
 
     def flush():
         body = b"".join(texts)
-        row = (made, len(body), held.count(False), list(ids), list(held), list(map(len, texts)), zstandard.ZstdCompressor(level=1).compress(body))
+        row = (made, len(body), held.count(False), list(ids), list(held), list(map(len, texts)), zstandard.ZstdCompressor(level=3).compress(body))
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, CHUNKS.types)], schema=CHUNKS)
 
     for batch in batches:
@@ -341,17 +344,17 @@ def _texts(body: bytes, lengths: list[int]) -> list[bytes]:
     return [whole[e - n : e] for e, n in zip(ends, lengths)]
 
 
-def _ask(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+def _ask(batches: Iterator[pa.RecordBatch], blocks: int, bits: int) -> Iterator[pa.RecordBatch]:
     """For each chunk and block the distinct words, pairs and triples named there, and how often training rows hold each."""
     keys = WordKeys()
-    edges = np.array([i * (1 << 64) // blocks for i in range(1, blocks)], np.uint64)
+    edges = np.array([i * (1 << bits) // blocks for i in range(1, blocks)], np.uint64)
     for batch in batches:
         for chunk, held, lengths, body in zip(*(batch.column(c) for c in ("chunk", "held", "lengths", "body"))):
             grams, at, first = _grams(_texts(body.as_py(), lengths.as_py()), keys)
             learned = np.repeat(~np.array(held.as_py(), bool), np.diff(np.append(first, len(at))))
             found = []
             for n in range(3):
-                places, names, _, which = _distinct(grams, at, n)
+                places, names, _, which = _distinct(grams, at, n, bits)
                 times = np.bincount(which, weights=learned[places], minlength=len(names)).astype(np.int64)
                 found.append((names, times, np.r_[0, np.searchsorted(names, edges), len(names)]))
             rows = []
@@ -391,7 +394,7 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.table([x if isinstance(x, pa.ChunkedArray) else pa.array(x, t) for x, t in zip(columns, ANSWERS.types)], schema=ANSWERS)
 
 
-def _traverse(table: pa.Table, z: int, texts: int) -> pa.Table:
+def _traverse(table: pa.Table, z: int, texts: int, bits: int) -> pa.Table:
     """One chunk's rows with the weights of the arcs taken, and the failure arcs that remain (keys); sums over its own arcs by context."""
     (chunk,) = table.filter(pc.is_valid(table["body"])).to_pylist()
     answers = table.filter(pc.is_null(table["body"])).sort_by("block")
@@ -399,7 +402,7 @@ def _traverse(table: pa.Table, z: int, texts: int) -> pa.Table:
     c, own = np.zeros(grams.shape, np.int64), np.zeros(grams.shape, bool)
     counts, owned = answers["counts"].to_pylist(), answers["owned"].to_pylist()
     for n in range(3):
-        places, _, firsts, which = _distinct(grams, at, n)
+        places, _, firsts, which = _distinct(grams, at, n, bits)
         parts = [unpack(x[n], np.int64) for x in counts]
         mine = [np.unpackbits(unpack(x[n], np.uint8), count=len(some)) for x, some in zip(owned, parts)]
         c[n, places] = np.concatenate(parts)[which] if len(places) else 0
@@ -464,12 +467,13 @@ def score(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, hot: int =
     chunks = materialise(chosen.mapInArrow(partial(_chunks, tokens=chunk_tokens), CHUNKS_DDL), "lm-chunks")
     size, texts = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
-    asked = chunks.mapInArrow(partial(_ask, blocks=blocks), QUESTIONS_DDL)
+    bits = min(64, int(size).bit_length() + SPARE_BITS)
+    asked = chunks.mapInArrow(partial(_ask, blocks=blocks, bits=bits), QUESTIONS_DDL)
     answers = materialise(asked.groupBy("block").applyInArrow(lambda table: _answer(table), ANSWERS_DDL), "lm-answers")
     distinct, tokens = answers.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     z = tokens + distinct + 1
     both = chunks.drop("bytes", "learned").unionByName(answers.drop("words", "tokens"), allowMissingColumns=True)
-    passed = materialise(both.groupBy("chunk").applyInArrow(lambda table: _traverse(table, z=z, texts=texts), PASSED_DDL), "lm-passed")
+    passed = materialise(both.groupBy("chunk").applyInArrow(lambda table: _traverse(table, z=z, texts=texts, bits=bits), PASSED_DDL), "lm-passed")
     discard(chunks, answers)
     arcs = passed.where("context is not null").select(F.explode(F.arrays_zip("context", "c", "p", "p_low")).alias("a")).select("a.*")
     left = lambda p: F.greatest(1 - F.sum(p), F.lit(1e-12))
