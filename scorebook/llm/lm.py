@@ -309,9 +309,9 @@ ANSWERS = pa.schema([("block", pa.int64()), ("chunk", pa.int64()), ("words", pa.
 ANSWERS_DDL = "block long, chunk long, words long, tokens long, counts array<binary>, owned array<binary>"
 PASSED = pa.schema([
     ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-    ("keys", pa.list_(pa.int64())), ("context", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("p", pa.list_(pa.float64())), ("p_low", pa.list_(pa.float64())),
+    ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("context", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("p", pa.list_(pa.float64())), ("p_low", pa.list_(pa.float64())),
 ])
-PASSED_DDL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, keys array<long>, context array<long>, c array<long>, p array<double>, p_low array<double>"
+PASSED_DDL = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, words array<long>, keys array<long>, context array<long>, c array<long>, p array<double>, p_low array<double>"
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
@@ -395,7 +395,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def _traverse(table: pa.Table, z: int, texts: int, bits: int) -> pa.Table:
-    """One chunk's rows with the weights of the arcs taken, and the failure arcs that remain (keys); sums over its own arcs by context."""
+    """One chunk's rows with the weights of the arcs taken, and the failure arcs that remain, of words and of pairs (keys); sums over its own arcs by context."""
     (chunk,) = table.filter(pc.is_valid(table["body"])).to_pylist()
     answers = table.filter(pc.is_null(table["body"])).sort_by("block")
     grams, at, first = _grams(_texts(chunk["body"], chunk["lengths"]), WordKeys())
@@ -416,22 +416,21 @@ def _traverse(table: pa.Table, z: int, texts: int, bits: int) -> pa.Table:
     word = at > 0
     taken = np.where(arc[1], p[2], np.where(arc[0], p[1], p[0]))
     fails = [word & ~arc[0] & ~arc[1] & (before[0] > 1), (at > 1) & ~arc[1] & (before[1] > 1)]
-    missed = np.array(fails)
     lengths = np.diff(np.append(first, len(at))) - 1
     add = lambda values: np.add.reduceat(values, first)
-    ends = np.append(0, np.cumsum(add(missed.sum(0)))).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(add(x.astype(np.int64)))).astype(np.int32)), pa.array(context[n, x])) for n, x in enumerate(fails)]
     m, nulls = len(first), lambda t: pa.nulls(len(first), t)
     rows = pa.table([
         pa.array(chunk["chunk"] + np.arange(m)), pa.array(chunk["ids"], pa.int64()), pa.array(chunk["held"], pa.bool_()), pa.array(lengths),
         pa.array(add((word & (c[0] > 0)).astype(np.int64))), pa.array(add(np.where(word, np.log10(p[0]), 0.0))), pa.array(add(np.where(word, np.log10(taken), 0.0))),
-        pa.ListArray.from_arrays(pa.array(ends), pa.array(context[:2].T[missed.T])), *(nulls(t) for t in PASSED.types[8:]),
+        *lists, *(nulls(t) for t in PASSED.types[9:]),
     ], schema=PASSED)
     sums = [own[1:][n] & arc[n] for n in (0, 1)]
     name = np.concatenate([context[n, x] for n, x in enumerate(sums)])
     of, i, which = np.unique(name, return_index=True, return_inverse=True)
     high, low = (np.bincount(which, weights=np.concatenate([p[n + up, x] for n, x in enumerate(sums)]), minlength=len(of)) for up in (1, 0))
     c_of = np.concatenate([before[n, x] for n, x in enumerate(sums)])[i]
-    arcs = pa.table([pa.nulls(1, t) for t in PASSED.types[:8]] + [pa.array([x], t) for x, t in zip((of, c_of, high, low), PASSED.types[8:])], schema=PASSED)
+    arcs = pa.table([pa.nulls(1, t) for t in PASSED.types[:9]] + [pa.array([x], t) for x, t in zip((of, c_of, high, low), PASSED.types[9:])], schema=PASSED)
     return pa.concat_tables([rows, arcs])
 
 
@@ -441,14 +440,16 @@ def _hot_failures(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Reco
     for batch in batches:
         if not batch.num_rows:
             continue
-        lists = batch.column("keys")
-        keys, n = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
-        row = np.repeat(np.arange(len(n)), n)
+        lists, n = [batch.column(x) for x in ("words", "keys")], batch.num_rows
+        keys = np.concatenate([x.flatten().to_numpy() for x in lists])
+        row = np.concatenate([np.repeat(np.arange(n), pc.list_value_length(x).to_numpy()) for x in lists])
+        by_row = np.argsort(row, kind="stable")
+        keys, row = keys[by_row], row[by_row]
         i = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
         found = hot[i] == keys if len(hot) else np.zeros(len(keys), bool)
-        more = np.bincount(row[found], weights=back[i[found]], minlength=len(n))
-        left = np.append(0, np.cumsum(np.bincount(row[~found], minlength=len(n)))).astype(np.int32)
-        columns = {c: batch.column(c) for c in batch.schema.names} | {"score": pa.array(batch.column("score").to_numpy() + more), "keys": pa.ListArray.from_arrays(pa.array(left), pa.array(keys[~found]))}
+        more = np.bincount(row[found], weights=back[i[found]], minlength=n)
+        left = np.append(0, np.cumsum(np.bincount(row[~found], minlength=n))).astype(np.int32)
+        columns = {c: batch.column(c) for c in batch.schema.names if c != "words"} | {"score": pa.array(batch.column("score").to_numpy() + more), "keys": pa.ListArray.from_arrays(pa.array(left), pa.array(keys[~found]))}
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
@@ -483,8 +484,8 @@ def score(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, hot: int =
     top = backs.where(F.col("c") >= least).select("key", "back").orderBy("key").toArrow()
     shared = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy() for c in ("key", "back")))
 
-    rows = passed.where("row is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", F.col("base").alias("base_score"), "score", "keys")
-    rows = materialise(rows.mapInArrow(partial(_hot_failures, shared=shared), rows.schema), "lm-scored")
+    rows = passed.where("row is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", F.col("base").alias("base_score"), "score", "words", "keys")
+    rows = materialise(rows.mapInArrow(partial(_hot_failures, shared=shared), rows.drop("words").schema), "lm-scored")
     rare = backs.where(F.col("c") < least).select("key", "back")
     sums = rows.select("row", F.explode("keys").alias("key")).join(rare, "key").groupBy("row").agg(F.sum("back").alias("more"))
     discard(passed)
