@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import batches as as_batches
 from .common import discard, free_name, materialise, pack, small_batches, text_bytes, unpack
 from .components import components
 
@@ -107,6 +108,9 @@ ENTRIES_DDL = "block long, part int, base long, dealt boolean, columns binary, p
 ABLE_DDL = "block long, part int, dealt boolean, base long, columns binary, places binary, sizes binary"
 PACKED_DDL = "bucket long, dealt boolean, names binary, times binary, widths binary, nodes binary, sizes binary"
 LISTS_DDL = "list long, times long, nodes array<long>, sizes array<int>"
+#: Lists of a slice: places of the slice's own nodes ``xn`` and of all nodes ``yn``, as row times their number plus place.
+SLICES = pa.schema([("slice", pa.int64()), *((c, pa.binary()) for c in ("times", "xn", "xs", "yn", "ys", "sizes", "components"))])
+SLICES_DDL = "slice long, times binary, xn binary, xs binary, yn binary, ys binary, sizes binary, components binary"
 
 
 def _deal(batches: Iterator[pa.RecordBatch], blocks: int, words: int, bounds: Bounds) -> Iterator[pa.RecordBatch]:
@@ -289,17 +293,61 @@ def _merged(key: tuple, table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], bounds: Bounds) -> Iterator[pa.RecordBatch]:
+    """A task's rows (slice, times, xs, ys, sizes, components) by slice: each node once, lists as ascending places among them."""
+    held: list[pa.RecordBatch] = []
+
+    def flat(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+        """The lists' values and the numbers of their rows."""
+        lists = table[column].combine_chunks()
+        return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+
+    def placed(values: np.ndarray, row: np.ndarray, among: np.ndarray) -> bytes:
+        return pack(np.sort((row * len(among) + np.searchsorted(among, values)).astype(np.uint64)))
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        held.clear()
+        name = table["slice"].to_numpy()
+        order = np.argsort(name, kind="stable")
+        out = []
+        for rows in np.split(order, np.flatnonzero(np.diff(name[order])) + 1):
+            own = table.take(pa.array(rows))
+            (x, xrow), (y, yrow) = flat(own, "xs"), flat(own, "ys")
+            ux, (uy, first) = np.unique(x), np.unique(y, return_index=True)
+            of = pack(flat(own, "sizes")[0][first].astype(np.uint32)), pack(flat(own, "components")[0][first])
+            times = pack(own["times"].to_numpy().astype(np.uint32))
+            out.append((int(name[rows[0]]), times, pack(ux.view(np.uint64)), placed(x, xrow, ux), pack(uy.view(np.uint64)), placed(y, yrow, uy), *of))
+        yield from as_batches(SLICES, out)
+
+    n = 0
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            n += len(batch.column(3).flatten())
+        if n > bounds.tile // 4:
+            yield from flush()
+            n = 0
+    if held:
+        yield from flush()
+
+
 def _cross(table: pa.Table, num: int, den: int, bounds: Bounds) -> pa.Table:
     """Links (a, b) between a slice's nodes and those of other components; of those that join the same components one."""
-    flat = lambda c: (table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.diff(table[c].combine_chunks().offsets.to_numpy()))
-    (x, nx), (y, ny) = flat("xs"), flat("ys")
-    comp, size = flat("components")[0], flat("sizes")[0]
-    times = table["times"].to_numpy().astype(np.float32)
-    uy, first, yi = np.unique(y, return_index=True, return_inverse=True)
-    comp, size = comp[first], size[first].astype(np.int64)
+    parts: list[list[np.ndarray]] = []
+    n = 0
+    for times, xn, xs, yn, ys, sizes, comps in zip(*(table[c].to_pylist() for c in SLICES.names[1:])):
+        t, xn, yn, xs, ys = unpack(times, np.uint32), *(unpack(v, np.uint64).view(np.int64) for v in (xn, yn, xs, ys))
+        parts.append([t, xn[xs % len(xn)], n + xs // len(xn), yn[ys % len(yn)], n + ys // len(yn), yn, unpack(sizes, np.uint32), unpack(comps, np.int64)])
+        n += len(t)
+    times, x, xrow, y, yrow, nodes, size, comp = map(np.concatenate, zip(*parts))
+    parts.clear()
+    times = times.astype(np.float32)
+    uy, first = np.unique(nodes, return_index=True)
+    comp, size, yi = comp[first], size[first].astype(np.int64), np.searchsorted(uy, y)
     ux, xi = np.unique(x, return_inverse=True)
     at = np.searchsorted(uy, ux)  # a node is in its own lists
-    xrow, yrow = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
+    ny = np.bincount(yrow, minlength=n)
     order = np.argsort(ny, kind="stable")  # lists of like length share more of their nodes
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
@@ -389,6 +437,7 @@ def _cross_links(cells: DataFrame, links: DataFrame, num: int, den: int, bounds:
     xs = x.select("list", "node").join(slices, "node").groupBy("slice", "list").agg(F.collect_list("node").alias("xs"))
     ys = lists.select("list", "times", F.col("members.node").alias("ys"), F.col("members.n").alias("sizes"), F.col("members.rank.component").alias("components"))
     rows = xs.join(ys, "list").select("slice", "times", "xs", "ys", "sizes", "components")
+    rows = rows.mapInArrow(partial(_sliced, bounds=bounds), SLICES_DDL)
     out = materialise(rows.groupBy("slice").applyInArrow(_with(_cross, num=num, den=den, bounds=bounds), "a long, b long"), "join-links")
     discard(label, named, ranked, mixed, open_)
     return out
