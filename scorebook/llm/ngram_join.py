@@ -415,11 +415,11 @@ def _cross_links(cells: DataFrame, links: DataFrame, num: int, den: int, bounds:
     """Links (a, b) between components of ``links``; all of them but those that others make needless."""
     label = materialise(components(links), "join-label")
     sizes = label.groupBy("component").agg(F.count("*").alias("many"))
-    named = materialise(label.join(sizes, "component"), "join-named")
+    sized = materialise(label.join(sizes, "component"), "join-named")
     rows = cells.select("list", "segment", "times", F.explode("members").alias("x")).select("list", "segment", "times", F.col("x.node").alias("node"), F.col("x.n").alias("n"))
     rank = F.struct(F.coalesce("many", F.lit(1)).alias("many"), F.coalesce("component", "node").alias("component")).alias("rank")
     member = F.struct(rank, "node", "n")
-    ranked = rows.join(named, "node", "left").groupBy("list", "segment").agg(F.max("times").alias("times"), F.collect_list(member).alias("members"))
+    ranked = rows.join(sized, "node", "left").groupBy("list", "segment").agg(F.max("times").alias("times"), F.collect_list(member).alias("members"))
     ranked = materialise(ranked, "join-ranked")
     ends = ranked.select("list", F.array_min("members")["rank"].alias("lo"), F.array_max("members")["rank"].alias("hi"), F.size("members").alias("width"))
     mixed = ends.groupBy("list").agg(F.min("lo").alias("lo"), F.max("hi").alias("most"), F.sum("width").alias("width")).where("lo <> most")
@@ -431,15 +431,18 @@ def _cross_links(cells: DataFrame, links: DataFrame, num: int, den: int, bounds:
     met = x.groupBy("node", "target").agg(F.sum("times").alias("g"), F.max("n").alias("n"), F.max("width").alias("width"))
     open_ = met.groupBy("node").agg(F.sum("g").alias("g"), F.max("n").alias("n"), F.max("width").alias("width"), F.max(F.struct("g", "target"))["target"].alias("target"))
     open_ = materialise(open_.where(f"{den}L * g >= {num}L * n"), "join-open")
-    # Nodes that meet the same component share their lists, which go to each slice once.
+    # Nodes that meet the same component share their lists, which go to each slice once. Slices hold many small
+    # components, as a list that very many nodes hold goes to nearly every slice.
     parts = F.greatest(F.ceil(F.sum("n") / bounds.slice_entries), F.ceil(F.count("*") * F.max("width") / bounds.tile)).cast("long")
-    slices = open_.join(open_.groupBy("target").agg(parts.alias("parts")), "target").select("node", F.xxhash64("target", F.pmod(F.xxhash64("node"), "parts")).alias("slice"))
+    many = 1 + (open_.agg(F.sum("n")).first()[0] or 0) // bounds.slice_entries
+    named = F.when(F.col("parts") > 1, F.xxhash64("target", F.pmod(F.xxhash64("node"), "parts"))).otherwise(F.pmod(F.xxhash64("target"), F.lit(many)))
+    slices = open_.join(open_.groupBy("target").agg(parts.alias("parts")), "target").select("node", named.alias("slice"))
     xs = x.select("list", "node").join(slices, "node").groupBy("slice", "list").agg(F.collect_list("node").alias("xs"))
     ys = lists.select("list", "times", F.col("members.node").alias("ys"), F.col("members.n").alias("sizes"), F.col("members.rank.component").alias("components"))
     rows = xs.join(ys, "list").select("slice", "times", "xs", "ys", "sizes", "components")
     rows = rows.mapInArrow(partial(_sliced, bounds=bounds), SLICES_DDL)
     out = materialise(rows.groupBy("slice").applyInArrow(_with(_cross, num=num, den=den, bounds=bounds), "a long, b long"), "join-links")
-    discard(label, named, ranked, mixed, open_)
+    discard(label, sized, ranked, mixed, open_)
     return out
 
 
