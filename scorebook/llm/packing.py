@@ -11,6 +11,7 @@ no rows; a null doc_id is carried as null; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,6 +32,9 @@ MAX_OPEN = 4096
 #: Distinct text chunks of a generation whose ids a worker keeps; there are two.
 CACHE = 150_000
 
+#: A space that no word follows: white space of any kind, or the end.
+_RUN = re.compile(r" (?:\s|\Z)")
+
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
     ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()),
@@ -70,7 +74,7 @@ def encode(texts: list[str], path: str, ranks: str, pattern: str) -> list[bytes]
             out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
             continue
         parts = text.split(" ")
-        if "" in parts:
+        if _RUN.search(text):
             parts = _chunks(parts)
         else:
             parts[1:] = [" " + p for p in parts[1:]]

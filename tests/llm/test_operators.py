@@ -519,6 +519,21 @@ def test_encoding_by_chunks():
         assert np.frombuffer(made, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoding_of_every_space():
+    """All code points beside letters, digits and spaces, and random strings of all white space."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_json()
+    tokenizer = Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    r = random.Random(9)
+    pool = [*"abXY01'.!-<|>", *" " * 12, *[c for c in points if c.isspace()], *map(chr, range(32)), "\u200b", "\u200d", "\ufeff", "\u180e", "é", "中", "ع", "ด", "🙂", "\u0301", "'s", "  "]
+    texts = ["a \xa0 \xa0 b", *(f"a{c}b 1{c}2 {c} x{c}" for c in points[:0x3100]), *("".join(r.choices(pool, k=r.randint(0, 14))) for _ in range(60_000))]
+    made = packing.encode(texts, path, *queries.tiktoken_vocabulary())
+    for text, one, whole in zip(texts, made, tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(one, "<u4").tolist() == whole.ids, repr(text)
+
+
 def test_level_array_minimises_squares():
     r, levels, window = random.Random(1), packing.LevelArray(32), 32
     for _ in range(400):
