@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, common, hilbert, langid, lm, mixing, ngram_join, packing, quality, secrets, spotsigs, warc
+from . import alignment, best_fit, common, hilbert, langid, lm, mixing, ngram_join, packing, quality, secrets, spotsigs, warc
 
 
 def tokenizer_json() -> str:
@@ -74,6 +74,17 @@ def op12_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(common.read(spark, sf_dir, "documents"), tokenizer_json(), *tiktoken_vocabulary())
 
 
+def aligned_vocabularies() -> tuple[str, str, str, str]:
+    """Byte-level vocabulary as a tokenizer file and as ranks, its pattern, and the piece model."""
+    import public_tokenizers
+
+    return tokenizer_json(), *tiktoken_vocabulary(), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_spill_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(common.read(spark, sf_dir, "documents"), aligned_vocabularies())
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_warc_index_merge, op2_backoff_automaton, op3_token_efficiency, op4_soft_mixing, op5_robust_outliers, op6_ngram_join,
-        op7_spotsigs, op8_sum_of_squares_packing, op9_hilbert_shards, op10_cross_parsing, op12_minimum_bin_slack, pipeline,
+        op7_spotsigs, op8_sum_of_squares_packing, op9_hilbert_shards, op10_cross_parsing, op12_minimum_bin_slack, op13_spill_counting, pipeline,
     )
     return {f.__name__: f for f in named}
 
