@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, best_fit, common, hilbert, langid, lm, mixing, ngram_join, packing, quality, secrets, spotsigs, warc
+from . import alignment, best_fit, common, hilbert, langid, lm, mixing, ngram_join, packing, phrases, quality, secrets, spotsigs, warc
 
 
 def tokenizer_json() -> str:
@@ -70,6 +70,10 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(common.read(spark, sf_dir, "documents"))
 
 
+def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(common.read(spark, sf_dir, "documents"))
+
+
 def op12_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(common.read(spark, sf_dir, "documents"), tokenizer_json(), *tiktoken_vocabulary())
 
@@ -94,7 +98,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_warc_index_merge, op2_backoff_automaton, op3_token_efficiency, op4_soft_mixing, op5_robust_outliers, op6_ngram_join,
-        op7_spotsigs, op8_sum_of_squares_packing, op9_hilbert_shards, op10_cross_parsing, op12_minimum_bin_slack, op13_spill_counting, pipeline,
+        op7_spotsigs, op8_sum_of_squares_packing, op9_hilbert_shards, op10_cross_parsing, op11_phrase_index,
+        op12_minimum_bin_slack, op13_spill_counting, pipeline,
     )
     return {f.__name__: f for f in named}
 
