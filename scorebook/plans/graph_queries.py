@@ -43,30 +43,6 @@ def graph_follow_latest(spark, d):
     return v.select("version_id", "record_id").join(rec.latest(v).select("record_id", F.col("version_id").alias("latest_id")), "record_id", "left")
 
 
-def graph_private_node(spark, d):
-    nodes = c.records(spark, d).select(F.col("record_id").alias("node"))
-    seen = c.records(spark, d).where(rec.visible(["MACHINERY"])).select(F.col("record_id").alias("node"), F.col("name").alias("label"))
-    return graph.hidden(nodes, seen)
-
-
-def graph_hidden_targets(spark, d):
-    return c.versions(spark, d).join(c.records(spark, d).where(~rec.visible(["MACHINERY"])), "record_id").select("version_id", "record_id")
-
-
-def join_edge_target(spark, d):
-    """Orders' parts with the part's name, where the part is known."""
-    e = c.edges(spark, d).where("type = 'uses'")
-    parts = c.table(spark, d, "part").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("to_id"), F.col("p_name").alias("target"), "p_partkey")
-    by_id = parts.select("to_id", "target")
-    return e.join(by_id, "to_id", "left").select("from_id", "to_id", "target")
-
-
-def join_resolve_ingest(spark, d):
-    """A part name resolves only if exactly one part has it."""
-    one = c.table(spark, d, "part").groupBy("p_name").agg(F.count("*").alias("n"), F.min("p_partkey").alias("p"))
-    return c.table(spark, d, "part").join(one, "p_name").select("p_partkey", "p_name", F.when(F.col("n") == 1, F.col("p")).alias("resolved"))
-
-
 def join_mutual_refs(spark, d):
     """Suppliers by the distinct parts and orders that lead to them."""
     e = c.edges(spark, d)
@@ -99,10 +75,6 @@ SQL = {
     "graph_outgoing": "select from_id, type, to_id from edges where type = 'uses' and from_id in (select 'o:' || o_orderkey from orders where o_orderstatus = 'F')",
     "graph_incoming": "select distinct from_id, type, to_id from edges where to_id in (select 'p:' || p_partkey from part where p_brand = 'Brand#7')",
     "graph_follow_latest": "select v.version_id, v.record_id, l.version_id as latest_id from versions v left join lateral (select w.version_id from versions w where w.record_id = v.record_id and not w.tombstoned order by w.seq desc limit 1) l on true",
-    "graph_private_node": "select record_id as node, not (visibility = 'public' or ns = 'MACHINERY') as private, case when visibility = 'public' or ns = 'MACHINERY' then name end as label from records",
-    "graph_hidden_targets": "select v.version_id, v.record_id from versions v join records r on r.record_id = v.record_id where not (r.visibility = 'public' or r.ns = 'MACHINERY')",
-    "join_edge_target": "select from_id, to_id, (select p_name from part where 'p:' || p_partkey = to_id) as target from edges where type = 'uses'",
-    "join_resolve_ingest": "select p.p_partkey, p.p_name, case when (select count(*) from part q where q.p_name = p.p_name) = 1 then p.p_partkey end as resolved from part p",
     "join_mutual_refs": "select m.to_id as supplier, count(distinct m.from_id) as parts, count(distinct u.from_id) as orders from edges m join edges u on u.type = 'uses' and u.to_id = m.from_id where m.type = 'made_by' group by 1",
     "graph_comparison": "select v.version_id, r.ns, r.name, f.fingerprint, b.best, coalesce(f.fingerprint = sha256('1-URGENT'), false) as same_model from versions v join records r on r.record_id = v.record_id left join fingerprints f on f.version_id = v.version_id and f.facet = 'model' left join (select version_id, max(value) as best from results where metric = 'R' group by 1) b on b.version_id = v.version_id where r.visibility = 'public' and not v.tombstoned and v.seq = (select max(w.seq) from versions w where w.record_id = v.record_id and not w.tombstoned) and exists (select 1 from edges u join edges m on m.type = 'made_by' and m.from_id = u.to_id and m.to_id = 's:0' where u.type = 'uses' and u.from_id = 'o:' || v.version_id)",
 }

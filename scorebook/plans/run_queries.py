@@ -138,10 +138,6 @@ def agg_same_all(spark, d):
     return run.same_all(some, mine, _facet(spark, d))
 
 
-def agg_hidden_evals(spark, d):
-    return c.run_results(spark, d).where("record_id not in ('src0', 'src1')").groupBy("record_id").agg(F.count("*").alias("judgements"))
-
-
 def set_outside_used(spark, d):
     return c.run_results(spark, d).select("record_id", "run_id").distinct().join(c.used_runs(spark, d).join(c.runs(spark, d).where("status = 'ok'"), ["record_id", "run_id"], "left_semi"), ["record_id", "run_id"], "left_anti")
 
@@ -248,7 +244,6 @@ SQL = {
     "agg_used_summary": f"select u.record_id, count(*) as runs_used, sha256('[' || {PAIRS.format('r.run_id', 'r.content_hash')} || ']') as used_hash, sha256('[' || {PAIRS.format('r.run_id', 'u.posted_hash')} || ']') as posted_hash, coalesce(string_agg(r.run_id, ',' order by r.run_id) filter (where u.posted_hash <> r.content_hash), '') as changed from used_runs u join runs r on r.record_id = u.record_id and r.run_id = u.run_id group by 1",
     "join_used_set": f"select u.record_id, u.run_id, r.status, f.fingerprint, u.posted_hash <> r.content_hash as changed from used_runs u join runs r on r.record_id = u.record_id and r.run_id = u.run_id left join {FACET} f on f.record_id = u.record_id and f.run_id = u.run_id",
     "agg_same_all": f"select s.record_id, count(u.run_id) > 0 and bool_and(coalesce(f.fingerprint = sha256('en'), false)) as same from (select distinct record_id from runs) s left join used_runs u on u.record_id = s.record_id left join {FACET} f on f.record_id = u.record_id and f.run_id = u.run_id group by 1",
-    "agg_hidden_evals": "select record_id, count(*) as judgements from run_results where record_id not in ('src0', 'src1') group by 1",
     "set_outside_used": "select distinct record_id, run_id from run_results j where not exists (select 1 from used_runs u join runs r on r.record_id = u.record_id and r.run_id = u.run_id and r.status = 'ok' where u.record_id = j.record_id and u.run_id = j.run_id)",
     "set_union_refs": "select 'run' as by, count(*) as refs, count(distinct content_hash) as objects from runs union all select 'version', count(*), count(distinct fingerprint) from fingerprints",
     "set_except_missing": "select content_hash as sha256 from runs except select content_hash from runs where lang = 'en'",

@@ -98,6 +98,52 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").select(F.lit("metrics").alias("kind"), F.col("l_returnflag").alias("id")).distinct()
 
 
+def hub_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with slugs for names; a card and an eval may share one."""
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("record_id"), F.when(F.col("c_custkey") % 2 == 0, "card").otherwise("eval").alias("type"), F.lower("c_mktsegment").alias("ns"),
+        F.concat(F.lit("c"), F.floor(F.col("c_custkey") / 2).cast("string")).alias("name"), F.when(F.col("c_acctbal") < 2000, "private").otherwise("public").alias("visibility"),
+    )
+
+
+def hub_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions(spark, sf_dir).select("version_id", "record_id", "seq", "created_at", "tombstoned", F.sha2(F.concat(F.lit("body"), F.col("version_id").cast("string")), 256).alias("content_hash"))
+
+
+def hub_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hub_versions(spark, sf_dir).join(hub_records(spark, sf_dir), "record_id").withColumn("address", F.concat("ns", F.lit("/"), "name", F.lit("@"), F.col("seq").cast("string")))
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a version in their order: resolved ones, addresses as text (some of nothing), external and other text, and repeats."""
+    line = F.col("l_linenumber")
+    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    known = hub_targets(spark, sf_dir).select((F.col("version_id") - 1).alias("l_partkey"), "address")
+    text = F.when(line == 7, F.concat(F.lit("nowhere/none@"), F.col("l_suppkey").cast("string"))).when(line % 3 == 1, F.col("address"))
+    text = F.when(line == 2, F.concat(F.lit("external:part/"), F.col("l_partkey").cast("string"))).when(line == 5, F.concat(F.lit("hf:org/set@"), F.col("l_partkey").cast("string"))).otherwise(text)
+    return table(spark, sf_dir, "lineitem").join(known, "l_partkey", "left").select(
+        F.col("l_orderkey").alias("from_version_id"), (F.row_number().over(at) - 1).alias("ordinal"),
+        F.when(F.col("l_returnflag") == "A", "core/uses_eval").when(F.col("l_returnflag") == "N", "core/derived_from").otherwise("core/compares").alias("type"),
+        F.when(line % 3 == 0, F.col("l_partkey")).alias("to_version_id"), text.alias("to_external"),
+    )
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements of a version in their order, each of a run of an eval record."""
+    at = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    return table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(
+        F.col("l_orderkey").alias("version_id"), (F.row_number().over(at) - 1).alias("ordinal"), F.col("l_suppkey").alias("eval_record_id"),
+        F.concat(F.lit("r"), F.col("l_linenumber").cast("string")).alias("run_id"), F.lower(F.concat(F.lit("core/"), F.col("l_returnflag"))).alias("metric"), F.col("l_quantity").cast("long").alias("value"),
+    )
+
+
+def attachment_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("version_id"), F.sha2((F.col("l_partkey") % 500).cast("string"), 256).alias("sha256"), F.concat(F.lit("logs/"), F.col("l_linenumber").cast("string"), F.lit(".txt")).alias("path")
+    )
+
+
+LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
 SQL = {
     "records": "select c_custkey as record_id, c_mktsegment as ns, c_name as name, case when c_acctbal < 0 then 'private' else 'public' end as visibility from customer",
     "versions": "select o_orderkey as version_id, o_custkey as record_id, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as seq, o_orderdate as created_at, o_orderstatus = 'P' as tombstoned, o_orderpriority as model_id, o_totalprice as temperature, o_orderstatus as env from orders",
@@ -110,13 +156,29 @@ SQL = {
     "used_runs": "select source as record_id, cast(doc_id as varchar) as run_id, case when doc_id % 17 = 0 then sha256(lang) else sha256(text) end as posted_hash from documents where doc_id in (select doc_id from labels)",
     "bodies": "select event_id as version_id, user_id as record_id, event_type as type, props as body, ts as created_at from events",
     "registry": "select distinct 'metrics' as kind, l_returnflag as id from lineitem where l_returnflag <> 'N'",
+    "hub_records": "select c_custkey as record_id, case when c_custkey % 2 = 0 then 'card' else 'eval' end as type, lower(c_mktsegment) as ns, 'c' || (c_custkey // 2) as name, case when c_acctbal < 2000 then 'private' else 'public' end as visibility from customer",
+    "hub_versions": "select version_id, record_id, seq, created_at, tombstoned, sha256('body' || version_id) as content_hash from versions",
+    "hub_targets": "select v.version_id, v.record_id, v.seq, v.created_at, v.tombstoned, v.content_hash, r.type, r.ns, r.name, r.visibility, r.ns || '/' || r.name || '@' || v.seq as address from hub_versions v join hub_records r on r.record_id = v.record_id",
+    "relations": f"select l_orderkey as from_version_id, row_number() over (partition by l_orderkey order by {LINE_ORDER}) - 1 as ordinal, case l_returnflag when 'A' then 'core/uses_eval' when 'N' then 'core/derived_from' else 'core/compares' end as type, case when l_linenumber % 3 = 0 then l_partkey end as to_version_id, case when l_linenumber = 2 then 'external:part/' || l_partkey when l_linenumber = 5 then 'hf:org/set@' || l_partkey when l_linenumber = 7 then 'nowhere/none@' || l_suppkey when l_linenumber % 3 = 1 then t.address end as to_external from lineitem left join hub_targets t on t.version_id = l_partkey + 1",
+    "verdicts": f"select l_orderkey as version_id, row_number() over (partition by l_orderkey order by {LINE_ORDER}) - 1 as ordinal, l_suppkey as eval_record_id, 'r' || l_linenumber as run_id, lower('core/' || l_returnflag) as metric, cast(l_quantity as bigint) as value from lineitem where l_linestatus = 'F'",
+    "attachment_refs": "select l_orderkey as version_id, sha256(cast(l_partkey % 500 as varchar)) as sha256, 'logs/' || l_linenumber || '.txt' as path from lineitem",
 }
 
 
 def sql(text: str) -> str:
-    """The query with the views that it names in front."""
-    used = [n for n in SQL if re.search(rf"\b{n}\b", text)]
+    """The query with the views that it and they name in front."""
+    used: set[str] = set()
+    open_ = [text]
+    while open_:
+        now = open_.pop()
+        for n in SQL:
+            if n not in used and re.search(rf"\b{n}\b", now):
+                used.add(n)
+                open_.append(SQL[n])
     if not used:
         return text
-    views = ", ".join(f"{n} as ({SQL[n]})" for n in used)
-    return f"with {views}, {text[5:]}" if text.startswith("with ") else f"with {views} {text}"
+    views = ", ".join(f"{n} as ({SQL[n]})" for n in SQL if n in used)
+    for word in ("with recursive ", "with "):
+        if text.startswith(word):
+            return f"{word}{views}, {text[len(word):]}"
+    return f"with {views} {text}"
