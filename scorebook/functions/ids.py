@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Lower-case letters, digits and . _ - after a letter or digit.
 _SLUG = "[a-z0-9][a-z0-9._-]*"
 
 
@@ -22,12 +23,12 @@ def address(ns: Column, name: Column, seq: Column) -> Column:
 
 
 def parsed_target(c: Column) -> Column:
-    """struct<kind, ns, name, seq>: external, hf, version, or null kind if it is none of these."""
-    m = rf"\A({_SLUG})/({_SLUG})@([0-9]{{1,9}})\z"
-    seq = F.when(c.rlike(m), F.regexp_extract(c, m, 3).cast("int"))
-    kind = F.when(c.startswith("external:"), "external").when(c.startswith("hf:"), "hf").when(seq >= 1, "version")
+    """struct<kind, ns, name, seq>: external, hf, version, or null kind if it is none of these; nothing after a colon is none."""
+    m = rf"\A({_SLUG})/({_SLUG})@([0-9]+)\z"
+    seq = F.when(c.rlike(m), F.regexp_extract(c, m, 3).try_cast("decimal(38,0)"))
+    kind = F.when(c.rlike(r"(?s)\Aexternal:."), "external").when(c.rlike(r"(?s)\Ahf:."), "hf").when((seq >= 1) & (seq <= 4294967295), "version")
     pick = lambda i: F.when(kind == "version", F.regexp_extract(c, m, i))
-    return F.struct(kind.alias("kind"), pick(1).alias("ns"), pick(2).alias("name"), F.when(kind == "version", seq).alias("seq"))
+    return F.struct(kind.alias("kind"), pick(1).alias("ns"), pick(2).alias("name"), F.when(kind == "version", seq.cast("long")).alias("seq"))
 
 
 def instant(c: Column) -> Column:

@@ -6,23 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def errors(rules: dict[str, tuple[Column, str]]) -> Column:
-    """Sorted array<struct<path, code>> of the rules that fail; path: (whether it fails, code)."""
-    failed = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(path).alias("path"), F.lit(code).alias("code"))) for path, (bad, code) in rules.items()]
-    return F.array_sort(F.array_compact(F.array(*failed)))
-
-
-def counts_rule(attempted: Column, *parts: Column) -> Column:
-    """Whether the parts exceed what was attempted; absent parts are 0."""
-    total = sum((F.coalesce(p, F.lit(0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0)))
-    return attempted < total
-
-
-def outside_exact(c: Column) -> Column:
-    """Whether an integer is beyond what a double holds exactly."""
-    return F.abs(c.cast("decimal(38,0)")) > F.lit(2**53)
-
-
 def badges(rules: dict[str, Column]) -> Column:
     """Names of the rules that hold, in their order."""
     return F.array_compact(F.array(*[F.when(F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()]))

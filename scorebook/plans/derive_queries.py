@@ -21,47 +21,6 @@ def der_changed_turns(spark, d):
     return rec.changed(t, ["role"]).select("record_id", "seq", F.array_join("changed", ",").alias("changed"))
 
 
-def der_validate_record(spark, d):
-    lines = c.table(spark, d, "lineitem")
-    rules = {
-        "/discount": (F.col("l_discount") > 0.08, "out_of_range"),
-        "/n": (F.col("l_quantity") < 2, "too_small"),
-        "/tax": (F.col("l_tax") * 100 > F.col("l_quantity"), "inconsistent"),
-    }
-    found = lines.select("l_orderkey", "l_linenumber", "l_partkey", F.explode(derive.errors(rules)).alias("e"))
-    return found.select("l_orderkey", "l_linenumber", "l_partkey", "e.path", "e.code")
-
-
-def der_validate_run(spark, d):
-    """A run with an error kind must be an error; an ok run must not be both archived and tombstoned."""
-    rules = {
-        "/error": ((F.col("status") == "error") & (F.col("error_kind") == "kind0"), "required"),
-        "/state": ((F.col("status") == "ok") & F.col("archived") & F.col("tombstoned"), "invalid"),
-    }
-    return c.runs(spark, d).select("run_id", F.explode(derive.errors(rules)).alias("e")).select("run_id", "e.path", "e.code")
-
-
-def der_counts_rule(spark, d):
-    lines = c.table(spark, d, "lineitem").groupBy("l_orderkey").agg(
-        F.count_if(F.col("l_returnflag") == "A").alias("completed"), F.count_if(F.col("l_returnflag") == "R").alias("failed"), F.countDistinct("l_suppkey").alias("attempted")
-    )
-    return lines.where(derive.counts_rule(F.col("attempted"), F.col("completed"), F.col("failed"), F.lit(None).cast("long")))
-
-
-def der_numbers(spark, d):
-    big = F.col("o_orderkey").cast("decimal(38,0)") * 1000000000000
-    return c.table(spark, d, "orders").where(derive.outside_exact(big)).select("o_orderkey")
-
-
-def der_badges(spark, d):
-    rules = {"large": F.col("o_totalprice") >= 200000, "urgent": F.col("o_orderpriority") == "1-URGENT", "final": F.col("o_orderstatus") == "F"}
-    return c.table(spark, d, "orders").select("o_orderkey", F.array_join(derive.badges(rules), ",").alias("badges"))
-
-
-def der_facts(spark, d):
-    return derive.all_registered(c.results(spark, d), c.registry(spark, d))
-
-
 def der_badge_sweep(spark, d):
     """Versions whose registered badge changes once metric N is registered too."""
     before = derive.all_registered(c.results(spark, d), c.registry(spark, d)).withColumnRenamed("registered", "old")
@@ -190,12 +149,6 @@ def op_registry_put(spark, d):
     return new.join(c.registry(spark, d), ["kind", "id"], "left_anti")
 
 
-def der_attachment_paths(spark, d):
-    """Paths that more than one part of a brand has."""
-    parts = c.table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.count("*").alias("times"))
-    return parts.where("times > 1").select(F.col("p_brand").alias("owner"), F.regexp_replace("p_name", " ", "/").alias("path"), "times")
-
-
 def op_relation_add(spark, d):
     """Edges added later: only those that are not there yet."""
     e = c.edges(spark, d).where("type = 'uses'")
@@ -208,16 +161,9 @@ SQL = {
     "der_batch_atomic": "select record_id, count(*) filter (where type = 'error') as failing, case when count(*) filter (where type = 'error') = 0 then count(*) else 0 end as written from bodies group by 1",
     "op_ingest": "select version_id, record_id, row_number() over (partition by record_id order by created_at, version_id) as seq, sha256(body) as digest from (select *, lag(body) over (partition by record_id order by created_at, version_id) as before from bodies) where before is null or before <> body",
     "op_registry_put": "select distinct 'metrics' as kind, l_returnflag || l_linestatus as id from lineitem",
-    "der_attachment_paths": "select p_brand as owner, replace(p_name, ' ', '/') as path, count(*) as times from part group by 1, 2 having count(*) > 1",
     "op_relation_add": "select * from edges where type = 'uses' union select 'o:' || o_orderkey, 'uses', 'p:' || (o_orderkey % 10) from orders",
     "der_changed": "select version_id, seq, concat_ws(',', case when p is null or env is distinct from pe then 'env' end, case when p is null or model_id is distinct from pm then 'model_id' end, case when p is null or temperature is distinct from pt then 'temperature' end) as changed from (select *, lag(version_id) over w as p, lag(env) over w as pe, lag(model_id) over w as pm, lag(temperature) over w as pt from versions where not tombstoned window w as (partition by record_id order by seq))",
     "der_changed_turns": "select conv_id as record_id, turn as seq, case when lag(role) over (partition by conv_id order by turn) is distinct from role then 'role' else '' end as changed from conversations",
-    "der_validate_record": "select l_orderkey, l_linenumber, l_partkey, '/discount' as path, 'out_of_range' as code from lineitem where l_discount > 0.08 union all select l_orderkey, l_linenumber, l_partkey, '/n', 'too_small' from lineitem where l_quantity < 2 union all select l_orderkey, l_linenumber, l_partkey, '/tax', 'inconsistent' from lineitem where l_tax * 100 > l_quantity",
-    "der_validate_run": "select run_id, '/error' as path, 'required' as code from runs where status = 'error' and error_kind = 'kind0' union all select run_id, '/state', 'invalid' from runs where status = 'ok' and archived and tombstoned",
-    "der_counts_rule": "select l_orderkey, count(*) filter (where l_returnflag = 'A') as completed, count(*) filter (where l_returnflag = 'R') as failed, count(distinct l_suppkey) as attempted from lineitem group by 1 having count(distinct l_suppkey) < count(*) filter (where l_returnflag in ('A', 'R'))",
-    "der_numbers": "select o_orderkey from orders where cast(o_orderkey as hugeint) * 1000000000000 > 9007199254740992",
-    "der_badges": "select o_orderkey, concat_ws(',', case when o_totalprice >= 200000 then 'large' end, case when o_orderpriority = '1-URGENT' then 'urgent' end, case when o_orderstatus = 'F' then 'final' end) as badges from orders",
-    "der_facts": "select version_id, bool_and(metric in (select id from registry)) as registered from results group by 1",
     "der_badge_sweep": "select version_id, false as old, true as registered from results group by 1 having not bool_and(metric in (select id from registry))",
     "citing_metric": "select distinct version_id from results where metric = 'N'",
     "der_idempotent": "select version_id, record_id from (select *, lag(body) over (partition by record_id order by created_at, version_id) as before from bodies) where before = body",

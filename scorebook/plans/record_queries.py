@@ -299,7 +299,7 @@ SQL = {
     "flt_body_eq": "select version_id from bodies where json_contains(body, '{\"k\": 39}')",
     "flt_body_contains": "select version_id from bodies where json_contains(body, '{\"k\": 39}')",
     "fn_concat_addr": "select version_id, lower(ns) || '/' || lower(replace(name, '#', '-')) || '@' || seq as address from records join versions using (record_id)",
-    "fn_parse_target": "select version_id, 'version' as kind, lower(ns) as ns, lower(replace(name, '#', '-')) as name, cast(seq as integer) as seq from records join versions using (record_id)",
+    "fn_parse_target": "select version_id, 'version' as kind, lower(ns) as ns, lower(replace(name, '#', '-')) as name, cast(seq as bigint) as seq from records join versions using (record_id)",
     "fn_is_id": "select c_custkey, regexp_full_match(lower(replace(c_mktsegment || '/' || c_name, '#', '.')), '[a-z0-9][a-z0-9._-]*/[a-z0-9][a-z0-9._-]*') as good, regexp_full_match(lower(c_mktsegment) || '/' || c_name, '[a-z0-9][a-z0-9._-]*/[a-z0-9][a-z0-9._-]*') as raw from customer",
     "fn_rfc3339": "select event_id, cast(floor(epoch(ts)) as bigint) as instant, true as refused from events",
     "fn_hex": "select o_orderkey, lower(hex(o_orderpriority)) as h, true as refused from orders",
