@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ TOP = 2000
 HELD_FIFTHS = 4
 SCALE = 2_000_000
 #: Words that a task holds before it indexes the largest of its shards.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 22
 #: Parts that the best phrases of a language are chosen in first.
 PARTS = 64
 
@@ -65,11 +65,15 @@ class Index:
     """Rank queries on a transform, and how many breaks are before each place."""
 
     def __init__(self, bwt: np.ndarray):
-        self.bwt, self.n = bwt.astype(np.int64), len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        self.places = self.bwt[order] * self.n + order
+        self.bwt, self.n = bwt, len(bwt)
         self.breaks = np.concatenate([[0], np.cumsum(bwt == BREAK)])
 
+    @cached_property
+    def places(self) -> np.ndarray:
+        """Symbol and place of each entry as one number, in order."""
+        order = np.argsort(self.bwt, kind="stable")
+        return self.bwt[order].astype(np.int64) * self.n + order
+
     def start(self, symbol: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Where the interval of the symbol and then the interval that starts at the place starts."""
         return np.searchsorted(self.places, symbol * self.n + place)
@@ -86,7 +90,7 @@ def extend(index: Index, start: np.ndarray, size: np.ndarray, reversed_start: np
     rows = np.arange(n) + np.repeat(start - before, size)
     width = int(index.bwt.max()) + 1 if index.n else 1
     keys, sizes = np.unique(np.repeat(np.arange(len(start)), size) * width + index.bwt[rows], return_counts=True)
-    phrase, word = keys // width, keys % width
+    phrase, word = np.divmod(keys, width)
     smaller = np.cumsum(sizes) - sizes - before[phrase]
     found = word > NOTHING
     phrase, word, sizes, smaller = phrase[found], word[found], sizes[found], smaller[found]
@@ -153,75 +157,90 @@ def index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     return materialise(chosen.mapInArrow(partial(_index, shard_words=shard_words), SHARD_DDL), "phrases-shards")
 
 
+#: Columns of a shard's phrases before their words: start, start reversed, count, count with a word on the left, on the right.
+PLACES = 5
+
+
+def _columns(packed: list[bytes]) -> list[np.ndarray]:
+    return [unpack(c, np.uint32).astype(np.int64) if i < PLACES else unpack(c, np.int64) for i, c in enumerate(packed)]
+
+
 def _extend(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Per shard the phrases of a length whose halves are frequent: start, start reversed, count, count with a word on the
-    left, on the right, and the names of the words."""
+    """Per shard the phrases of a length whose halves are frequent: PLACES, and the names of the words."""
     for batch in batches:
         for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            forward, backward = Index(unpack(row["bwt"], np.uint32)), Index(unpack(row["reversed_bwt"], np.uint32))
-            own = np.array([(x["place"], x["name"]) for x in row["known"]], np.int64)
+            value = lambda name: batch.column(name)[i]  # noqa: B023, E731
+            forward, backward = (Index(unpack(value(n).as_py(), np.uint32)) for n in ("bwt", "reversed_bwt"))
+            known = value("known").values
+            word = known.field("place").to_numpy() + NOTHING + 1
             names = np.full(int(forward.bwt.max()) + 1, -1, np.int64)
-            names[own[:, 0] + NOTHING + 1] = own[:, 1]
+            names[word] = known.field("name").to_numpy()
             if length == 2:
-                word = np.sort(own[:, 0]) + NOTHING + 1
+                word = np.sort(word)
                 size = np.bincount(forward.bwt, minlength=len(names))
                 start = reversed_start = (np.cumsum(size) - size)[word]
                 size, held = size[word], [names[word]]
             else:
-                state = [unpack(c, np.int64)[np.array(row["frequent"])] for c in row["columns"]]
-                state = [c[np.argsort(state[0])] for c in state]
-                start, reversed_start, size, _, _, *held = state
+                chosen = value("frequent").values.to_numpy()
+                state = [c[chosen] for c in _columns(value("columns").as_py())]
+                order = np.argsort(state[0])
+                start, reversed_start, size, _, _, *held = (c[order] for c in state)
             phrase, word, begins, n, reversed_begins = extend(forward, start, size, reversed_start)
             good = names[word] >= 0
             if length > 2:  # the phrase without its last word starts where it does
                 at = np.searchsorted(start, begins, side="right") - 1
                 good &= (at >= 0) & (begins < start[at] + size[at])
             phrase, word, begins, n, reversed_begins = (x[good] for x in (phrase, word, begins, n, reversed_begins))
-            columns = [begins, reversed_begins, n, forward.unbroken(begins, n), backward.unbroken(reversed_begins, n), names[word], *(h[phrase] for h in held)]
-            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]]), pa.array([[pack(c.astype(np.int64)) for c in columns]], pa.list_(pa.binary()))], schema=STATE)
+            places = [begins, reversed_begins, n, forward.unbroken(begins, n), backward.unbroken(reversed_begins, n)]
+            packed = [*(pack(c.astype(np.uint32)) for c in places), *(pack(c) for c in (names[word], *(h[phrase] for h in held)))]
+            yield pa.RecordBatch.from_arrays([pa.array([value("shard").as_py()]), pa.array([packed], pa.list_(pa.binary()))], schema=STATE)
 
 
 def _rows(batches: Iterator[pa.RecordBatch], schema: list[str]) -> Iterator[pa.RecordBatch]:
     """A shard's phrases, a row each."""
     for batch in batches:
         for row in batch.to_pylist():
-            _, _, *columns = (unpack(c, np.int64) for c in row["columns"])
+            _, _, *columns = _columns(row["columns"])
             n = len(columns[0])
             for at in range(0, n, 1 << 16):
                 part = [c[at : at + (1 << 16)] for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(part[0]), row["shard"]), np.arange(at, at + len(part[0])), *part)], names=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((row["shard"] << PLACE_BITS) + np.arange(at, at + len(part[0])), *part)], names=schema)
+
+
+def _report(shard: str, place: Column) -> Column:
+    return (F.shiftleft(F.col(shard), PLACE_BITS) + place).alias("report")
 
 
 def _frequent(rows: DataFrame, keys: list[str], sums: list[str], least: int) -> DataFrame:
-    """Reports of phrases that all shards together hold often enough, with the sums, and whether a report is the phrase's first."""
+    """Reports of phrases that all shards together hold often enough, with the sums and the phrase's first report."""
     same = Window.partitionBy(*keys)
-    total = rows.select(*rows.columns, *[F.sum(c).over(same).alias(f"all_{c}") for c in sums], F.min(F.shiftleft("shard", PLACE_BITS) + F.col("place")).over(same).alias("name"))
-    first = F.col("name") == F.shiftleft("shard", PLACE_BITS) + F.col("place")
-    return total.where(F.col(f"all_{sums[0]}") >= least).select("shard", "place", *keys, *[F.col(f"all_{c}").alias(c) for c in sums], "name", first.alias("first"))
+    total = rows.select("report", *keys, *[F.sum(c).over(same).alias(c) for c in sums], F.min("report").over(same).alias("name"))
+    return total.where(F.col(sums[0]) >= least)
+
+
+def _told(found: DataFrame, what: Column) -> DataFrame:
+    """What each shard is told of its own reports."""
+    return found.groupBy(F.shiftright("report", PLACE_BITS).alias("shard")).agg(what)
 
 
 def grams(shards: DataFrame, least: int = LEAST) -> list[DataFrame]:
     """Frequent phrases of one to LONGEST words. Of words: lang, word, name, n; of longer ones: w1.. (names), n, left, right."""
-    words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select("shard", F.col("place").cast("long").alias("place"), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select(_report("shard", F.col("place")), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     found = materialise(_frequent(words, ["lang", "word"], ["n"], least), "phrases-words")
-    out = [found.where("first").select("lang", "word", "name", "n")]
-    known = found.groupBy("shard").agg(F.collect_list(F.struct("place", "name")).alias("known"))
-    base = shards.select("shard", "bwt", "reversed_bwt").join(known, "shard")
+    out = [found.where("report = name").select("lang", "word", "name", "n")]
+    place = F.col("report").bitwiseAND((1 << PLACE_BITS) - 1)
+    base = shards.select("shard", "bwt", "reversed_bwt").join(_told(found, F.collect_list(F.struct(place.alias("place"), "name")).alias("known")), "shard")
     state = None
     for length in range(2, LONGEST + 1):
-        now = base
-        if state is not None:
-            told = found.groupBy("shard").agg(F.array_sort(F.collect_list("place")).alias("frequent"))
-            now = base.join(state.join(told, "shard"), "shard")
+        now = base if state is None else base.join(state.join(_told(found, F.array_sort(F.collect_list(place)).alias("frequent")), "shard"), "shard")
         before, state = state, materialise(now.mapInArrow(partial(_extend, length=length), STATE_DDL), "phrases-state")
         if before is not None:
             discard(before)
         keys, sums = [f"w{i}" for i in range(1, length + 1)], ["n", "left", "right"]
-        schema = ["shard", "place", *sums, *keys]
+        schema = ["report", *sums, *keys]
         rows = state.mapInArrow(partial(_rows, schema=schema), ", ".join(f"`{c}` long" for c in schema))
         found = materialise(_frequent(rows, keys, sums, least), "phrases-found")
-        out.append(found.where("first").select(*keys, *sums))
+        out.append(found.where("report = name").select(*keys, *sums))
     return out
 
 
