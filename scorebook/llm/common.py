@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,12 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more; Spark does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Long texts: keep an Arrow batch to a bounded number of rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -5,7 +5,7 @@ ids and that of the ids reversed, in the order of the next ``LONGEST`` words, wh
 ask for. A phrase is a pair of intervals, one in either order. Extending it to the left by a word is a rank query on
 the transform; the reversed interval follows by counting smaller words. Breaks between pieces are a symbol of their
 own, so how often a phrase has a word on its left or right is the interval's size less the breaks in it, in either
-transform.
+transform; as phrases grow to the left alone, of the reversed transform only the places of its breaks are kept.
 
 Phrases grow a word at a time. Shards report their counts of phrases whose two halves (all but the last word, all but
 the first) are frequent over all shards; a window by phrase sums them, and each shard is told which of its own are
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, pack, small_batches, unpack
+from .common import discard, materialise, pack, settle, small_batches, unpack
 
 LONGEST = 4
 LEAST = 30
@@ -47,10 +47,8 @@ _MAP = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 #: Bits of a word's name: those of its place, and of the shard's place in its task.
 PLACE_BITS, SHARD_BITS = 29, 10
 
-SHARD = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("bwt", pa.binary()), ("reversed_bwt", pa.binary())])
-SHARD_DDL = "shard long, lang string, n_words long, words array<string>, counts array<long>, bwt binary, reversed_bwt binary"
-STATE = pa.schema([("shard", pa.int64()), ("columns", pa.list_(pa.binary()))])
-STATE_DDL = "shard long, columns array<binary>"
+SHARD = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("bwt", pa.binary()), ("reversed_breaks", pa.binary())])
+SHARD_DDL = "shard long, lang string, n_words long, words array<string>, counts array<long>, bwt binary, reversed_breaks binary"
 
 
 def transform(ids: np.ndarray) -> np.ndarray:
@@ -61,12 +59,22 @@ def transform(ids: np.ndarray) -> np.ndarray:
     return np.roll(ids, 1)[np.argsort(four, kind="stable")].astype(np.uint32)
 
 
+class Breaks:
+    """How many breaks are before each place of a transform."""
+
+    def __init__(self, broken: np.ndarray):
+        self.before = np.concatenate([[0], np.cumsum(broken, dtype=np.int64)])
+
+    def unbroken(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """At how many places of each interval a word, not a break, comes before."""
+        return size - (self.before[start + size] - self.before[start])
+
+
 class Index:
-    """Rank queries on a transform, and how many breaks are before each place."""
+    """Rank queries on a transform."""
 
     def __init__(self, bwt: np.ndarray):
         self.bwt, self.n = bwt, len(bwt)
-        self.breaks = np.concatenate([[0], np.cumsum(bwt == BREAK)])
 
     @cached_property
     def places(self) -> np.ndarray:
@@ -78,10 +86,6 @@ class Index:
         """Where the interval of the symbol and then the interval that starts at the place starts."""
         return np.searchsorted(self.places, symbol * self.n + place)
 
-    def unbroken(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """How many places of each interval a word, not a break, comes before."""
-        return size - (self.breaks[start + size] - self.breaks[start])
-
 
 def extend(index: Index, start: np.ndarray, size: np.ndarray, reversed_start: np.ndarray) -> tuple[np.ndarray, ...]:
     """All extensions to the left by a word: (phrase extended, word, start, size, start in the reversed order)."""
@@ -123,7 +127,7 @@ class _Shard:
         ids = np.concatenate(self.parts)
         counts = np.bincount(ids, minlength=len(self.ids))[NOTHING + 1 :]
         words = [w.decode() for w in self.ids][NOTHING + 1 :]
-        columns = [[number], [lang], [int(counts.sum())], [words], [counts], [pack(transform(ids))], [pack(transform(ids[::-1]))]]
+        columns = [[number], [lang], [int(counts.sum())], [words], [counts], [pack(transform(ids))], [pack(np.packbits(transform(ids[::-1]) == BREAK))]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SHARD.types)], schema=SHARD)
 
 
@@ -157,54 +161,42 @@ def index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     return materialise(chosen.mapInArrow(partial(_index, shard_words=shard_words), SHARD_DDL), "phrases-shards")
 
 
-#: Columns of a shard's phrases before their words: start, start reversed, count, count with a word on the left, on the right.
-PLACES = 5
+def _extend(batches: Iterator[pa.RecordBatch], length: int, schema: list[str]) -> Iterator[pa.RecordBatch]:
+    """A row for each phrase of a length in a shard whose halves are frequent: report, counts, names of the words.
 
-
-def _columns(packed: list[bytes]) -> list[np.ndarray]:
-    return [unpack(c, np.uint32).astype(np.int64) if i < PLACES else unpack(c, np.int64) for i, c in enumerate(packed)]
-
-
-def _extend(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Per shard the phrases of a length whose halves are frequent: PLACES, and the names of the words."""
+    Shorter phrases are found anew, in the same order, and those that the shard was told of go on; that costs less than
+    to store them.
+    """
     for batch in batches:
         for i in range(batch.num_rows):
             value = lambda name: batch.column(name)[i]  # noqa: B023, E731
-            forward, backward = (Index(unpack(value(n).as_py(), np.uint32)) for n in ("bwt", "reversed_bwt"))
+            index = Index(unpack(value("bwt").as_py(), np.uint32))
+            forward = Breaks(index.bwt == BREAK)
+            backward = Breaks(np.unpackbits(unpack(value("reversed_breaks").as_py(), np.uint8), count=index.n))
             known = value("known").values
             word = known.field("place").to_numpy() + NOTHING + 1
-            names = np.full(int(forward.bwt.max()) + 1, -1, np.int64)
+            names = np.full(int(index.bwt.max()) + 1, -1, np.int64)
             names[word] = known.field("name").to_numpy()
-            if length == 2:
-                word = np.sort(word)
-                size = np.bincount(forward.bwt, minlength=len(names))
-                start = reversed_start = (np.cumsum(size) - size)[word]
-                size, held = size[word], [names[word]]
-            else:
-                chosen = value("frequent").values.to_numpy()
-                state = [c[chosen] for c in _columns(value("columns").as_py())]
-                order = np.argsort(state[0])
-                start, reversed_start, size, _, _, *held = (c[order] for c in state)
-            phrase, word, begins, n, reversed_begins = extend(forward, start, size, reversed_start)
-            good = names[word] >= 0
-            if length > 2:  # the phrase without its last word starts where it does
-                at = np.searchsorted(start, begins, side="right") - 1
-                good &= (at >= 0) & (begins < start[at] + size[at])
-            phrase, word, begins, n, reversed_begins = (x[good] for x in (phrase, word, begins, n, reversed_begins))
-            places = [begins, reversed_begins, n, forward.unbroken(begins, n), backward.unbroken(reversed_begins, n)]
-            packed = [*(pack(c.astype(np.uint32)) for c in places), *(pack(c) for c in (names[word], *(h[phrase] for h in held)))]
-            yield pa.RecordBatch.from_arrays([pa.array([value("shard").as_py()]), pa.array([packed], pa.list_(pa.binary()))], schema=STATE)
-
-
-def _rows(batches: Iterator[pa.RecordBatch], schema: list[str]) -> Iterator[pa.RecordBatch]:
-    """A shard's phrases, a row each."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            _, _, *columns = _columns(row["columns"])
-            n = len(columns[0])
-            for at in range(0, n, 1 << 16):
-                part = [c[at : at + (1 << 16)] for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((row["shard"] << PLACE_BITS) + np.arange(at, at + len(part[0])), *part)], names=schema)
+            word = np.sort(word)
+            size = np.bincount(index.bwt, minlength=len(names))
+            start = reversed_start = (np.cumsum(size) - size)[word]
+            size, words = size[word], [word]
+            for now in range(2, length + 1):
+                phrase, word, begins, n, reversed_begins = extend(index, start, size, reversed_start)
+                good = names[word] >= 0
+                if now > 2:  # the phrase without its last word starts where it does
+                    at = np.searchsorted(start, begins, side="right") - 1
+                    good &= (at >= 0) & (begins < start[at] + size[at])
+                places = np.flatnonzero(good)
+                if now < length:
+                    places = places[value(f"told{now}").values.to_numpy()]
+                    places = places[np.argsort(begins[places])]
+                words = [word[places], *(w[phrase[places]] for w in words)]
+                start, size, reversed_start = begins[places], n[places], reversed_begins[places]
+            columns = [size, forward.unbroken(start, size), backward.unbroken(reversed_start, size), *(names[w] for w in words)]
+            report = (value("shard").as_py() << PLACE_BITS) + np.arange(len(start))
+            for at in range(0, len(start), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (report, *columns)], names=schema)
 
 
 def _report(shard: str, place: Column) -> Column:
@@ -218,29 +210,23 @@ def _frequent(rows: DataFrame, keys: list[str], sums: list[str], least: int) ->
     return total.where(F.col(sums[0]) >= least)
 
 
-def _told(found: DataFrame, what: Column) -> DataFrame:
-    """What each shard is told of its own reports."""
-    return found.groupBy(F.shiftright("report", PLACE_BITS).alias("shard")).agg(what)
-
-
 def grams(shards: DataFrame, least: int = LEAST) -> list[DataFrame]:
     """Frequent phrases of one to LONGEST words. Of words: lang, word, name, n; of longer ones: w1.. (names), n, left, right."""
-    words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select(_report("shard", F.col("place")), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    found = materialise(_frequent(words, ["lang", "word"], ["n"], least), "phrases-words")
-    out = [found.where("report = name").select("lang", "word", "name", "n")]
-    place = F.col("report").bitwiseAND((1 << PLACE_BITS) - 1)
-    base = shards.select("shard", "bwt", "reversed_bwt").join(_told(found, F.collect_list(F.struct(place.alias("place"), "name")).alias("known")), "shard")
-    state = None
-    for length in range(2, LONGEST + 1):
-        now = base if state is None else base.join(state.join(_told(found, F.array_sort(F.collect_list(place)).alias("frequent")), "shard"), "shard")
-        before, state = state, materialise(now.mapInArrow(partial(_extend, length=length), STATE_DDL), "phrases-state")
-        if before is not None:
-            discard(before)
-        keys, sums = [f"w{i}" for i in range(1, length + 1)], ["n", "left", "right"]
-        schema = ["report", *sums, *keys]
-        rows = state.mapInArrow(partial(_rows, schema=schema), ", ".join(f"`{c}` long" for c in schema))
+    rows = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select(_report("shard", F.col("place")), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    place, shard = F.col("report").bitwiseAND((1 << PLACE_BITS) - 1), F.shiftright("report", PLACE_BITS).alias("shard")
+    base, out = shards.select("shard", "bwt", "reversed_breaks"), []
+    for length in range(1, LONGEST + 1):
+        keys, sums = (["lang", "word"], ["n"]) if length == 1 else ([f"w{i}" for i in range(1, length + 1)], ["n", "left", "right"])
         found = materialise(_frequent(rows, keys, sums, least), "phrases-found")
-        out.append(found.where("report = name").select(*keys, *sums))
+        out.append(materialise(found.where("report = name").select(*keys, *(["name"] if length == 1 else []), *sums), "phrases-frequent"))
+        if length < LONGEST:
+            item = F.collect_list(F.struct(place.alias("place"), "name")).alias("known") if length == 1 else F.array_sort(F.collect_list(place)).alias(f"told{length}")
+            told = materialise(found.groupBy(shard).agg(item), "phrases-told")
+            base = base.join(told, "shard")
+            schema = ["report", "n", "left", "right", *(f"w{i}" for i in range(1, length + 2))]
+            rows = base.mapInArrow(partial(_extend, length=length + 1, schema=schema), ", ".join(f"`{c}` long" for c in schema))
+        discard(found)
+        settle(shards.sparkSession)
     return out
 
 
