@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The facets of a body, and the keys that a fingerprint leaves out (ext in every facet).
@@ -80,12 +82,43 @@ def fingerprints(body: Column) -> Column:
     """array<struct<facet, fingerprint>> over all facets."""
 
     def prints(bodies: pd.Series) -> pd.Series:
-        return bodies.map(lambda b: None if b is None else [{"facet": f, "fingerprint": facet_hash(json.loads(b), f)} for f in FACETS])
+        whole = bodies.map(lambda b: None if b is None else json.loads(b))
+        return whole.map(lambda b: None if b is None else [{"facet": f, "fingerprint": facet_hash(b, f)} for f in FACETS])
 
     return F.pandas_udf(prints, "array<struct<facet:string,fingerprint:string>>")(body)
 
 
-def set_hash(run_id: Column, digest: Column) -> Column:
-    """Aggregate: sha256 of [[run_id, hex], ...] in order of the id's bytes. Ids must be plain ASCII without control characters."""
-    pairs = F.array_sort(F.collect_list(F.struct(run_id.alias("id"), digest.alias("h"))))
-    return F.sha2(F.to_json(F.transform(pairs, lambda p: F.array(p["id"], p["h"]))), 256)
+def set_hashes(rows: DataFrame, by: str, run_id: str, *digests: str) -> DataFrame:
+    """``by`` and per column of digests the sha256 of [[run_id, hex], ...] of its set, in order of the id's bytes.
+
+    A set's rows are sorted into one task and run through the digest as they come, so no set is ever held whole, of whatever
+    size. Null ids are not counted; sets without rows are not returned (theirs is the hash of []).
+    """
+    kind = rows.schema[by].dataType.simpleString()
+    chosen = rows.where(F.col(run_id).isNotNull()).select(by, run_id, *digests).repartition(by).sortWithinPartitions(by, run_id, *digests)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hashes = None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if hashes:
+                for h in hashes:
+                    h.update(b"]")
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]], key), *(pa.array([h.hexdigest()]) for h in hashes)], names=[by, *digests])
+
+        for batch in batches:
+            key = batch.column(0).type
+            sets, names = batch.column(0).to_pylist(), [canonical(i) for i in batch.column(1).to_pylist()]
+            values = [batch.column(2 + k).to_pylist() for k in range(len(digests))]
+            starts = [i for i in range(len(sets)) if i == 0 or sets[i] != sets[i - 1]]
+            for at, to in zip(starts, [*starts[1:], len(sets)]):
+                first = now != (sets[at],)
+                if first:
+                    yield from done()
+                    now, hashes = (sets[at],), [hashlib.sha256(b"[") for _ in digests]
+                for h, own in zip(hashes, values):
+                    text = ",".join(f'[{n},"{v}"]' for n, v in zip(names[at:to], own[at:to]))
+                    h.update((text if first else "," + text).encode())
+        yield from done()
+
+    return chosen.mapInArrow(stream, f"`{by}` {kind}, " + ", ".join(f"`{d}` string" for d in digests))

@@ -72,21 +72,17 @@ def summary(runs: DataFrame, member: bool) -> DataFrame:
 
 
 def runs_hash(runs: DataFrame) -> DataFrame:
-    """The set hash of each record's live runs; a record without any has the hash of []."""
-    up = ~F.col("tombstoned") & ~F.col("archived")
-    pairs = runs.withColumn("run_id", F.when(up, F.col("run_id")))
-    kept = pairs.where("run_id is not null").groupBy("record_id").agg(canon.set_hash(F.col("run_id"), F.col("content_hash")).alias("h"))
-    return runs.select("record_id").distinct().join(kept, "record_id", "left").select("record_id", F.coalesce("h", F.sha2(F.lit("[]"), 256)).alias("runs_hash"))
+    """The set hash of each record's runs, archived and deleted ones too."""
+    return canon.set_hashes(runs, "record_id", "run_id", "content_hash").withColumnRenamed("content_hash", "runs_hash")
 
 
 def used_summary(used: DataFrame, runs: DataFrame) -> DataFrame:
     """Per set: how many runs were used, the set hash now and then, and which changed since."""
     both = used.join(runs.select("record_id", "run_id", "content_hash"), ["record_id", "run_id"])
     other = F.when(F.col("posted_hash") != F.col("content_hash"), F.col("run_id"))
-    return both.groupBy("record_id").agg(
-        F.count("*").alias("runs_used"), canon.set_hash(F.col("run_id"), F.col("content_hash")).alias("used_hash"),
-        canon.set_hash(F.col("run_id"), F.col("posted_hash")).alias("posted_hash"), F.array_sort(F.collect_list(other)).alias("changed"),
-    )
+    counted = both.groupBy("record_id").agg(F.count("*").alias("runs_used"), F.array_sort(F.collect_list(other)).alias("changed"))
+    hashed = canon.set_hashes(both, "record_id", "run_id", "content_hash", "posted_hash").withColumnRenamed("content_hash", "used_hash")
+    return counted.join(hashed, "record_id").select("record_id", "runs_used", "used_hash", "posted_hash", "changed")
 
 
 def same_all(used: DataFrame, mine: DataFrame, theirs: DataFrame) -> DataFrame:

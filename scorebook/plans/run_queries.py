@@ -240,7 +240,7 @@ SQL = {
     "op_project": f"select r.run_id, case when {UP} then r.status end as status, r.state, case when {UP} then r.error_kind end as error_kind, m.value as chars, q.value as quality from {SEEN_RUNS} r left join run_metrics m on m.record_id = r.record_id and m.run_id = r.run_id left join run_results q on q.record_id = r.record_id and q.run_id = r.run_id and q.metric = 'quality' where r.record_id = 'src3' and (({UP}) or used) and (q.value = 1 or ({UP})) order by status nulls last, r.run_id limit 201",
     "agg_count_filter": f"select record_id, count(*) filter (where {UP}) as live, count(*) filter (where {UP} and status = 'ok') as ok, count(*) filter (where {UP} and status = 'error') as error, count(*) filter (where {UP} and status = 'skipped') as skipped, count(*) filter (where archived and not tombstoned) as archived_runs, count(*) filter (where tombstoned) as deleted, count(*) as total from runs group by 1",
     "agg_count_member": f"select record_id, count(*) filter (where {UP}) as live, count(*) filter (where {UP} and status = 'ok') as ok, count(*) filter (where {UP} and status = 'error') as error, count(*) filter (where {UP} and status = 'skipped') as skipped, cast(null as bigint) as archived_runs, cast(null as bigint) as deleted, count(*) as total from runs group by 1",
-    "agg_set_hash": f"select record_id, sha256('[' || coalesce({PAIRS.format('run_id', 'content_hash')} filter (where {UP}), '') || ']') as runs_hash from runs group by 1",
+    "agg_set_hash": f"select record_id, sha256('[' || {PAIRS.format('run_id', 'content_hash')} || ']') as runs_hash from runs group by 1",
     "agg_used_summary": f"select u.record_id, count(*) as runs_used, sha256('[' || {PAIRS.format('r.run_id', 'r.content_hash')} || ']') as used_hash, sha256('[' || {PAIRS.format('r.run_id', 'u.posted_hash')} || ']') as posted_hash, coalesce(string_agg(r.run_id, ',' order by r.run_id) filter (where u.posted_hash <> r.content_hash), '') as changed from used_runs u join runs r on r.record_id = u.record_id and r.run_id = u.run_id group by 1",
     "join_used_set": f"select u.record_id, u.run_id, r.status, f.fingerprint, u.posted_hash <> r.content_hash as changed from used_runs u join runs r on r.record_id = u.record_id and r.run_id = u.run_id left join {FACET} f on f.record_id = u.record_id and f.run_id = u.run_id",
     "agg_same_all": f"select s.record_id, count(u.run_id) > 0 and bool_and(coalesce(f.fingerprint = sha256('en'), false)) as same from (select distinct record_id from runs) s left join used_runs u on u.record_id = s.record_id left join {FACET} f on f.record_id = u.record_id and f.run_id = u.run_id group by 1",
