@@ -70,6 +70,19 @@ class Vocabulary:
     facts: dict[str, Fact] = field(default_factory=dict)
 
 
+def shape(f, at: str) -> None:
+    """Refuse what is no filter: another type, several words at once, keys that a leaf does not have."""
+    words = {"and", "or", "not"} & set(f) if isinstance(f, dict) else {None}
+    if words:
+        if len(words) > 1 or not isinstance(f, dict) or len(f) > 1 or (words & {"and", "or"} and not isinstance(next(iter(f.values())), list)):
+            raise FilterError(at, "bad_request")
+        return
+    path, op = f.get("path"), f.get("op")
+    more = {"any": {"match"}, "exists": set()}.get(op, {"value"}) if isinstance(op, str) else None
+    if more is None or not isinstance(path, str) or set(f) != {"path", "op"} | more:
+        raise FilterError(at, "bad_request")
+
+
 def _literal(value, type_: str, at: str):
     fits = isinstance(value, PYTHON[type_]) and (type_ == "boolean" or not isinstance(value, bool))
     if not fits:
@@ -107,7 +120,11 @@ def compare(s: Scalar, op: str, value, at: str) -> Column:
 def _matching(leaf: dict, side: Side, at: str) -> DataFrame:
     """Keys of the side rows that satisfy all terms at once."""
     terms = []
-    for key, term in leaf.get("match", {}).items():
+    if not isinstance(leaf["match"], dict):
+        raise FilterError(f"{at}/match", "bad_request")
+    for key, term in leaf["match"].items():
+        if isinstance(term, (list, type(None))) or (isinstance(term, dict) and not {"value"} <= set(term) <= {"op", "value"} and term != {"op": "exists"}):
+            raise FilterError(f"{at}/match/{key}", "bad_request")
         if key not in side.fields:
             raise FilterError(f"{at}/match/{key}", "unknown_path")
         op, value = (term.get("op", "eq"), term.get("value")) if isinstance(term, dict) else ("eq", term)
@@ -144,16 +161,13 @@ class _Compiler:
         return None
 
     def column(self, f: dict, at: str) -> Column:
-        if "and" in f or "or" in f:
-            if len(f) > 1:
-                raise FilterError(at, "bad_request")
-            word = "and" if "and" in f else "or"
-            parts = [self.column(x, f"{at}/{word}/{i}") for i, x in enumerate(f[word])]
-            return reduce(lambda a, b: a & b if word == "and" else a | b, parts, F.lit(word == "and"))
+        shape(f, at)
+        for word in ("and", "or"):
+            if word in f:
+                parts = [self.column(x, f"{at}/{word}/{i}") for i, x in enumerate(f[word])]
+                return reduce(lambda a, b: a & b if word == "and" else a | b, parts, F.lit(word == "and"))
         if "not" in f:
             return ~self.column(f["not"], f"{at}/not")
-        if not isinstance(f.get("path"), str) or not isinstance(f.get("op"), str):
-            raise FilterError(at, "bad_request")
         found = self.keys(f, at)
         if found:
             keys, key, absent = found
@@ -168,15 +182,15 @@ class _Compiler:
 
 def apply(df: DataFrame, where: dict | None, words: Vocabulary) -> DataFrame:
     """The rows of df that pass; its columns as they were."""
-    if not where:
+    if where is None or where == {}:
         return df
+    shape(where, "/where")
     made, columns = _Compiler(df, words), df.columns
-    conjuncts = where["and"] if set(where) == {"and"} else [where]
+    conjuncts = where["and"] if "and" in where else [where]
     rest = []
     for i, f in enumerate(conjuncts):
-        at = f"/where/and/{i}" if set(where) == {"and"} else "/where"
-        if not isinstance(f, dict):
-            raise FilterError(at, "bad_request")
+        at = f"/where/and/{i}" if "and" in where else "/where"
+        shape(f, at)
         found = made.keys(f, at) if "path" in f else None
         if found:
             keys, key, absent = found

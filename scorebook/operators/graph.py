@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staged import shared_folder
+
 
 def outgoing(edges: DataFrame, nodes: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Edges out of the nodes (node), in order of type and target."""
@@ -24,29 +26,28 @@ def incoming(edges: DataFrame, nodes: DataFrame, texts: DataFrame | None = None)
 def traverse(edges: DataFrame, start: DataFrame, depth: int = 1, direction: str = "out", types: list[str] | None = None) -> DataFrame:
     """node and its least distance from the start (node), breadth first; depth is held to 1..5.
 
-    Each hop is one join and a distinct. A node met again is walked again, at most five times, which keeps the plan
-    a chain; the least distance is taken once, at the end. Nothing is collected.
+    The hops and each frontier are written to the shared folder, so a hop is one join and an anti join over what was met before
+    and nothing is worked out twice. Nothing is collected but whether a frontier is empty.
     """
+    spark, root = edges.sparkSession, shared_folder(edges.sparkSession)
     if types:
         edges = edges.where(F.col("type").isin(types))
     hops = edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next"))
     back = edges.select(F.col("to_id").alias("node"), F.col("from_id").alias("next"))
     hops = {"out": hops, "in": back, "both": hops.unionByName(back)}[direction]
-    frontier = start.select("node").distinct()
-    met = frontier.withColumn("distance", F.lit(0))
-    for step in range(1, max(1, min(5, depth)) + 1):
-        frontier = frontier.join(hops, "node").select(F.col("next").alias("node")).distinct()
-        met = met.unionByName(frontier.withColumn("distance", F.lit(step)))
-    return met.groupBy("node").agg(F.min("distance").alias("distance"))
+    hops.distinct().write.parquet(f"{root}/hops")
+    hops = spark.read.schema(hops.schema).parquet(f"{root}/hops")
+    frontier = start.select("node").distinct().withColumn("distance", F.lit(0))
+    for step in range(max(1, min(5, depth)) + 1):
+        frontier.write.parquet(f"{root}/met/step={step}")
+        met = spark.read.schema("node " + start.schema["node"].dataType.simpleString() + ", distance int").option("basePath", f"{root}/met").parquet(*[f"{root}/met/step={k}" for k in range(step + 1)]).select("node", "distance")
+        now = met.where(F.col("distance") == step)
+        if now.isEmpty():
+            break
+        frontier = now.join(hops, "node").select(F.col("next").alias("node")).distinct().join(met, "node", "left_anti").withColumn("distance", F.lit(step + 1))
+    return met
 
 
 def hidden(nodes: DataFrame, seen: DataFrame) -> DataFrame:
     """Nodes as a reader sees them: those not in ``seen`` (node, label) show their id alone."""
     return nodes.join(seen.withColumn("_seen", F.lit(True)), "node", "left").select("node", F.col("_seen").isNull().alias("private"), "label")
-
-
-def grouped_by_print(prints: DataFrame, facet: str, items: DataFrame) -> DataFrame:
-    """Items (version_id, name) grouped by their print of the facet; those without one first."""
-    own = prints.where(F.col("facet") == facet).select("version_id", "fingerprint")
-    rows = items.join(own, "version_id", "left")
-    return rows.groupBy("fingerprint").agg(F.count("*").alias("items"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))

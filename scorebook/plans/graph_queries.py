@@ -53,18 +53,6 @@ def join_mutual_refs(spark, d):
     return parts.join(orders, "supplier")
 
 
-def graph_comparison(spark, d):
-    """Records whose latest live version uses a part of the first supplier's, with prints and the best metric."""
-    e = c.edges(spark, d)
-    parts = e.where("type = 'made_by' and to_id = 's:0'").select(F.col("from_id").alias("node"))
-    users = graph.incoming(e.where("type = 'uses'"), parts).select(F.substring("from_id", 3, 20).cast("long").alias("version_id")).distinct()
-    rows = rec.scan(c.records(spark, d), c.versions(spark, d), []).join(users, "version_id", "left_semi")
-    prints = c.fingerprints(spark, d).where("facet = 'model'").select("version_id", "fingerprint")
-    rows = rows.join(prints, "version_id", "left").join(rec.best_metric(c.results(spark, d), "R", "desc"), "version_id", "left")
-    same = F.coalesce(F.col("fingerprint") == F.sha2(F.lit("1-URGENT"), 256), F.lit(False))
-    return rows.select("version_id", "ns", "name", "fingerprint", "best", same.alias("same_model"))
-
-
 def _bfs_sql(start: str, hops: str, depth: int) -> str:
     return f"with recursive hops as ({hops}), walk(node, distance) as (select node, 0 from ({start}) union select h.next, w.distance + 1 from walk w join hops h on h.node = w.node where w.distance < {depth}) select node, min(distance) as distance from walk group by 1"
 
@@ -76,7 +64,6 @@ SQL = {
     "graph_incoming": "select distinct from_id, type, to_id from edges where to_id in (select 'p:' || p_partkey from part where p_brand = 'Brand#7')",
     "graph_follow_latest": "select v.version_id, v.record_id, l.version_id as latest_id from versions v left join lateral (select w.version_id from versions w where w.record_id = v.record_id and not w.tombstoned order by w.seq desc limit 1) l on true",
     "join_mutual_refs": "select m.to_id as supplier, count(distinct m.from_id) as parts, count(distinct u.from_id) as orders from edges m join edges u on u.type = 'uses' and u.to_id = m.from_id where m.type = 'made_by' group by 1",
-    "graph_comparison": "select v.version_id, r.ns, r.name, f.fingerprint, b.best, coalesce(f.fingerprint = sha256('1-URGENT'), false) as same_model from versions v join records r on r.record_id = v.record_id left join fingerprints f on f.version_id = v.version_id and f.facet = 'model' left join (select version_id, max(value) as best from results where metric = 'R' group by 1) b on b.version_id = v.version_id where r.visibility = 'public' and not v.tombstoned and v.seq = (select max(w.seq) from versions w where w.record_id = v.record_id and not w.tombstoned) and exists (select 1 from edges u join edges m on m.type = 'made_by' and m.from_id = u.to_id and m.to_id = 's:0' where u.type = 'uses' and u.from_id = 'o:' || v.version_id)",
 }
 BFS = {
     "graph_bfs": _bfs_sql("select 'o:' || o_orderkey as node from orders where o_orderpriority = '1-URGENT'", OUT, 5),

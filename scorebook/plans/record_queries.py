@@ -187,13 +187,6 @@ def agg_distinct(spark, d):
     return c.results(spark, d).select("version_id", "metric").distinct()
 
 
-def agg_group_by_fp(spark, d):
-    from ..operators import graph
-
-    items = rec.scan(c.records(spark, d), c.versions(spark, d), CALLER).select("version_id", "name")
-    return graph.grouped_by_print(c.fingerprints(spark, d), "model", items)
-
-
 def proj_hit(spark, d):
     rows = rec.scan(c.records(spark, d), c.versions(spark, d), CALLER)
     return rows.select("version_id", "record_id", "ns", "name", "visibility", "seq", "created_at", "model_id", "temperature", "env")
@@ -290,7 +283,6 @@ SQL = {
     "agg_namespace_counts": f"select r.ns, count(*) as records from records r where {SEEN} and exists (select 1 from versions v where v.record_id = r.record_id and not v.tombstoned) group by 1",
     "agg_best": "select version_id, min(value) as best from results where metric = 'N' group by 1",
     "agg_distinct": "select distinct version_id, metric from results",
-    "agg_group_by_fp": f"select f.fingerprint, count(*) as items, min(r.name) as first_name, max(r.name) as last_name from records r join versions v on v.record_id = r.record_id left join fingerprints f on f.version_id = v.version_id and f.facet = 'model' where {SEEN} and not v.tombstoned and {LATEST} group by 1",
     "proj_hit": f"select v.version_id, v.record_id, r.ns, r.name, r.visibility, v.seq, v.created_at, v.model_id, v.temperature, v.env from {BASE} and {LATEST}",
     "proj_expand": f"with p as (select v.version_id, v.temperature from {BASE} and {LATEST} order by v.temperature desc, v.version_id desc limit 51) select p.*, m.fingerprint as model_print, e.fingerprint as env_print from p left join fingerprints m on m.version_id = p.version_id and m.facet = 'model' left join fingerprints e on e.version_id = p.version_id and e.facet = 'env'",
     "join_inner_equi": "select ns, count(*) as versions from records join versions using (record_id) group by 1",

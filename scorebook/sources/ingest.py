@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jsonx
+
 #: The part of a body that is cut into rows.
 BODY = (
     "struct<results:array<struct<metric:string,value:double,n:bigint,aggregation:string>>,"
@@ -54,9 +56,25 @@ def bodies_of(versions: DataFrame, results: DataFrame) -> DataFrame:
     return versions.join(folded, "version_id").select("version_id", F.to_json(F.struct("model_id", "results")).alias("body"))
 
 
-def model_index(results: DataFrame, name: Column) -> DataFrame:
-    """model-index YAML per version: one result entry with all metrics, in order."""
-    line = F.concat(F.lit("      - type: "), F.col("metric"), F.lit("\n        value: "), F.col("value").cast("string"))
-    rows = results.groupBy("version_id").agg(F.array_sort(F.collect_list(F.struct("metric", "value", line.alias("line")))).alias("m"))
-    body = F.concat(F.lit("model-index:\n- name: "), name, F.lit("\n  results:\n  - metrics:\n"), F.array_join(F.transform("m", lambda x: x["line"]), "\n"))
-    return rows.select("version_id", body.alias("yaml"))
+def model_index(bodies: DataFrame, maker: str) -> DataFrame:
+    """version_id, yaml, code: the results of each body (version_id, subject, url, body) as a model-index entry.
+
+    One result with all metrics in their order, those without a text for a metric or a number for a value left out; a body
+    without any is a bad_request. Texts are quoted as JSON, which YAML reads alike.
+    """
+    v = F.col("v")
+    text = lambda p, other: F.coalesce(jsonx.json_str(v, p), F.lit(other))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"\A\[|\]\z", "")
+    results = F.coalesce(F.try_variant_get(v, "$.results", "array<variant>"), F.array().cast("array<variant>"))
+    named = F.filter(results, lambda r: jsonx.json_str(r, "$.metric").isNotNull() & jsonx.json_num(r, "$.value").isNotNull())
+    metric = lambda r: F.concat(F.lit("    - type: "), quoted(jsonx.json_str(r, "$.metric")), F.lit("\n      value: "), F.to_json(F.variant_get(r, "$.value", "variant")), F.lit("\n      name: "), quoted(jsonx.json_str(r, "$.metric")))
+    rows = bodies.withColumn("v", F.try_parse_json("body")).withColumn("metrics", F.transform(named, metric))
+    task, split = quoted(text("$.task.id", "unknown")), jsonx.json_str(v, "$.task.split")
+    both = lambda head: F.concat(F.lit(f"{head}:\n      type: "), task, F.lit("\n      name: "), task)
+    yaml = F.concat(
+        F.lit("model-index:\n- name: "), quoted(text("$.model.id", "unknown")), F.lit("\n  results:\n  - "), both("task"), F.lit("\n    "), both("dataset"),
+        F.when(split.isNotNull(), F.concat(F.lit("\n      split: "), quoted(split))).otherwise(""), F.lit("\n    metrics:\n"), F.array_join("metrics", "\n"),
+        F.lit("\n    source:\n      name: "), quoted(F.concat(F.lit(f"{maker} "), F.col("subject"))), F.when(F.col("url").isNotNull(), F.concat(F.lit("\n      url: "), quoted(F.col("url")))).otherwise(""), F.lit("\n"),
+    )
+    filled = F.size("metrics") > 0
+    return rows.select("version_id", F.when(filled, yaml).alias("yaml"), F.when(~filled, "bad_request").alias("code"))

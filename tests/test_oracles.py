@@ -19,8 +19,3 @@ def con():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
     assert differences(spark, con, QUERIES[name], ORACLES[name], SF) == ""
-
-
-def test_yaml_export(spark):
-    rows = {r["version_id"]: r["yaml"] for r in QUERIES["sink_hf_yaml"](spark, SF).collect()}
-    assert rows and all(y.startswith("model-index:\n- name: v") and "- type: " in y for y in rows.values())
