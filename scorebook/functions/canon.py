@@ -58,6 +58,10 @@ def canonical(value) -> str:
     return number(value)
 
 
+def digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def facet_hash(body: dict, facet: str) -> str:
     """An absent or null facet counts as {}."""
     own = body.get(facet) or {}
