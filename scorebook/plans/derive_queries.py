@@ -122,16 +122,6 @@ def der_split_v1(spark, d):
     return derive.last_wins(cut, ["record_id", "run_id"], "position").select("record_id", "run_id", "status")
 
 
-def op_ingest(spark, d):
-    """Bodies in order of arrival become versions; one equal to the latest is not written again."""
-    from pyspark.sql import Window
-
-    by_time = Window.partitionBy("record_id").orderBy("created_at", "version_id")
-    b = c.bodies(spark, d).withColumn("digest", F.sha2("body", 256))
-    new = b.withColumn("before", F.lag("digest").over(by_time)).where("before is null or before <> digest")
-    return new.select("version_id", "record_id", F.row_number().over(by_time).cast("long").alias("seq"), "digest")
-
-
 def op_relation_add(spark, d):
     """Edges added later: only those that are not there yet."""
     e = c.edges(spark, d).where("type = 'uses'")
@@ -141,7 +131,6 @@ def op_relation_add(spark, d):
 
 SQL = {
     "der_split_v1": "select record_id, json_extract_string(body, '$.k') as run_id, max_by(case type when 'error' then 'error' when 'view' then 'skipped' else 'ok' end, version_id) as status from bodies group by 1, 2",
-    "op_ingest": "select version_id, record_id, row_number() over (partition by record_id order by created_at, version_id) as seq, sha256(body) as digest from (select *, lag(body) over (partition by record_id order by created_at, version_id) as before from bodies) where before is null or before <> body",
     "op_relation_add": "select * from edges where type = 'uses' union select 'o:' || o_orderkey, 'uses', 'p:' || (o_orderkey % 10) from orders",
     "der_changed": "select version_id, seq, concat_ws(',', case when p is null or env is distinct from pe then 'env' end, case when p is null or model_id is distinct from pm then 'model_id' end, case when p is null or temperature is distinct from pt then 'temperature' end) as changed from (select *, lag(version_id) over w as p, lag(env) over w as pe, lag(model_id) over w as pm, lag(temperature) over w as pt from versions where not tombstoned window w as (partition by record_id order by seq))",
     "der_changed_turns": "select conv_id as record_id, turn as seq, case when lag(role) over (partition by conv_id order by turn) is distinct from role then 'role' else '' end as changed from conversations",

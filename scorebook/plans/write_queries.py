@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import derive, registry_ops, run_writes, used_sets
+from ..functions import canon
+from ..operators import derive, ingest_records, registry_ops, run_writes, used_sets
 from ..sources import carriers as c
 from ..sources.staged import Staged, shared_folder
 from .relation_queries import CALLER, SEEN
@@ -109,6 +110,30 @@ def join_card_lookup(spark, d):
     return found.select("request", "position", "version_id", "seq").unionByName(unknown.select("request", "position", F.lit(None).cast("long").alias("version_id"), F.lit(None).cast("long").alias("seq")))
 
 
+# --- records
+
+
+def _bodies(spark, d):
+    """All versions of all records as bodies; some lack a title, some refer outside or to nothing."""
+    body = F.expr(
+        """concat('{"schema":"', case when type = 'card' then 'scorebook.card/1.1' else 'scorebook.eval/2.0","origin":"live","eval_kind":"run_set' end, '",', case when version_id % 17 > 0 then concat('"title":"', env, '",') else '' end,
+        '"producer":{"version":"1","name":"h"},', case version_id % 8 when 0 then '"relations":[{"type":"core/x","to":"external:x"}],' when 4 then '"relations":[{"type":"core/x","to":"nowhere/none@1"}],' else '' end, '"redaction":{"applied":', model_id = '1-URGENT', '}}')"""
+    )
+    return c.versions(spark, d).join(c.hub_records(spark, d).select("record_id", "type"), "record_id").withColumn("body", body)
+
+
+def op_ingest(spark, d):
+    """Bodies from each record's third on, in order, for records that have the two before: numbers, changes, badges, refusals."""
+    rows = _bodies(spark, d)
+    there = rows.where("seq <= 2").withColumn("body", canon.canonical_json(F.col("body"))).select("version_id", "record_id", "seq", "body", "tombstoned")
+    batch = rows.where("seq > 2").select(F.col("seq").cast("int").alias("position"), "version_id", "record_id", "body")
+    none = spark.createDataFrame([], "kind string, ns string, id string, version string")
+    done = ingest_records.create_or_append(batch, c.hub_records(spark, d), there, eval_runs(spark, d), none, spark.createDataFrame([], "sha256 string"), CALLER)
+    new = done.versions.select("version_id", "seq", "content_hash", F.array_join("changed", ",").alias("changed"), F.array_join("badges", ",").alias("badges"))
+    why = done.errors.groupBy("version_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("path", F.lit(" "), "code"))), ",").alias("errors"))
+    return done.outcomes.join(new, "version_id", "left").join(why, "version_id", "left")
+
+
 # --- lookups
 
 
@@ -232,6 +257,19 @@ k as (select q.*, v.version_id, v.seq from q left join hub_records r on r.type =
     and exists (select 1 from relations y join hub_versions t on t.version_id = y.to_version_id where y.from_version_id = v.version_id and y.type = 'core/uses_eval' and t.record_id = q.eval_record_id))
 select request, eval_record_id as position, version_id, seq from k where version_id is null or request not in (select request from k where version_id is null)
 """.strip()
+WRITTEN = """
+with b as (select v.*, r.type, case when v.model_id = '1-URGENT' then 'true' else 'false' end as red, case v.version_id % 8 when 0 then '[{"to":"external:x","type":"core/x"}]' when 4 then '[{"to":"nowhere/none@1","type":"core/x"}]' end as rel from versions v join hub_records r on r.record_id = v.record_id),
+t as (select *, '{' || case when type = 'eval' then '"eval_kind":"run_set","origin":"live",' else '' end || '"producer":{"name":"h","version":"1"},"redaction":{"applied":' || red || '},' || case when rel is not null then '"relations":' || rel || ',' else '' end || '"schema":"scorebook.' || case when type = 'card' then 'card/1.1' else 'eval/2.0' end || '"' || case when version_id % 17 > 0 then ',"title":"' || env || '"' else '' end || '}' as body from b),
+base as (select record_id, 0 as position, cast(null as bigint) as version_id, arg_max(body, seq) as body, arg_max(red, seq) as red, arg_max(coalesce(rel, ''), seq) as rel, arg_max(case when version_id % 17 > 0 then env else '' end, seq) as env, any_value(type) as type from t where seq <= 2 and not tombstoned group by 1),
+u as (select record_id, position, version_id, body, red, rel, env, type from base union all select record_id, seq, version_id, body, red, coalesce(rel, ''), env, type from t where seq > 2 and version_id % 17 > 0),
+p as (select *, lag(body) over w as pb, lag(red) over w as pr, lag(rel) over w as pl, lag(env) over w as pe from u window w as (partition by record_id order by position)),
+k as (select *, (select max(x.seq) from versions x where x.record_id = p.record_id and x.seq <= 2) + row_number() over (partition by record_id order by position) as seq from p where version_id is not null and (pb is null or pb <> body))
+select version_id, 'appended' as outcome, seq, sha256(body) as content_hash,
+  case when pb is null then case when type = 'eval' then 'eval_kind,origin,' else '' end || 'producer,redaction,' || case when rel <> '' then 'relations,' else '' end || 'schema,title' else concat_ws(',', case when red <> pr then 'redaction' end, case when rel <> pl then 'relations' end, case when env <> pe then 'title' end) end as changed,
+  concat_ws(',', case when rel not like '%nowhere%' then 'refs_resolved' end, 'metric_registered', case when red = 'true' then 'redacted' end) as badges, cast(null as varchar) as errors from k
+union all select version_id, 'unchanged', null, null, null, null, null from p where version_id is not null and pb = body
+union all select version_id, 'refused', null, null, null, null, ' schema' from t where seq > 2 and version_id % 17 = 0
+""".strip()
 ADDRESSES = "(select r.type, r.ns, r.name, r.record_id, r.visibility, r.name || f.form as address, f.form from hub_records r, (values (''), ('@2'), ('@l3'), ('@l3@x')) f(form))"
 LABELLED = "(select *, case when version_id % 4 = 0 then 'l' || seq end as label from hub_versions)"
 REGISTRY = "(select distinct case p_size % 3 when 0 then 'metrics' when 1 then 'harnesses' else 'ext_schemas' end as kind, case when p_partkey % 4 = 0 then 'core' else lower(p_type) end as ns, lower(replace(p_brand, '#', '-')) as id, cast(p_size as varchar) as version from part)"
@@ -251,6 +289,7 @@ SQL = {
     "fn_materialise": f"select {RECORD} as record_id, cast(doc_id as varchar) as run_id, {ONE} as stored from documents",
     "fn_run_hash": f"select {RECORD} as record_id, cast(doc_id as varchar) as run_id, sha256({ONE}) as content_hash from documents",
     "op_put_runs": PUT,
+    "op_ingest": WRITTEN,
     "der_batch_atomic": f"select {RECORD} as record_id, count(*) filter (where doc_id % 31 = 0) as failing, case when count(*) filter (where doc_id % 31 = 0) = 0 then count(*) else 0 end as written from documents group by 1",
     "set_union_named_runs": "select distinct x.from_version_id as version_id, t.record_id as eval_record_id, k.run_id from relations x join hub_targets t on t.version_id = x.to_version_id, (values (0, 'r1'), (0, 'r2'), (1, 'r1'), (1, 'r99')) k(m, run_id) where k.m = x.from_version_id % 4 and x.type = 'core/uses_eval' and t.type = 'eval'",
     "op_ingest_card_runs": CARD_RUNS,

@@ -10,7 +10,7 @@ from ..functions import jsonx
 #: The part of a body that is cut into rows.
 BODY = (
     "struct<results:array<struct<metric:string,value:double,n:bigint,aggregation:string>>,"
-    "relations:array<struct<type:string,to:string>>,"
+    "relations:array<struct<type:string,to:string,attrs:string>>,"
     "attachments:array<struct<path:string,sha256:string,size:bigint,media_type:string>>,"
     "run_results:array<struct<eval:string,run_id:string,metric:string,value:double,label:string>>>"
 )

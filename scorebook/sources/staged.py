@@ -23,6 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{found}/tables-{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Write the rows of a step to the shared folder and read them back: later steps neither work them out again nor replan them."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Staged:
     """Tables (name: schema) under a root, dealt to buckets by the column ``key``, which all of them have."""
 
