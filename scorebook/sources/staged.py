@@ -8,6 +8,7 @@ job that dies before it is written has changed nothing, and its parts are never
 from __future__ import annotations
 
 import json
+import tempfile
 import uuid
 from functools import reduce
 
@@ -16,8 +17,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir."""
+    """A new path in the folder that all executors share: spark.checkpoint.dir. On one machine a folder of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and spark.sparkContext.master.split("[")[0] == "local":
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        found = spark.sparkContext.getCheckpointDir()
     if not found:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{found}/tables-{uuid.uuid4().hex}"
