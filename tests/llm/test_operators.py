@@ -650,3 +650,20 @@ def test_pipeline(spark, tmp_path, rows):
             assert not [p for p in near({i: s for i, s in sets.items() if i is not None})]
     assert now.columns == [f.name for f in packing.SCHEMA]
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "length").collect()), key=str) == sorted(map(tuple, now.select("doc_id", "length").collect()), key=str)
+
+
+def test_pipeline_of_nothing_and_of_further_columns(spark, tmp_path, rows):
+    """No stage needs a row, and none trips over columns with the names of its own."""
+    import corpus_pipeline
+
+    labels = "doc_id long, quality int, toxic int"
+    spark.createDataFrame([(r[0], 1, 0) for r in rows], labels).write.parquet(str(tmp_path / "labels.parquet"))
+    own = "doc_id long, text string, lang string, source string, n_chars long"
+    more = ["q_words", "kept", "n", "part", "component", "spans", "rate", "sequence_id", "start", "length", "_at", "rank", "value"]
+    full = spark.createDataFrame([(*r[:5], *range(len(more))) for r in rows], own + "".join(f", {m} long" for m in more))
+    for now in (full.limit(0), full):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns, empty_ = now.columns, now.isEmpty()
+            now = common.materialise(stage(spark, now, str(tmp_path)), "stage")
+            assert k == 4 or now.columns == columns
+            assert now.isEmpty() == empty_
