@@ -1,4 +1,10 @@
-"""The corpus pipeline: documents through quality rules, near-duplicate join, secret scan, mixing and packing."""
+"""The corpus pipeline: documents through quality rules, near-duplicate join, secret scan, mixing and packing.
+
+Each stage takes documents (doc_id, text, lang, source, n_chars, and any further columns, whatever their names) and all but the
+last return the same columns. Null and empty texts have no words, so the rules reject them; a null lang or source is a group of
+its own. Repeated rows are judged alike in every stage that keeps or drops; the join leaves one row of an id and a text, and
+keeps all rows without an id. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +15,27 @@ from scorebook.llm import common, mixing, ngram_join, packing, quality, queries,
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep, of repeated rows all or none; texts of under ten words go, null and empty ones too."""
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id, repeated rows once; rows without words or id stay."""
     return ngram_join.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mark and n_chars to match."""
+    """All documents, with secrets replaced by a mark and n_chars to match; a null text stays null."""
     return secrets.redact(docs, *queries.tiktoken_vocabulary()).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their fitted rate says on average; toxic ones not at all."""
+    """Documents as often as their fitted rate says on average, equal rows alike; toxic ones not at all."""
     return mixing.mix(docs, common.read(spark, sf_dir, "labels"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 2048 tokens."""
+    """Pieces of the documents in windows of 2048 tokens, one for an empty or null text; a null doc_id is carried."""
     return packing.pack(docs, queries.tokenizer_json(), *queries.tiktoken_vocabulary())
 
 
