@@ -65,10 +65,3 @@ def changed_keys(a: DataFrame, b: DataFrame) -> DataFrame:
     """Per id the sorted keys whose value differs between two exploded objects (id, key, value)."""
     both = a.withColumnRenamed("value", "x").join(b.withColumnRenamed("value", "y"), ["id", "key"], "full_outer")
     return both.where(~F.col("x").eqNullSafe(F.col("y"))).groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("changed"))
-
-
-def downloadable(refs: DataFrame, caller: list[str]) -> DataFrame:
-    """Objects with a reference that the reader may follow. refs: sha256, visibility, ns, archived."""
-    mine = F.col("ns").isin(caller) if caller else F.lit(False)
-    ok = mine | ((F.col("visibility") == "public") & ~F.col("archived"))
-    return refs.groupBy("sha256").agg(F.bool_or(ok).alias("allowed"))

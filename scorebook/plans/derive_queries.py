@@ -53,33 +53,6 @@ def der_gc(spark, d):
     return derive.unreferenced(objects, "created_at", F.lit("2000-01-01").cast("timestamp"), refs, more)
 
 
-def der_download_rule(spark, d):
-    v = c.versions(spark, d).join(c.records(spark, d), "record_id")
-    refs = v.select(F.sha2("model_id", 256).alias("sha256"), "visibility", "ns", F.col("tombstoned").alias("archived"), F.col("record_id"))
-    refs = refs.withColumn("sha256", F.sha2((F.col("record_id") % 97).cast("string"), 256))
-    return derive.downloadable(refs, ["FURNITURE"])
-
-
-def der_visibility(spark, d):
-    r = c.records(spark, d)
-    return r.select("record_id", F.when(F.col("ns") == "BUILDING", "public").otherwise(F.col("visibility")).alias("visibility"))
-
-
-def der_label_move(spark, d):
-    """The label "best" moves to the version of the highest temperature in each record."""
-    v = c.versions(spark, d)
-    best = v.groupBy("record_id").agg(F.max(F.struct("temperature", "version_id")).alias("b")).select("record_id", F.col("b.version_id").alias("best_id"))
-    return v.join(best, "record_id").select("version_id", F.when(F.col("version_id") == F.col("best_id"), "best").alias("label"))
-
-
-def der_scope(spark, d):
-    """The smaller of two scopes on the scale read < write < admin."""
-    scale = {0: "read", 1: "write", 2: "admin"}
-    level = F.least(F.col("c_custkey") % 3, F.col("c_nationkey") % 3)
-    named = F.coalesce(*[F.when(level == k, v) for k, v in scale.items()])
-    return c.table(spark, d, "customer").select("c_custkey", named.alias("scope"))
-
-
 def sink_side_tables(spark, d):
     """Bodies made of the results and cut again: the rows that went in."""
     bodies = ingest.bodies_of(c.versions(spark, d), c.results(spark, d))
@@ -122,16 +95,8 @@ def der_split_v1(spark, d):
     return derive.last_wins(cut, ["record_id", "run_id"], "position").select("record_id", "run_id", "status")
 
 
-def op_relation_add(spark, d):
-    """Edges added later: only those that are not there yet."""
-    e = c.edges(spark, d).where("type = 'uses'")
-    more = c.table(spark, d, "orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("from_id"), F.lit("uses").alias("type"), F.concat(F.lit("p:"), (F.col("o_orderkey") % 10).cast("string")).alias("to_id"))
-    return e.unionByName(more.join(e, ["from_id", "type", "to_id"], "left_anti"))
-
-
 SQL = {
     "der_split_v1": "select record_id, json_extract_string(body, '$.k') as run_id, max_by(case type when 'error' then 'error' when 'view' then 'skipped' else 'ok' end, version_id) as status from bodies group by 1, 2",
-    "op_relation_add": "select * from edges where type = 'uses' union select 'o:' || o_orderkey, 'uses', 'p:' || (o_orderkey % 10) from orders",
     "der_changed": "select version_id, seq, concat_ws(',', case when p is null or env is distinct from pe then 'env' end, case when p is null or model_id is distinct from pm then 'model_id' end, case when p is null or temperature is distinct from pt then 'temperature' end) as changed from (select *, lag(version_id) over w as p, lag(env) over w as pe, lag(model_id) over w as pm, lag(temperature) over w as pt from versions where not tombstoned window w as (partition by record_id order by seq))",
     "der_changed_turns": "select conv_id as record_id, turn as seq, case when lag(role) over (partition by conv_id order by turn) is distinct from role then 'role' else '' end as changed from conversations",
     "der_badge_sweep": "select version_id, false as old, true as registered from results group by 1 having not bool_and(metric in (select id from registry))",
@@ -139,10 +104,6 @@ SQL = {
     "der_idempotent": "select version_id, record_id from (select *, lag(body) over (partition by record_id order by created_at, version_id) as before from bodies) where before = body",
     "agg_fold_last": "select record_id, type, max(version_id) as version_id, max_by(body, version_id) as body from bodies group by 1, 2",
     "der_gc": "select sha256(cast(o_orderkey as varchar)) as sha256, o_orderdate as created_at from orders where o_orderdate < timestamp '2000-01-01' and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'A') and not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linestatus = 'F')",
-    "der_download_rule": "select sha256(cast(record_id % 97 as varchar)) as sha256, bool_or(ns = 'FURNITURE' or (visibility = 'public' and not tombstoned)) as allowed from versions join records using (record_id) group by 1",
-    "der_visibility": "select record_id, case when ns = 'BUILDING' then 'public' else visibility end as visibility from records",
-    "der_label_move": "select version_id, case when row_number() over (partition by record_id order by temperature desc, version_id desc) = 1 then 'best' end as label from versions",
-    "der_scope": "select c_custkey, case least(c_custkey % 3, c_nationkey % 3) when 0 then 'read' when 1 then 'write' else 'admin' end as scope from customer",
     "sink_side_tables": "select version_id, count(*) as results, count(*) - 1 as last, max(value) as best, cast(min(n) as bigint) as least_n from results where version_id in (select version_id from versions) group by 1",
     "sink_audit": "select version_id, type, created_at, row_number() over (order by created_at, version_id) as audit_id from bodies",
     "fn_jcs": "select version_id, replace(body, ': ', ':') as canonical from bodies",

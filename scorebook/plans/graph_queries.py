@@ -43,16 +43,6 @@ def graph_follow_latest(spark, d):
     return v.select("version_id", "record_id").join(rec.latest(v).select("record_id", F.col("version_id").alias("latest_id")), "record_id", "left")
 
 
-def join_mutual_refs(spark, d):
-    """Suppliers by the distinct parts and orders that lead to them."""
-    e = c.edges(spark, d)
-    made = e.where("type = 'made_by'").select(F.col("from_id").alias("part"), F.col("to_id").alias("supplier"))
-    uses = e.where("type = 'uses'").select(F.col("from_id").alias("order"), F.col("to_id").alias("part"))
-    parts = made.groupBy("supplier").agg(F.count("*").alias("parts"))
-    orders = uses.join(made, "part").groupBy("supplier").agg(F.countDistinct("order").alias("orders"))
-    return parts.join(orders, "supplier")
-
-
 def _bfs_sql(start: str, hops: str, depth: int) -> str:
     return f"with recursive hops as ({hops}), walk(node, distance) as (select node, 0 from ({start}) union select h.next, w.distance + 1 from walk w join hops h on h.node = w.node where w.distance < {depth}) select node, min(distance) as distance from walk group by 1"
 
@@ -63,7 +53,6 @@ SQL = {
     "graph_outgoing": "select from_id, type, to_id from edges where type = 'uses' and from_id in (select 'o:' || o_orderkey from orders where o_orderstatus = 'F')",
     "graph_incoming": "select distinct from_id, type, to_id from edges where to_id in (select 'p:' || p_partkey from part where p_brand = 'Brand#7')",
     "graph_follow_latest": "select v.version_id, v.record_id, l.version_id as latest_id from versions v left join lateral (select w.version_id from versions w where w.record_id = v.record_id and not w.tombstoned order by w.seq desc limit 1) l on true",
-    "join_mutual_refs": "select m.to_id as supplier, count(distinct m.from_id) as parts, count(distinct u.from_id) as orders from edges m join edges u on u.type = 'uses' and u.to_id = m.from_id where m.type = 'made_by' group by 1",
 }
 BFS = {
     "graph_bfs": _bfs_sql("select 'o:' || o_orderkey as node from orders where o_orderpriority = '1-URGENT'", OUT, 5),

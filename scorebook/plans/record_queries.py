@@ -251,12 +251,6 @@ def fn_sha256(spark, d):
     return c.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-def dsl_metric_gate(spark, d):
-    results, known = c.results(spark, d), c.registry(spark, d)
-    used = results.groupBy("metric").agg(F.count("*").alias("results"))
-    return used.join(known.select(F.col("id").alias("metric"), F.lit(True).alias("ok")), "metric", "left").select("metric", "results", F.coalesce("ok", F.lit(False)).alias("sortable"))
-
-
 ORDER_BEST = "order by best desc nulls first, version_id desc limit 51"
 BEST = "left join lateral (select max(x.value) as best from results x where x.version_id = v.version_id and x.metric = 'R') b on true"
 SQL = {
@@ -296,7 +290,6 @@ SQL = {
     "fn_rfc3339": "select event_id, cast(floor(epoch(ts)) as bigint) as instant, true as refused from events",
     "fn_hex": "select o_orderkey, lower(hex(o_orderpriority)) as h, true as refused from orders",
     "fn_sha256": "select doc_id, sha256(text) as digest from documents",
-    "dsl_metric_gate": "select metric, count(*) as results, metric in (select id from registry) as sortable from results group by metric",
 } | {name: f"select v.version_id, v.record_id, v.seq from {BASE} and ({condition})" for name, (_, condition) in FILTERS.items()}
 
 QUERIES = {name: globals()[name] for name in SQL if name not in FILTERS} | {name: partial(_filtered, where) for name, (where, _) in FILTERS.items()}

@@ -192,15 +192,6 @@ def der_extend_used(spark, d):
     return derive.extend_used(old, more)
 
 
-def der_archive(spark, d):
-    return c.runs(spark, d).select("record_id", "run_id", (F.col("archived") | (F.col("status") == "error")).alias("archived"))
-
-
-def der_tombstone(spark, d):
-    gone = F.col("tombstoned") | (F.col("status") == "skipped")
-    return c.runs(spark, d).select("record_id", "run_id", gone.alias("tombstoned"), F.when(~gone, F.col("content_hash")).alias("content_hash"))
-
-
 def get_run(spark, d):
     rows = c.runs(spark, d).where("record_id = 'src5' and not tombstoned and not archived")
     return rows.select("run_id", "status", "content_hash")
@@ -253,8 +244,6 @@ SQL = {
     "sink_upsert_run": "select r.record_id, r.run_id, coalesce(u.posted_hash, r.content_hash) as content_hash from runs r left join used_runs u on u.record_id = r.record_id and u.run_id = r.run_id",
     "der_used_set": f"select record_id, run_id, content_hash from runs r where (record_id in ('src0', 'src1', 'src2') and exists (select 1 from used_runs u where u.record_id = r.record_id and u.run_id = r.run_id)) or (({UP}) and record_id not in (select record_id from used_runs where record_id in ('src0', 'src1', 'src2')))",
     "der_extend_used": "select r.record_id, r.run_id, coalesce(u.posted_hash, r.content_hash) as posted_hash from runs r left join used_runs u on u.record_id = r.record_id and u.run_id = r.run_id where u.run_id is not null or r.status = 'ok'",
-    "der_archive": "select record_id, run_id, archived or status = 'error' as archived from runs",
-    "der_tombstone": "select record_id, run_id, tombstoned or status = 'skipped' as tombstoned, case when not (tombstoned or status = 'skipped') then content_hash end as content_hash from runs",
     "get_run": f"select run_id, status, content_hash from runs where record_id = 'src5' and {UP}",
     "split_threads": "select conv_id, min(turn) as first, max(turn) as last, sum(other) as changes from (select *, coalesce(cast(lag(role) over (partition by conv_id order by turn) <> role as int), 0) as other from conversations) group by 1",
 }

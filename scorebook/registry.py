@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import body_queries, derive_queries, graph_queries, migrate_queries, record_queries, relation_queries, run_queries, validate_queries, write_queries
+from .plans import body_queries, derive_queries, graph_queries, migrate_queries, record_queries, relation_queries, run_queries, state_queries, validate_queries, write_queries
 
-MODULES = (record_queries, run_queries, graph_queries, derive_queries, relation_queries, validate_queries, write_queries, body_queries, migrate_queries)
+MODULES = (record_queries, run_queries, graph_queries, derive_queries, relation_queries, validate_queries, write_queries, body_queries, migrate_queries, state_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
