@@ -29,19 +29,33 @@ CHAIN = 2
 THRESHOLD = 0.75
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, also where a lambda in ``use`` asks for it again and again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """The sorted distinct 40-bit hashes of the text's chains."""
-    gap, edge = r"[\x20\x09-\x0D]+", r"(?![^\x20\x09-\x0D])"
-    anchor = f"(?:{'|'.join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))}){edge}"
-    skip = f"(?:{anchor}{gap})*+"
-    word = rf"(?!{anchor})[^\x20\x09-\x0D]+"
-    # The capture is in a lookahead, so that a chain may run over the anchors that follow.
-    pattern = rf"(?<![^\x20\x09-\x0D])(?={'('}{anchor}{(gap + skip + word) * chain}{')'}){anchor}"
-    chains = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
-    own = f"{gap}{skip}"  # anchors within a chain do not count
-    hashed = F.transform(chains, lambda c: F.shiftrightunsigned(F.xxhash64(F.regexp_replace(c, own, " ")), 24))
-    found = F.array_sort(F.array_distinct(hashed))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(text), 24)))
+    """The sorted distinct 40-bit hashes of the text's chains.
+
+    The text is cut behind each content word, in one pass: a piece is a run of anchors and the content word after it, so the
+    chain of each of its anchors is its own content word and those of the next pieces. Time grows with the text's length alone.
+    """
+    anchor = "|".join(sorted(set(ANCHORS), key=lambda w: (-len(w), w)))
+    plain = F.concat(F.trim(F.regexp_replace(F.lower(text), r"[\x20\x09-\x0D]+", " ")), F.lit(" "))
+    # anchors at the end, with no content word behind them, match nothing, and \G stops the search there
+    found = F.regexp_extract_all(plain, F.lit(rf"\G((?:(?:{anchor})\x20)*+[^\x20]+)\x20"), F.lit(1))
+
+    def hashed(pieces: Column) -> Column:
+        def of(piece: Column, at: Column) -> Column:
+            tail = F.concat_ws(" ", *[F.element_at(F.get(pieces, at + k), -1) for k in range(chain)])
+            whole = (F.size(piece) > 1) & (at + (chain - 1) < F.size(pieces))
+            own = F.array_distinct(F.slice(piece, 1, F.size(piece) - 1))
+            return F.when(whole, F.transform(own, lambda a: F.shiftrightunsigned(F.xxhash64(F.concat(a, F.lit(" "), tail)), 24)))
+
+        return F.flatten(F.filter(F.transform(pieces, of), lambda x: x.isNotNull()))
+
+    signs = F.array_sort(F.array_distinct(_bound(F.transform(found, lambda p: F.split(p, " ")), hashed)))
+    return _bound(signs, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.shiftrightunsigned(F.xxhash64(text), 24))))
 
 
 def fingerprint(signs: Column) -> Column:

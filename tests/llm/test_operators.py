@@ -9,6 +9,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -478,6 +479,19 @@ def test_spotsigs(docs, rows, empty):
     assert {tuple(sorted((r["a"], r["b"]))) for r in spotsigs.near_duplicates(some).collect()} == want
 
 
+def test_spotsigs_of_long_runs(spark):
+    """Any gaps between words, and texts of common words alone, which take time in step with their length."""
+    rnd = random.Random(9)
+    words_ = ["the", "The", "of", "zu", "que", "x", "dog", "theme", "é"]
+    texts = ["".join(rnd.choice(words_) + rnd.choice([" ", "  ", "\n", "\t ", "\x0b", " \r\n"]) for _ in range(rnd.randrange(30))) for _ in range(300)]
+    signs = spotsigs.signatures(F.col("t"))
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.size(signs).alias("n"))
+    assert {r["i"]: r["n"] for r in got.collect()} == {i: len(chains(t)) for i, t in enumerate(texts)}
+    began = time.time()
+    runs = spark.createDataFrame([("the " * 20_000,), (" of the" * 20_000 + " cat dog is x z",), ("the dog " * 20_000,)], "t string").select(F.size(signs).alias("n"))
+    assert [r["n"] for r in runs.collect()] == [1, 3, 1] and time.time() - began < 5
+
+
 # --- packing
 
 
