@@ -88,11 +88,9 @@ def _status(outcome):
 
 
 def der_split_v1(spark, d):
-    """Old bodies with runs in them, cut into runs: of equal ids in a body the last wins."""
-    item = F.struct(F.col("version_id").alias("at"), F.get_json_object("body", "$.k").alias("run_id"), F.col("type").alias("outcome"))
-    whole = c.bodies(spark, d).groupBy("record_id").agg(F.array_sort(F.collect_list(item)).alias("runs"))
-    cut = whole.select("record_id", F.posexplode("runs").alias("position", "r")).select("record_id", "position", "r.run_id", _status(F.col("r.outcome")).alias("status"))
-    return derive.last_wins(cut, ["record_id", "run_id"], "position").select("record_id", "run_id", "status")
+    """Old bodies with runs in them, cut into runs: of equal ids in a record the last wins."""
+    cut = c.bodies(spark, d).select("record_id", F.get_json_object("body", "$.k").alias("run_id"), "version_id", _status(F.col("type")).alias("status"))
+    return derive.last_wins(cut, ["record_id", "run_id"], "version_id").select("record_id", "run_id", "status")
 
 
 SQL = {
