@@ -25,7 +25,7 @@ def card_bodies(spark, d):
     )
     body = F.expr(
         """to_json(struct(case when o_orderpriority = '5-LOW' then 'scorebook.card/9' else 'scorebook.card/1.1' end as schema, case when o_orderkey % 7 > 0 then o_orderpriority end as title,
-        struct('h' as name, case when o_orderkey % 5 > 0 then '1' end as version) as producer, struct('t' as id, o_orderkey * 10000000000000 as n) as task,
+        struct('h' as name, case when o_orderkey % 5 > 0 then '1' end as version) as producer, struct('t' as id, cast(o_orderkey as decimal(20, 0)) * 10000000000000 as n) as task,
         struct(concat('core/h', o_custkey % 3) as name, cast(o_custkey % 2 as string) as version) as harness, struct(struct('c' as commit, o_custkey % 4 = 0 as dirty) as git) as env,
         struct(struct('i' as image, case when o_custkey % 3 > 0 then 'd' end as digest) as sandbox) as trial, struct(o_orderstatus = 'F' as applied) as redaction,
         results, case when o_orderstatus <> 'P' then struct(attempted, completed, failed) end as counts, attachments, relations, run_results, map(case when o_custkey % 2 = 0 then 'a/b' else concat('B~', o_orderstatus) end, o_custkey) as ext))"""
