@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 
 #: Beyond it a double does not hold every integer.
 EXACT = 2**53
+#: Bodies whose values leave in one batch, which is what a worker holds at once.
+BODIES = 64
 KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
 
 NODE = pa.schema([
@@ -73,8 +75,8 @@ def nodes(bodies: DataFrame, column: str = "body") -> DataFrame:
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, BODIES):
+                part = batch.slice(at, BODIES)
                 found = [nodes_of(t) for t in part.column(column).to_pylist()]
                 where = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
                 columns = list(zip(*(n for own in found for n in own)))
