@@ -27,7 +27,8 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int = 1, direction: str
     """node and its least distance from the start (node), breadth first; depth is held to 1..5.
 
     The hops and each frontier are written to the shared folder, so a hop is one join and an anti join over what was met before
-    and nothing is worked out twice. Nothing is collected but whether a frontier is empty.
+    and nothing is worked out twice; a small frontier is known as small by its files, so that the hops are not shuffled for it.
+    Edges may repeat. Nothing is collected but whether a frontier is empty.
     """
     spark, root = edges.sparkSession, shared_folder(edges.sparkSession)
     if types:
@@ -35,13 +36,14 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int = 1, direction: str
     hops = edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("next"))
     back = edges.select(F.col("to_id").alias("node"), F.col("from_id").alias("next"))
     hops = {"out": hops, "in": back, "both": hops.unionByName(back)}[direction]
-    hops.distinct().write.parquet(f"{root}/hops")
+    hops.write.parquet(f"{root}/hops")
     hops = spark.read.schema(hops.schema).parquet(f"{root}/hops")
     frontier = start.select("node").distinct().withColumn("distance", F.lit(0))
     for step in range(max(1, min(5, depth)) + 1):
         frontier.write.parquet(f"{root}/met/step={step}")
-        met = spark.read.schema("node " + start.schema["node"].dataType.simpleString() + ", distance int").option("basePath", f"{root}/met").parquet(*[f"{root}/met/step={k}" for k in range(step + 1)]).select("node", "distance")
-        now = met.where(F.col("distance") == step)
+        form = "node " + start.schema["node"].dataType.simpleString() + ", distance int"
+        met = spark.read.schema(form).parquet(*[f"{root}/met/step={k}" for k in range(step + 1)])
+        now = spark.read.schema(form).parquet(f"{root}/met/step={step}")
         if now.isEmpty():
             break
         frontier = now.join(hops, "node").select(F.col("next").alias("node")).distinct().join(met, "node", "left_anti").withColumn("distance", F.lit(step + 1))

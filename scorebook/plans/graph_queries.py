@@ -24,17 +24,17 @@ def graph_incoming(spark, d):
 
 
 def graph_bfs(spark, d):
-    return graph.traverse(c.edges(spark, d), _start(spark, d, "o_orderpriority = '1-URGENT'"), 5)
+    return graph.traverse(c.edges(spark, d, repeats=True), _start(spark, d, "o_orderpriority = '1-URGENT'"), 5)
 
 
 def graph_bfs_in(spark, d):
     nodes = c.table(spark, d, "nation").where("n_regionkey = 0").select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("node"))
-    return graph.traverse(c.edges(spark, d), nodes, 2, "in")
+    return graph.traverse(c.edges(spark, d, repeats=True), nodes, 2, "in")
 
 
 def graph_bfs_both(spark, d):
     nodes = c.table(spark, d, "region").select(F.concat(F.lit("r:"), F.col("r_regionkey").cast("string")).alias("node"))
-    return graph.traverse(c.edges(spark, d), nodes, 2, "both", ["in"])
+    return graph.traverse(c.edges(spark, d, repeats=True), nodes, 2, "both", ["in"])
 
 
 def graph_follow_latest(spark, d):
