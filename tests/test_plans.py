@@ -15,7 +15,7 @@ def test_bodies_are_walked_once(spark):
 
 
 def test_withheld_bodies_are_read_once(spark):
-    bodies = spark.range(3).selectExpr("id as version_id", "'{}' as body").where("version_id % 7 <> 5")
+    bodies = spark.range(3).selectExpr("id as version_id", "'{}' as body")
     hidden = spark.createDataFrame([], "from_version_id long, relation string, ns string, name string, seq long, version_id long, content_hash string")
     evals = spark.createDataFrame([], "version_id long, eval_record_id long, judgements long, ns string, name string")
-    assert plan(relations.withhold(bodies, hidden, evals)).count("% 7)") == 1
+    assert plan(relations.withhold(bodies, hidden, evals)).count("Range (0, 3") == 1
