@@ -64,7 +64,9 @@ def create_or_append(batch: DataFrame, records: DataFrame, versions: DataFrame,
         relations.resolve_written(written.where("_uses").select("text"), targets, writer, "eval").withColumn("_uses", F.lit(True))
     )
     own = targets.select(F.col("version_id").alias("resolved"), F.col("record_id").alias("_record"), F.col("type").alias("_type"))
-    edges = keep(tables["relations"].withColumn("text", F.col("to")).withColumn("_uses", F.col("type") == used_sets.USES).join(resolved, ["text", "_uses"], "left").join(own, "resolved", "left"))
+    # what resolved is joined to its version before the edges are, since the nulls of the others would meet in one task
+    resolved = resolved.where("resolved is not null").join(own, "resolved")
+    edges = keep(tables["relations"].withColumn("text", F.col("to")).withColumn("_uses", F.col("type") == used_sets.USES).join(resolved, ["text", "_uses"], "left"))
     target = relations.hub_target(F.col("text"))
     card = typed.where("type = 'card'").select("version_id")
     use = edges.join(card, "version_id", "left_semi").select("version_id", "ordinal", "type", target["ns"].alias("ns"), target["name"].alias("name"), F.when(F.col("_type") == "eval", F.col("_record")).alias("eval_record_id"), "attrs")
