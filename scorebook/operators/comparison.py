@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canon
+from ..sources.staged import keep
 from .records import visible
 
 
@@ -29,7 +30,7 @@ def compare(evals: DataFrame, edges: DataFrame, targets: DataFrame, prints: Data
     prints: version_id, facet, fingerprint. used: version_id, eval_record_id, run_id, posted_hash. runs: record_id, run_id,
     content_hash. run_prints: record_id, run_id, facet, fingerprint.
     """
-    rows = users(evals, edges, targets, caller)
+    rows = keep(users(evals, edges, targets, caller))
     own = prints.groupBy("version_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("facet", "fingerprint")))).alias("fingerprints"))
     facet = lambda name: F.max(F.when(F.col("facet") == name, F.col("fingerprint")))
     theirs = run_prints.where("facet in ('harness', 'model')").groupBy("record_id", "run_id").agg(facet("harness").alias("harness"), facet("model").alias("model"))
@@ -38,7 +39,7 @@ def compare(evals: DataFrame, edges: DataFrame, targets: DataFrame, prints: Data
     members = used.join(pairs, ["version_id", "eval_record_id"], "left_semi").withColumnRenamed("eval_record_id", "record_id").join(runs.select("record_id", "run_id", "content_hash"), ["record_id", "run_id"])
     members = members.join(theirs, ["record_id", "run_id"], "left").join(mine, "version_id", "left")
     key = F.to_json(F.struct("version_id", "record_id"))
-    members = members.withColumn("set", key)
+    members = keep(members.withColumn("set", key))
     same = lambda name: F.bool_and(F.coalesce(F.col(name) == F.col(f"own_{name}"), F.lit(False)))
     counted = members.groupBy("version_id", "record_id", "set").agg(
         F.count("*").alias("runs_used"), same("harness").alias("same_harness"), same("model").alias("same_model"), F.array_sort(F.collect_list(F.when(F.col("posted_hash") != F.col("content_hash"), F.col("run_id")))).alias("changed"),

@@ -8,7 +8,7 @@ from ..functions import jsonx
 from ..operators import comparison, hot, used_sets
 from ..sources import carriers as c
 from ..sources import ingest
-from ..sources.staged import shared_folder
+from ..sources.staged import keep, shared_folder
 from .relation_queries import CALLER, SEEN
 from .write_queries import EVAL_RUNS, _uses, eval_runs
 
@@ -67,12 +67,12 @@ def sink_hf_yaml(spark, d):
 
 
 def _compared(spark, d):
-    targets, edges = c.hub_targets(spark, d), c.relations(spark, d)
+    targets, edges = keep(c.hub_targets(spark, d)), keep(c.relations(spark, d))
     print_ = lambda facet, text: F.struct(F.lit(facet).alias("facet"), F.sha2(text, 256).alias("fingerprint"))
     word = lambda head, n: F.concat(F.lit(head), n.cast("string"))
     v = F.col("version_id")
     prints = targets.where("version_id % 10 > 0").select("version_id", F.explode(F.array(print_("model", word("m", v % 3)), print_("harness", word("h", v % 2)))).alias("p")).select("version_id", "p.*")
-    runs = eval_runs(spark, d)
+    runs = keep(eval_runs(spark, d))
     n = F.substring("run_id", 2, 9).cast("int")
     run_prints = runs.select("record_id", "run_id", F.explode(F.array_compact(F.array(print_("model", word("m", n % 3)), F.when(n % 5 > 0, print_("harness", word("h", n % 2)))))).alias("p")).select("record_id", "run_id", "p.*")
     used = used_sets.used_sets(used_sets.uses(_uses(spark, d)), runs).select("version_id", "eval_record_id", "run_id", F.when(v % 3 == 0, F.sha2(F.lit("old"), 256)).otherwise(F.col("content_hash")).alias("posted_hash"))
