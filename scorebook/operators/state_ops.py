@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staged import keep
 from . import relations, used_sets
 from .records import live, visible
 
@@ -221,19 +222,20 @@ def add_relations(requests: DataFrame, edges: DataFrame, targets: DataFrame, use
 
     targets: versions with type, ns, name, seq, visibility, record_id. used: version_id, eval_record_id, run_id, content_hash.
     """
+    targets, runs = keep(targets), keep(runs)
     own = targets.select(F.col("version_id").alias("from_version_id"), F.col("type").alias("_type"), F.col("ns").alias("_ns"))
-    asked = requests.join(own, "from_version_id", "left").withColumn("_t", relations.hub_target(F.col("to")))
+    asked = keep(requests.join(own, "from_version_id", "left").withColumn("_t", relations.hub_target(F.col("to"))))
     lost = asked.where("_type is null").select("position", F.lit("/from").alias("path"), F.lit("source_version_unknown").alias("code"))
     there = asked.where("_type is not null")
     # the target of the lowest type name among those that are visible to this writer; the namespace rule differs by edge
     cand = targets.select("ns", "name", "seq", F.col("version_id").alias("_to"), F.col("type").alias("_to_type"), "record_id", visible(writer).alias("_seen"))
     named = there.where("_t is not null").select("position", "_ns", "_t.*").join(cand, ["ns", "name", "seq"]).where("_seen or ns = _ns")
     hit = named.groupBy("position").agg(F.count("*").alias("_n"), F.min(F.struct("_to_type", "_to", "record_id", "ns", "name")).alias("_hit")).where("_n = 1").drop("_n")
-    placed = there.join(hit, "position", "left").withColumn("to_version_id", F.col("_hit._to"))
+    placed = keep(there.join(hit, "position", "left").withColumn("to_version_id", F.col("_hit._to")))
 
     uses = placed.where((F.col("type") == used_sets.USES) & (F.col("_type") == "card") & (F.col("_hit._to_type") == "eval"))
     new = uses.select(F.col("from_version_id").alias("version_id"), F.col("position").alias("ordinal"), "type", F.col("_hit.ns").alias("ns"), F.col("_hit.name").alias("name"), F.col("_hit.record_id").alias("eval_record_id"), "attrs")
-    each = used_sets.uses(new)
+    each = keep(used_sets.uses(new))
     known = runs.select(F.col("record_id").alias("eval_record_id"), "run_id").withColumn("_known", F.lit(True))
     asked_runs = each.select(F.col("ordinal").alias("position"), "eval_record_id", F.posexplode("named").alias("k", "run_id")).join(known, ["eval_record_id", "run_id"], "left")
     unknown = asked_runs.where("_known is null").select("position", F.concat(F.lit("/attrs/runs/"), F.col("k").cast("string")).alias("path"), F.lit("run_unknown").alias("code"))
