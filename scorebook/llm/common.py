@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -58,8 +59,10 @@ def discard(*tables: DataFrame) -> None:
 
 def settle(spark: SparkSession) -> None:
     """Let go of the shuffle files of plans that nothing refers to any more; Spark does so when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)  # what Python drops, a thread of the gateway tells the driver a little later
+        spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_remainder, materialise, pack, small_batches, text_bytes, unpack
+from .common import discard, id_remainder, materialise, pack, settle, small_batches, text_bytes, unpack
 
 #: Most frequent contexts whose failure weights each task holds; the others are joined.
 HOT = 1 << 20
@@ -471,15 +471,18 @@ def score(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, hot: int =
     bits = min(64, int(size).bit_length() + SPARE_BITS)
     asked = chunks.mapInArrow(partial(_ask, blocks=blocks, bits=bits), QUESTIONS_DDL)
     answers = materialise(asked.groupBy("block").applyInArrow(lambda table: _answer(table), ANSWERS_DDL), "lm-answers")
+    settle(spark)  # the questions, the most that is on disk at once
     distinct, tokens = answers.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     z = tokens + distinct + 1
     both = chunks.drop("bytes", "learned").unionByName(answers.drop("words", "tokens"), allowMissingColumns=True)
     passed = materialise(both.groupBy("chunk").applyInArrow(lambda table: _traverse(table, z=z, texts=texts, bits=bits), PASSED_DDL), "lm-passed")
     discard(chunks, answers)
+    settle(spark)
     arcs = passed.where("context is not null").select(F.explode(F.arrays_zip("context", "c", "p", "p_low")).alias("a")).select("a.*")
     left = lambda p: F.greatest(1 - F.sum(p), F.lit(1e-12))
     backs = arcs.groupBy(F.col("context").alias("key")).agg(F.max("c").alias("c"), F.log10(left("p") / left("p_low")).alias("back"))
     backs = materialise(backs, "lm-backs")
+    settle(spark)
     least = _at_most(backs, hot)
     top = backs.where(F.col("c") >= least).select("key", "back").orderBy("key").toArrow()
     shared = spark.sparkContext.broadcast(tuple(top.column(c).to_numpy() for c in ("key", "back")))
