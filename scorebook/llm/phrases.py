@@ -10,7 +10,8 @@ transform; as phrases grow to the left alone, of the reversed transform only the
 Phrases grow a word at a time. Shards report their counts of phrases whose two halves (all but the last word, all but
 the first) are frequent over all shards; a window by phrase sums them, and each shard is told which of its own are
 frequent. So only what can be a candidate is ever shuffled, a phrase at most once per shard. Whole words are named by
-the shard and place of their first report, hence exactly.
+the shard and place of their first report, hence exactly. Reports of longer phrases are packed, a row per shard and block of
+phrases; a block's task sums them and answers each row with a bit per report.
 
 Defined results: null text is empty; a null lang is ``und``; repeated rows count each; ties in a score go to the shorter
 first part, ties in rank to the larger count, then to the phrase in order of its UTF-8 bytes; an empty table gives no
@@ -25,10 +26,12 @@ from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import batches as packed_rows
 from .common import discard, materialise, pack, settle, small_batches, unpack
 
 LONGEST = 4
@@ -39,6 +42,8 @@ HELD_FIFTHS = 4
 SCALE = 2_000_000
 #: Words that a task holds before it indexes the largest of its shards.
 SHARD_WORDS = 1 << 22
+#: Words of all texts per block of phrases.
+BLOCK_WORDS = 1 << 22
 #: Parts that the best phrases of a language are chosen in first.
 PARTS = 64
 
@@ -161,8 +166,23 @@ def index(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
     return materialise(chosen.mapInArrow(partial(_index, shard_words=shard_words), SHARD_DDL), "phrases-shards")
 
 
-def _extend(batches: Iterator[pa.RecordBatch], length: int, schema: list[str]) -> Iterator[pa.RecordBatch]:
-    """A row for each phrase of a length in a shard whose halves are frequent: report, counts, names of the words.
+REPORTS = pa.schema([("block", pa.int64()), ("shard", pa.int64()), ("words", pa.list_(pa.binary())), ("sums", pa.list_(pa.binary()))])
+REPORTS_DDL = "block long, shard long, words array<binary>, sums array<binary>"
+SUMS = ["n", "left", "right"]
+
+
+def _blocks(words: list[np.ndarray], blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases, given by the names of their words, in order of their blocks; and where each block starts."""
+    h = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        h = (h ^ w.view(np.uint64)) * np.uint64(0x9E3779B185EBCA87)
+        h ^= h >> np.uint64(29)
+    block = (h % np.uint64(blocks)).astype(np.int64)
+    return np.argsort(block, kind="stable"), np.append(0, np.cumsum(np.bincount(block, minlength=blocks)))
+
+
+def _extend(batches: Iterator[pa.RecordBatch], length: int, blocks: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shard and block: the phrases of a length whose halves are frequent by the names of their words, and their counts.
 
     Shorter phrases are found anew, in the same order, and those that the shard was told of go on; that costs less than
     to store them.
@@ -189,14 +209,45 @@ def _extend(batches: Iterator[pa.RecordBatch], length: int, schema: list[str]) -
                     good &= (at >= 0) & (begins < start[at] + size[at])
                 places = np.flatnonzero(good)
                 if now < length:
-                    places = places[value(f"told{now}").values.to_numpy()]
+                    order, edges = _blocks([names[word[places]], *(names[w[phrase[places]]] for w in words)], blocks)
+                    told = np.zeros(len(places), bool)
+                    for x in value(f"told{now}").as_py():
+                        own = order[edges[x["block"]] : edges[x["block"] + 1]]
+                        told[own] = np.unpackbits(np.frombuffer(x["told"], np.uint8), count=len(own))
+                    places = places[told]
                     places = places[np.argsort(begins[places])]
                 words = [word[places], *(w[phrase[places]] for w in words)]
                 start, size, reversed_start = begins[places], n[places], reversed_begins[places]
-            columns = [size, forward.unbroken(start, size), backward.unbroken(reversed_start, size), *(names[w] for w in words)]
-            report = (value("shard").as_py() << PLACE_BITS) + np.arange(len(start))
-            for at in range(0, len(start), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (report, *columns)], names=schema)
+            words = [names[w] for w in words]
+            order, edges = _blocks(words, blocks)
+            words = [w[order] for w in words]
+            # of the sides the breaks, which are few
+            sums = [x[order] for x in (size, size - forward.unbroken(start, size), size - backward.unbroken(reversed_start, size))]
+            rows = [(b, value("shard").as_py(), *([pack(x[edges[b] : edges[b + 1]]) for x in columns] for columns in (words, sums))) for b in np.flatnonzero(np.diff(edges)).tolist()]
+            yield from packed_rows(REPORTS, rows)
+
+
+def _sum(table: pa.Table, least: int, schema: pa.Schema) -> pa.Table:
+    """The phrases of a block that all shards together hold often enough, with their sums; and to each shard which of its own these are."""
+    words, sums = ([np.concatenate(x) for x in zip(*([unpack(p, np.int64) for p in row] for row in table[c].to_pylist()))] for c in ("words", "sums"))
+    order = np.lexsort(words)
+    words = [w[order] for w in words]
+    new = np.append(True, reduce(np.logical_or, [w[1:] != w[:-1] for w in words]))
+    first = np.flatnonzero(new)
+    n, left, right = (np.add.reduceat(x[order], first) for x in sums)
+    good = n >= least
+    told = np.empty(len(order), bool)
+    told[order] = good[np.cumsum(new) - 1]
+    ends = np.cumsum([len(unpack(row[0], np.int64)) for row in table["sums"].to_pylist()])
+    bits = [np.packbits(x).tobytes() if x.any() else None for x in np.split(told, ends[:-1])]
+    answers = pa.table([table["shard"].combine_chunks(), table["block"].combine_chunks(), pa.array(bits, pa.binary()), *(pa.nulls(len(bits), t) for t in schema.types[3:])], schema=schema)
+    frequent = [w[first][good] for w in words] + [x[good] for x in (n, n - left, n - right)]
+    phrases = pa.table([*(pa.nulls(int(good.sum()), t) for t in schema.types[:3]), *(pa.array(x) for x in frequent)], schema=schema)
+    return pa.concat_tables([answers.filter(pc.is_valid(answers["told"])), phrases])
+
+
+def _summed(least: int, schema: pa.Schema):
+    return lambda table: _sum(table, least, schema)
 
 
 def _report(shard: str, place: Column) -> Column:
@@ -212,21 +263,29 @@ def _frequent(rows: DataFrame, keys: list[str], sums: list[str], least: int) ->
 
 def grams(shards: DataFrame, least: int = LEAST) -> list[DataFrame]:
     """Frequent phrases of one to LONGEST words. Of words: lang, word, name, n; of longer ones: w1.. (names), n, left, right."""
+    spark = shards.sparkSession
     rows = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select(_report("shard", F.col("place")), "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     place, shard = F.col("report").bitwiseAND((1 << PLACE_BITS) - 1), F.shiftright("report", PLACE_BITS).alias("shard")
-    base, out = shards.select("shard", "bwt", "reversed_breaks"), []
-    for length in range(1, LONGEST + 1):
-        keys, sums = (["lang", "word"], ["n"]) if length == 1 else ([f"w{i}" for i in range(1, length + 1)], ["n", "left", "right"])
-        found = materialise(_frequent(rows, keys, sums, least), "phrases-found")
-        out.append(materialise(found.where("report = name").select(*keys, *(["name"] if length == 1 else []), *sums), "phrases-frequent"))
+    found = materialise(_frequent(rows, ["lang", "word"], ["n"], least), "phrases-found")
+    out = [materialise(found.where("report = name").select("lang", "word", "name", "n"), "phrases-frequent")]
+    told = materialise(found.groupBy(shard).agg(F.collect_list(F.struct(place.alias("place"), "name")).alias("known")), "phrases-told")
+    discard(found)
+    settle(spark)
+    base = shards.select("shard", "bwt", "reversed_breaks").join(told, "shard")
+    total = shards.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_WORDS))
+    for length in range(2, LONGEST + 1):
+        names = [f"w{i}" for i in range(1, length + 1)]
+        schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("told", pa.binary()), *((c, pa.int64()) for c in names + SUMS)])
+        ddl = ", ".join(f"`{c}` {'binary' if c == 'told' else 'long'}" for c in schema.names)
+        rows = base.mapInArrow(partial(_extend, length=length, blocks=blocks), REPORTS_DDL)
+        found = materialise(rows.groupBy("block").applyInArrow(_summed(least, schema), ddl), "phrases-found")
+        out.append(materialise(found.where("told is null").select(*names, *SUMS), "phrases-frequent"))
         if length < LONGEST:
-            item = F.collect_list(F.struct(place.alias("place"), "name")).alias("known") if length == 1 else F.array_sort(F.collect_list(place)).alias(f"told{length}")
-            told = materialise(found.groupBy(shard).agg(item), "phrases-told")
-            base = base.join(told, "shard")
-            schema = ["report", "n", "left", "right", *(f"w{i}" for i in range(1, length + 2))]
-            rows = base.mapInArrow(partial(_extend, length=length + 1, schema=schema), ", ".join(f"`{c}` long" for c in schema))
+            told = found.where("told is not null").groupBy("shard").agg(F.collect_list(F.struct("block", "told")).alias(f"told{length}"))
+            base = base.join(materialise(told, "phrases-told"), "shard")
         discard(found)
-        settle(shards.sparkSession)
+        settle(spark)
     return out
 
 

@@ -119,3 +119,23 @@ def test_scores_are_exact(spark):
     df = spark.createDataFrame(values, "n long, x long, y long").select("n", "x", "y", phrases._cuts([(F.col("x"), F.col("y")), (F.col("y"), F.col("y"))]).alias("s")).select("n", "x", "y", "s.*")
     for r in df.collect():
         assert (r["score"], r["cut"]) == min((2_000_000 * r["n"] // (r["x"] + r["y"]), 1), (2_000_000 * r["n"] // (2 * r["y"]), 2))
+
+
+def test_reports_are_packed(spark, texts, monkeypatch):
+    """What the shards hand on are rows by shard and block, not by phrase."""
+    df = spark.createDataFrame(texts, "doc_id long, lang string, text string").repartition(3)
+    made = []
+    extend = type(df).mapInArrow
+
+    def watched(self, *args, **kwargs):
+        made.append(extend(self, *args, **kwargs))
+        return made[-1]
+
+    monkeypatch.setattr(phrases, "discard", lambda *tables: None)
+    monkeypatch.setattr(type(df), "mapInArrow", watched)
+    shards = phrases.index(df, 300)
+    found = phrases.grams(shards, 2)
+    monkeypatch.undo()
+    at_most = shards.count() * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for rows, frequent in zip(made[1:], found[1:], strict=True):
+        assert 0 < rows.count() <= at_most < frequent.count()
