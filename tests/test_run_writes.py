@@ -135,3 +135,14 @@ def test_set_hashes(spark):
         own = sorted(([i, h] for k, i, h in rows if k == key and i is not None), key=lambda x: x[0].encode())
         want[key] = hashlib.sha256(json.dumps(own, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
     assert got == want
+
+
+def test_prepared_runs_leave_in_small_batches():
+    import pyarrow as pa
+
+    n = 3 * run_writes.RUNS + 5
+    names = ["record_id", "position", "run_id", "body", "header"]
+    one = pa.RecordBatch.from_pydict(dict(zip(names, [["r"] * n, list(range(n)), [str(i) for i in range(n)], ['{"metrics":{"a":1}}', "no JSON"] * (n // 2) + ["{}"] * (n % 2), ['{"model":{"id":"m"}}'] * n])))
+    made = list(run_writes.prepare(iter([one, one.slice(0, 0)])))
+    assert [b.num_rows for b in made] == [run_writes.RUNS] * 3 + [5]
+    assert pa.Table.from_batches(made)["position"].to_pylist() == list(range(n))
