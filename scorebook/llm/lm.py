@@ -10,7 +10,8 @@ answer per question. So most n-grams, which occur once, never become rows. With
 traversed left to right: at each place the longest arc is taken, which its counts give the weight of, and the failure
 arcs that lead there are noted. One chunk of each n-gram, named by the block, hands its arc on to the sums that
 give a context's failure weight. The weights of the most frequent contexts (the hot head, of bounded number) go to
-every task; the others meet the noted failure arcs in a shuffle join. The head's size changes no result.
+every task; of the others each batch of rows asks blocks of the name space, once per block, which answer with sums by
+row. The head's size changes no result.
 
 Smoothing: the root is add-one over the training vocabulary, (c+1)/(N+V+1); higher contexts take an absolute
 discount off each kept n-gram and give the freed mass to the failure arc, so each state's distribution sums to
@@ -42,8 +43,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, id_remainder, materialise, pack, settle, small_batches, text_bytes, unpack
 
-#: Most frequent contexts whose failure weights each task holds; the others are joined.
-HOT = 1 << 20
+#: Most frequent contexts whose failure weights each task holds; the others are asked for. Contexts of a block of those, about.
+HOT, BLOCK_CONTEXTS = 1 << 20, 1 << 20
 #: Tokens of a chunk, about; a longer text is a chunk of its own. Bytes of text per block of the name space.
 CHUNK_TOKENS, BLOCK_BYTES = 500_000, 8_000_000
 #: Bits of a name in questions beyond those that the bytes of all texts need: two n-grams share a name, and so their
@@ -434,6 +435,24 @@ def _traverse(table: pa.Table, z: int, texts: int, bits: int) -> pa.Table:
     return pa.concat_tables([rows, arcs])
 
 
+FAILURES = pa.schema([("block", pa.int64()), ("batch", pa.int64()), ("keys", pa.binary()), ("rows", pa.binary())])
+FAILURES_DDL = "block long, batch long, keys binary, rows binary"
+WEIGHED = pa.schema([("batch", pa.int64()), ("rows", pa.binary()), ("sums", pa.binary())])
+WEIGHED_DDL = "batch long, rows binary, sums binary"
+SUMS = pa.schema([("row", pa.int64()), ("more", pa.float64())])
+
+
+def _look_up(names: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in the sorted names, and which are there."""
+    i = np.minimum(np.searchsorted(names, keys), max(0, len(names) - 1))
+    return i, names[i] == keys if len(names) else np.zeros(len(keys), bool)
+
+
+def _sum_by(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    of, which = np.unique(rows, return_inverse=True)
+    return of, np.bincount(which, weights=values, minlength=len(of))
+
+
 def _hot_failures(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     """Adds the failure weights of contexts in the hot head; keys are those of other contexts."""
     hot, back = shared.value
@@ -445,14 +464,49 @@ def _hot_failures(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Reco
         row = np.concatenate([np.repeat(np.arange(n), pc.list_value_length(x).to_numpy()) for x in lists])
         by_row = np.argsort(row, kind="stable")
         keys, row = keys[by_row], row[by_row]
-        i = np.minimum(np.searchsorted(hot, keys), max(0, len(hot) - 1))
-        found = hot[i] == keys if len(hot) else np.zeros(len(keys), bool)
+        i, found = _look_up(hot, keys)
         more = np.bincount(row[found], weights=back[i[found]], minlength=n)
         left = np.append(0, np.cumsum(np.bincount(row[~found], minlength=n))).astype(np.int32)
         columns = {c: batch.column(c) for c in batch.schema.names if c != "words"} | {"score": pa.array(batch.column("score").to_numpy() + more), "keys": pa.ListArray.from_arrays(pa.array(left), pa.array(keys[~found]))}
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def _ask_failures(batches: Iterator[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """For each batch of rows and block the contexts there that failure arcs are left of, and the row of each; a batch is named by its first row."""
+    for batch in batches:
+        lists, row = batch.column("keys"), batch.column("row").to_numpy()
+        keys = lists.flatten().to_numpy().view(np.uint64)
+        if not len(keys):
+            continue
+        order = np.argsort(keys, kind="stable")
+        keys, rows = keys[order], np.repeat(row, pc.list_value_length(lists).to_numpy())[order]
+        block = ((keys >> np.uint64(40)) * np.uint64(blocks) >> np.uint64(24)).astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        own = [slice(a, b) for a, b in zip(starts, [*starts[1:], len(keys)])]
+        columns = [block[starts], np.full(len(starts), row[0]), [pack(keys[x]) for x in own], [pack(rows[x]) for x in own]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, FAILURES.types)], schema=FAILURES)
+
+
+def _weigh(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """To each question of a block the sum of the failure weights by row; contexts without arcs have none."""
+    names, back = known["key"].to_numpy().view(np.uint64), known["back"].to_numpy()
+    order = np.argsort(names)
+    names, back = names[order], back[order]
+    out = []
+    for batch, keys, rows in zip(*(asked[c].to_pylist() for c in ("batch", "keys", "rows"))):
+        i, found = _look_up(names, unpack(keys, np.uint64))
+        if found.any():
+            of, sums = _sum_by(unpack(rows, np.int64)[found], back[i[found]])
+            out.append((batch, pack(of.view(np.uint64)), pack(sums)))
+    return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 3, WEIGHED.types)], schema=WEIGHED)
+
+
+def _sum_weighed(table: pa.Table) -> pa.Table:
+    rows, sums = (np.concatenate([unpack(x, kind) for x in table[c].to_pylist()]) for c, kind in (("rows", np.uint64), ("sums", np.float64)))
+    of, more = _sum_by(rows.view(np.int64), sums)
+    return pa.table([pa.array(of), pa.array(more)], schema=SUMS)
+
+
 def score(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, hot: int = HOT, chunk_tokens: int = CHUNK_TOKENS, **bounds: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
@@ -489,8 +543,11 @@ def score(docs: DataFrame, modulus: int = 7, held_remainder: int = 2, hot: int =
 
     rows = passed.where("row is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", F.col("base").alias("base_score"), "score", "words", "keys")
     rows = materialise(rows.mapInArrow(partial(_hot_failures, shared=shared), rows.drop("words").schema), "lm-scored")
-    rare = backs.where(F.col("c") < least).select("key", "back")
-    sums = rows.select("row", F.explode("keys").alias("key")).join(rare, "key").groupBy("row").agg(F.sum("back").alias("more"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-backs.count() // BLOCK_CONTEXTS))
+    rare = backs.where(F.col("c") < least).select("key", "back", F.shiftright(F.shiftrightunsigned("key", 40) * F.lit(parts), 24).alias("block"))
+    left_of = rows.select("row", "keys").mapInArrow(partial(_ask_failures, blocks=parts), FAILURES_DDL)
+    weighed = left_of.groupBy("block").cogroup(rare.groupBy("block")).applyInArrow(lambda asked, known: _weigh(asked, known), WEIGHED_DDL)
+    sums = weighed.groupBy("batch").applyInArrow(lambda table: _sum_weighed(table), "row long, more double")
     discard(passed)
     return rows.drop("keys").join(sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import time
 
+import pytest
+
 from scorebook.llm import lm
 from tests.llm.test_operators import docs, rows  # noqa: F401
 
@@ -30,3 +33,25 @@ def test_shuffles_are_gone_when_their_table_is_written(spark, docs, monkeypatch)
     monkeypatch.setattr(lm, "materialise", watched)
     assert lm.score(docs).count() == docs.count()
     assert len(made) > 2 and left == dict.fromkeys(left, set())
+
+
+def nodes(plan):
+    """The nodes of a plan that was run, below the stages of an adaptive one too."""
+    yield plan
+    name, below = plan.nodeName(), plan.children()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [below.apply(i) for i in range(below.size())]
+    for p in inner:
+        yield from nodes(p)
+
+
+def test_failure_arcs_outside_the_head_are_no_rows(spark):
+    """They are packed by batch of rows and block; a join made a row of each."""
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randint(0, 14)}" for _ in range(300)) for _ in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cold = lm.score(docs, hot=0)
+    got = {x["doc_id"]: x["score"] for x in cold.collect()}
+    assert got == pytest.approx({x["doc_id"]: x["score"] for x in lm.score(docs).collect()})
+    ran = list(nodes(cold._jdf.queryExecution().executedPlan()))
+    made = {p.nodeName(): p.metrics().apply("numOutputRows").value() for p in ran if p.metrics().contains("numOutputRows") and any(w in p.nodeName() for w in ("Join", "Generate", "InArrow"))}
+    assert "FlatMapCoGroupsInArrow" in {p.nodeName() for p in ran} and max(made.values()) <= 8 * 4
