@@ -7,8 +7,6 @@ a version that the reader may not see is no row of a search, and a commitment el
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +17,12 @@ from .records import visible
 
 def hub_target(text: Column) -> Column:
     """struct<ns, name, seq> of ``ns/name@seq`` as stored text is read: any digits, seq from 1; null for another form."""
-    form = r"\A([^/]+)/([^/]+)@(\+?[0-9]+)\z"
     outside = text.startswith("external:") | text.startswith("hf:")
-    seq = F.when(text.rlike(form) & ~outside, F.regexp_extract(text, form, 3).try_cast("int"))
-    return F.when(seq >= 1, F.struct(F.regexp_extract(text, form, 1).alias("ns"), F.regexp_extract(text, form, 2).alias("name"), seq.cast("long").alias("seq")))
+    right = ~outside & text.rlike(r"\A[^/]+/[^/]+@\+?[0-9]+\z")
+    # one slash and no @ behind the last: cut there, without groups of the expression
+    ns, rest, digits = F.substring_index(text, "/", 1), F.substring_index(text, "/", -1), F.substring_index(text, "@", -1)
+    seq = F.when(right, digits.try_cast("int"))
+    return F.when(seq >= 1, F.struct(ns.alias("ns"), F.left(rest, F.length(rest) - F.length(digits) - 1).alias("name"), seq.cast("long").alias("seq")))
 
 
 def visible_edges(edges: DataFrame, targets: DataFrame, caller: list[str]) -> DataFrame:
@@ -56,23 +56,26 @@ def resolve(edges: DataFrame, targets: DataFrame, caller: list[str]) -> DataFram
     card; so it never tells that a private version exists.
     """
     keys = edges.columns
-    own = targets.select(F.col("version_id").alias("to_version_id"), "address", "tombstoned", "content_hash", visible(caller).alias("seen"), F.lit(True).alias("there"))
-    by_id = edges.where("to_version_id is not null").join(own, "to_version_id", "left")
-    lost = by_id.where("there is null").select(*keys)
-    found = by_id.where("there").select(
-        *keys, F.when(F.col("seen"), "version").otherwise("private").alias("kind"), F.col("to_version_id").alias("version_id"), F.when(F.col("seen"), F.col("address")).alias("address"),
-        F.when(F.col("seen"), F.col("tombstoned")).alias("tombstoned"), F.when(~F.col("seen"), F.col("content_hash")).alias("content_hash"), F.lit(None).cast("string").alias("text"),
-    )
-    text = edges.where("to_version_id is null").unionByName(lost).withColumn("text", F.coalesce("to_external", F.lit(""))).withColumn("t", hub_target(F.col("text")))
-    first = targets.where(visible(caller)).groupBy("ns", "name", "seq").agg(F.min_by(F.struct("version_id", "address", "tombstoned"), "type").alias("v"))
-    asked = text.where("t is not null").select("*", "t.*").drop("t").join(first, ["ns", "name", "seq"], "left")
-    none = F.lit(None).cast("string")
-    lazy = asked.select(*keys, F.when(F.col("v").isNull(), "unresolved").otherwise("version").alias("kind"), "v.version_id", "v.address", "v.tombstoned", none.alias("content_hash"), F.when(F.col("v").isNull(), F.col("text")).alias("text"))
-    outside = F.col("text").startswith("external:") | F.col("text").startswith("hf:")
-    rest = text.where("t is null").select(
-        *keys, F.when(outside, "external").otherwise("unresolved").alias("kind"), F.lit(None).cast("long").alias("version_id"), none.alias("address"), F.lit(None).cast("boolean").alias("tombstoned"), none.alias("content_hash"), "text"
+    # each lookup takes all edges along, those that ask nothing spread, since their nulls would meet in one task
+    spread = F.xxhash64("from_version_id", "to_version_id", "to_external")
+    seen = visible(caller)
+    open_ = lambda c: F.when(seen, F.col(c)).alias(c)
+    own = targets.select(F.col("version_id").alias("_id"), F.struct("version_id", seen.alias("seen"), open_("address"), open_("tombstoned"), F.when(~seen, F.col("content_hash")).alias("content_hash")).alias("_own"))
+    by_id = edges.withColumn("_asked", F.coalesce("to_version_id", spread)).join(own, (F.col("_asked") == F.col("_id")) & F.col("to_version_id").isNotNull(), "left")
+    text = F.coalesce("to_external", F.lit(""))
+    lost = by_id.select(*keys, "_own", F.when(F.col("_own").isNull(), text).alias("_text")).withColumn("_t", hub_target(F.col("_text")))
+    # by a number first: rows are sorted for the join, and names of one namespace begin alike
+    number = lambda seq: F.xxhash64("ns", "name", F.col(seq).cast("long"))
+    first = targets.where(seen).withColumn("_n", number("seq")).groupBy("_n", "ns", "name", "seq").agg(F.min_by(F.struct("version_id", "address", "tombstoned"), "type").alias("_v"))
+    asked = lost.select(*keys, "_own", "_text", spread.alias("_spread"), "_t.ns", "_t.name", "_t.seq").withColumn("_n", F.when(F.col("seq").isNotNull(), number("seq")).otherwise(F.col("_spread")))
+    both = asked.drop("_spread").join(first, ["_n", "ns", "name", "seq"], "left")
+    there, lazy = F.col("_own").isNotNull(), F.col("_v").isNotNull()
+    outside = F.col("_text").startswith("external:") | F.col("_text").startswith("hf:")
+    mine = lambda c: F.when(there, F.col(f"_own.{c}")).otherwise(F.col(f"_v.{c}")).alias(c)
+    return both.select(
+        *keys, F.when(there, F.when(F.col("_own.seen"), "version").otherwise("private")).when(lazy, "version").when(F.col("seq").isNull() & outside, "external").otherwise("unresolved").alias("kind"),
+        mine("version_id"), mine("address"), mine("tombstoned"), F.col("_own.content_hash").alias("content_hash"), F.when(~there & ~lazy, F.col("_text")).alias("text"),
     )
-    return reduce(DataFrame.unionByName, [found, lazy, rest])
 
 
 def resolve_written(refs: DataFrame, targets: DataFrame, writer: list[str], type_: str | None = None) -> DataFrame:

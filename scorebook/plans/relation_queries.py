@@ -57,7 +57,8 @@ FILTERS = {
 
 def join_edge_target(spark, d):
     """Every edge as a reader sees it: resolved by id, by its text at last, private, or text."""
-    rows = rel.resolve(c.relations(spark, d), c.hub_targets(spark, d), CALLER)
+    targets = keep(c.hub_targets(spark, d).select("version_id", "type", "ns", "name", "seq", "visibility", "tombstoned", "content_hash", "address"))
+    rows = rel.resolve(c.relations(spark, d, targets), targets, CALLER)
     return rows.select("from_version_id", "ordinal", "type", "kind", "version_id", "address", "tombstoned", "content_hash", "text")
 
 

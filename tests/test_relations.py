@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from scorebook.operators import filters, relations
+from scorebook.plans import relation_queries
 
 TARGET = "version_id long, type string, ns string, name string, seq long, visibility string, tombstoned boolean, content_hash string, address string"
 
@@ -125,3 +127,18 @@ def test_withheld_empties_an_array(spark, targets, edges):
     none = spark.createDataFrame([], "version_id long, eval_record_id long, judgements long, ns string, name string")
     got = relations.withhold(bodies, relations.hidden_targets(edges, targets, []), none).first()
     assert got["body"] == '{"relations":[]}' and [tuple(x) for x in got["withheld_relations"]] == [("core/compares", 4, "h4")]
+
+
+def test_edges_are_worked_out_once_for_resolution(spark):
+    """One scan of the lines whatever an edge asks; each kind of edge had its own."""
+    plan = relation_queries.join_edge_target(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[l_orderkey", plan)) == 1
+
+
+def test_addresses_are_cut_as_the_form_says(spark):
+    texts = ["a/b@1", "a/b@+2", "a/b@c@3", "a/@4", "/b@1", "a/@@4", "a/b@0", "a/b@", "a/b/c@1", "a/b@1\n", "a\nb/c@2", "a/b@99999999999", "a/b@007", "é/ü😀@5", "external:a/b@1", "hf:a/b@1", "a@1/b@2", "", "@", "a/b@-1", "a/b@2147483647", "a/b@٣"]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", relations.hub_target(F.col("text")).alias("t")).collect()
+    for r in got:
+        m = re.fullmatch(r"([^/]+)/([^/]+)@(\+?[0-9]+)", r["text"])
+        right = m and not r["text"].startswith(("external:", "hf:")) and 1 <= int(m[3]) < 1 << 31
+        assert (tuple(r["t"]) if r["t"] else None) == ((m[1], m[2], int(m[3])) if right else None), r["text"]
