@@ -16,7 +16,8 @@ with a multiplicity, so overlaps are sums over lists. Links are found in two ste
   with that of all nodes in their lists, block by block, and discards the pairs under the size-derived bound.
 
 Nodes are named by place, so ``docs`` must give its rows in the same order when a task is repeated, as scans of
-files do. Equal sets of different tasks are nodes that link.
+files do. Equal sets of different tasks are found by a digest of the whole set; of each group one node stays in the
+lists and the others are linked to it, so copies over many tasks never meet each other in a list.
 
 Defined results: null or empty text and text without words has 0 shingles and its own component; repeated
 rows (same id) give a row each; null ids are kept and name no component, so one without other ids has none; an
@@ -55,25 +56,30 @@ class Bounds(NamedTuple):
     parts: int = 16
     #: Nodes of a part of a list.
     segment: int = 1 << 16
+    #: Bytes of text from which on chunks, blocks and ``hot`` grow with the root of the input, and by how much at most:
+    #: until then chunks times blocks, the number of messages, is in proportion to the input.
+    grow_bytes: int = 1 << 30
+    grow_most: int = 4
     #: Incidence entries of a slice, pairs that its task counts at once, and lists that it multiplies at once.
     slice_entries: int = 200_000
     tile: int = 8_000_000
     lists: int = 256
 
 
-#: Words of one worker whose hashes are kept, and sets of a task that are known again; then they start anew.
-CACHE, KNOWN_SETS = 200_000, 1_000_000
+def _grown(bounds: Bounds, size: int) -> Bounds:
+    """The bounds for texts of so many bytes."""
+    by = min(bounds.grow_most, max(1, (size / bounds.grow_bytes) ** 0.5))
+    return bounds._replace(chunk_entries=int(bounds.chunk_entries * by), block_bytes=int(bounds.block_bytes * by), hot=int(bounds.hot * by))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-_words = _Words()
+#: Sets of a task that are known again; then they start anew.
+KNOWN_SETS = 1_000_000
+#: Bytes of a word that are hashed by table (longer words by digest), and of texts that are hashed at once.
+LONG, PIECE = 64, 1 << 18
+#: A random number for each byte at each place of a word; fixed, so that all tasks name a word alike.
+_TABLE = np.frombuffer(hashlib.shake_256(b"words").digest(LONG * 256 * 8), "<u8")
+_INSIDE = np.ones(256, np.int8)
+_INSIDE[list(b" \t\n\v\f\r")] = 0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,29 +88,70 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word n-grams; the whole sequence if it has fewer words."""
-    found = text.lower().split()
-    n = len(found)
-    if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, found), np.uint64, n)
-    k = min(words, n)
-    h = np.full(n - k + 1, k, np.uint64)
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the text start, A-Z lower-cased, and their hashes: sums of the table's numbers."""
+    raw = np.frombuffer(text.lower(), np.uint8)
+    edges = np.flatnonzero(np.diff(_INSIDE[raw], prepend=0, append=0))
+    starts, long = edges[::2], edges[1::2] - edges[::2]
+    n = np.minimum(long, LONG)
+    out = np.empty(len(starts), np.uint64)
+    ends = np.cumsum(n)
+    for lo, hi in zip(cuts := np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + 1 if len(ends) else 0, PIECE))), [*cuts[1:], len(starts)]):
+        place = _ranges(np.zeros(hi - lo, np.int64), n[lo:hi])
+        byte = raw[_ranges(starts[lo:hi], n[lo:hi])]
+        out[lo:hi] = np.add.reduceat(_TABLE[place * 256 + byte], ends[lo:hi] - n[lo:hi] - (ends[lo] - n[lo]))
+    for i in np.flatnonzero(long > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : starts[i] + long[i]].tobytes(), digest_size=8).digest(), "little")
+    return starts, out
+
+
+def _named(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of k words."""
+    n = len(words) - k + 1
+    h = np.full(n, k, np.uint64)
     for i in range(k):
-        h = (h ^ w[i : n - k + 1 + i]) * _ODD
+        h = (h ^ words[i : n + i]) * _ODD
         h ^= h >> np.uint64(29)
-    return np.unique(_mixed(h))
+    return _mixed(h)
+
+
+def _sets(texts: Iterator[bytes], words: int = WORDS) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct 64-bit hashes of its word n-grams; the whole sequence if it has fewer words."""
+    held: list[bytes] = []
+
+    def flush() -> Iterator[np.ndarray]:
+        starts, w = _words(b"\n".join(held))
+        at = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in held)]))
+        every = _named(w, words) if len(w) >= words else np.empty(0, np.uint64)
+        for lo, hi in zip(at[:-1], at[1:]):
+            h = np.sort(every[lo : hi - words + 1] if hi - lo >= words else _named(w[lo:hi], hi - lo) if hi > lo else every[:0])
+            yield h[np.r_[True, h[1:] != h[:-1]][: len(h)]]
+
+    n_held = 0
+    for text in texts:
+        held.append(text)
+        n_held += len(text) + 1
+        if n_held >= PIECE:
+            yield from flush()
+            held.clear()
+            n_held = 0
+    if held:
+        yield from flush()
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word n-grams; the whole sequence if it has fewer words."""
+    return next(_sets(iter([text]), words))
 
 
 MESSAGE = pa.schema([
     ("block", pa.int64()), ("part", pa.int32()), ("base", pa.int64()), ("h", pa.binary()), ("places", pa.binary()), ("hot", pa.binary()),
-    ("own", pa.binary()), ("ids", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
+    ("own", pa.binary()), ("keys", pa.list_(pa.binary())), ("ids", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
 ])
-MESSAGE_DDL = "block long, part int, base long, h binary, places binary, hot binary, own binary, ids array<long>, docs array<long>, sizes array<long>"
+MESSAGE_DDL = "block long, part int, base long, h binary, places binary, hot binary, own binary, keys array<binary>, ids array<long>, docs array<long>, sizes array<long>"
 #: ``columns`` are numbers within the block, or shingles (dealt) if the column is in several tasks.
 ENTRIES = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("base", pa.int64()), ("dealt", pa.bool_()), ("columns", pa.binary()), ("places", pa.binary()), *list(MESSAGE)[6:]])
-ENTRIES_DDL = "block long, part int, base long, dealt boolean, columns binary, places binary, own binary, ids array<long>, docs array<long>, sizes array<long>"
+ENTRIES_DDL = "block long, part int, base long, dealt boolean, columns binary, places binary, own binary, keys array<binary>, ids array<long>, docs array<long>, sizes array<long>"
 ABLE_DDL = "block long, part int, dealt boolean, base long, columns binary, places binary, sizes binary"
 PACKED_DDL = "bucket long, dealt boolean, names binary, times binary, widths binary, nodes binary, sizes binary"
 LISTS_DDL = "list long, times long, nodes array<long>, sizes array<int>"
@@ -118,11 +165,12 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: int, words: int, bounds: Bo
     task = TaskContext.get().partitionId()
     known: dict[bytes, int] = {}
     held: list[np.ndarray] = []
+    keys: list[bytes] = []
     rows: list[tuple] = []
     made = n_held = chunk = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        out, none = [], (None,) * 4
+        out, none = [], (None,) * 5
         base = (task << 40) + made - len(held)
         if held:
             h = np.concatenate(held)
@@ -142,15 +190,15 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: int, words: int, bounds: Bo
                     out.append((int(b), part, base, pack(x[at[b] : at[b + 1]]), pack(p[at[b] : at[b + 1]]), hot, *none))
         if rows:
             own = pack(np.array(list(map(len, held)), np.uint32))
-            out.append(((task * 7919 + chunk) % blocks, 0, base, None, None, None, own, *map(list, zip(*rows))))
+            out.append(((task * 7919 + chunk) % blocks, 0, base, None, None, None, own, list(keys), *map(list, zip(*rows))))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), MESSAGE.types)], schema=MESSAGE)
         held.clear()
+        keys.clear()
         rows.clear()
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            s = shingles(text.as_py(), words)
+        for doc, s in zip(batch.column(0).to_pylist(), _sets((t.as_py() for t in batch.column(1)), words)):
             node = None
             if len(s):
                 key = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -161,6 +209,7 @@ def _deal(batches: Iterator[pa.RecordBatch], blocks: int, words: int, bounds: Bo
                     node = known[key] = (task << 40) + made
                     made += 1
                     held.append(s)
+                    keys.append(key)
                     n_held += len(s)
             rows.append((doc, node, len(s)))
             if n_held > bounds.chunk_entries or len(rows) >= bounds.chunk_sets:
@@ -209,19 +258,20 @@ def _repeated(key: tuple, table: pa.Table) -> pa.Table:
         at = np.searchsorted(source[own], np.arange(len(bases) + 1))
         for i in np.flatnonzero(at[1:] > at[:-1]):
             mine = own[at[i] : at[i + 1]]
-            found.append((block, part, bases[i], named, pack(name[mine]), pack(place[mine]), *(None,) * 4))
+            found.append((block, part, bases[i], named, pack(name[mine]), pack(place[mine]), *(None,) * 5))
     if found:
         out.append(pa.table([pa.array(c, t) for c, t in zip(zip(*found), ENTRIES.types)], schema=ENTRIES))
     return pa.concat_tables(out)
 
 
 def _able(table: pa.Table, num: int, den: int) -> pa.Table:
-    """A chunk's entries of nodes with enough of their shingles in common with others."""
+    """A chunk's entries of nodes with enough of their shingles in common with others; of equal sets one node's only."""
     size = [unpack(x, np.uint32).astype(np.int64) for x in table["own"].to_pylist() if x is not None]
     size = np.concatenate([*size, np.empty(0, np.int64)])
     some = table.filter(pc.is_valid(table["places"]))
     places = [unpack(x, np.uint16) for x in some["places"].to_pylist()]
     able = np.bincount(np.concatenate([*places, np.empty(0, np.uint16)]).astype(np.int64), minlength=len(size)) * den >= num * size
+    able[[p for gone in table["twins"].to_pylist() for p in gone or ()]] = False
     out = []
     for block, part, base, dealt, columns, p in zip(*(some[c].to_pylist() for c in ("block", "part", "base", "dealt", "columns")), places):
         ok = able[p]
@@ -391,6 +441,13 @@ def _cross(table: pa.Table, num: int, den: int, bounds: Bounds) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _twins(found: DataFrame) -> DataFrame:
+    """base, place, node and least of the nodes whose set an earlier node, the least one, has too."""
+    sets = found.where("keys is not null").select("base", F.posexplode("keys").alias("place", "key")).withColumn("node", F.col("base") + F.col("place"))
+    least = sets.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("many")).where("many > 1")
+    return materialise(sets.join(least, "key").where("node > least").select("base", "place", "node", "least"), "join-twins")
+
+
 def _incidence(lists: DataFrame, num: int, den: int) -> DataFrame:
     """list, segment, times and members (how common its shingles are, node, n): the nodes with enough of their shingles in lists."""
     rows = lists.select("list", "times", F.element_at("nodes", 1).alias("segment"), F.size("nodes").alias("width"), F.explode(F.arrays_zip("nodes", "sizes")).alias("e"))
@@ -459,22 +516,25 @@ def join(docs: DataFrame, words: int = WORDS, num: int = NUMERATOR, den: int = D
     small_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes())
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bounds = _grown(bounds, size)
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bounds.block_bytes))
     dealt = source.mapInArrow(partial(_deal, blocks=blocks, words=words, bounds=bounds), MESSAGE_DDL)
     found = materialise(dealt.groupBy("block", "part").applyInArrow(_with(_repeated), ENTRIES_DDL), "join-entries")
     row = F.explode(F.arrays_zip("ids", "docs", "sizes")).alias("r")
     rows = found.where("ids is not null").select(row).select(F.col("r.ids").alias("doc_id"), F.col("r.docs").alias("node"), F.col("r.sizes").alias("n"))
-    able = found.drop("ids", "docs", "sizes").groupBy("base").applyInArrow(_with(_able, num=num, den=den), ABLE_DDL)
+    twins = _twins(found)
+    entries = found.drop("keys", "ids", "docs", "sizes").unionByName(twins.groupBy("base").agg(F.collect_list("place").alias("twins")), allowMissingColumns=True)
+    able = entries.groupBy("base").applyInArrow(_with(_able, num=num, den=den), ABLE_DDL)
     listed = able.groupBy("block", "part").applyInArrow(_with(_listed, segment=bounds.segment, buckets=max(1, blocks // 8)), PACKED_DDL)
     lists = materialise(listed.groupBy("bucket").applyInArrow(_with(_merged), LISTS_DDL), "join-lists")
     cells = _incidence(lists, num, den)
     links = _hub_links(cells, num, den)
     more = _cross_links(cells, links, num, den, bounds)
-    of = materialise(components(links.union(more)), "join-label")
+    of = materialise(components(links.union(more).union(twins.select("least", "node"))), "join-label")
     ids = materialise(rows.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")), "join-ids")
     smallest = materialise(ids.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "join-least")
     named = ids.join(smallest, "component", "left")
-    discard(found, lists, cells, links, more, of)
+    discard(found, twins, lists, cells, links, more, of)
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -429,6 +429,35 @@ def test_join_chains_and_passages(spark):
     assert {x["doc_id"]: x["component_id"] for x in ngram_join.join(df).collect()} == want and len(set(want.values())) < 70
 
 
+def test_join_copies_over_many_tasks_do_not_meet(spark, monkeypatch):
+    """Copies that several tasks read are one node in the lists, and still one component."""
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randint(0, 10**6)}" for _ in range(r.choice([2, 5, 40]))) for _ in range(20)]
+    df = spark.createDataFrame([(i * 100 + j, t) for i in range(6) for j, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    met, incidence = [], ngram_join._incidence
+    monkeypatch.setattr(ngram_join, "_incidence", lambda lists, *a: met.append(lists.count()) or incidence(lists, *a))
+    assert all(x["component_id"] == x["doc_id"] % 100 for x in ngram_join.join(df).collect()) and met == [0]
+
+
+def test_join_messages_are_in_proportion():
+    """Chunks times blocks, the most messages there can be, over the bytes; the largest chunk stays a few times the least."""
+    found = [(size / b.chunk_entries) * (size / b.block_bytes) / size for size in (1 << 30, 6 << 30, 15 << 30) for b in [ngram_join._grown(ngram_join.Bounds(), size)]]
+    assert max(found) < 1.01 * min(found)
+    assert ngram_join._grown(ngram_join.Bounds(), 1 << 50).chunk_entries == 4 * ngram_join.Bounds().chunk_entries
+
+
+def test_join_names_words_by_all_their_bytes():
+    r = random.Random(7)
+    words = [bytes(r.choice(b"abcXYZ\xc3\xa9,.") for _ in range(r.choice([1, 2, 64, 65, 90]))) for _ in range(300)]
+    words += [words[0] + b"a" * 70 + x for x in (b"a", b"b")]
+    space = [b" ", b"\n", b"\x0b", b"  ", b"\x1c ", b"\t\r"]
+    texts = [b"".join(x for _ in range(n) for x in (r.choice(words[: r.choice([3, 302])]), r.choice(space))) for n in [0, 1, 3, 4, 5, 6, 50, 3000] * 20] + [b"", b" ", b"\n\n"]
+    got = list(ngram_join._sets(iter(texts)))
+    for text, s in zip(texts, got, strict=True):
+        w = text.lower().split()
+        assert len(s) == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} - {()}) and np.array_equal(s, ngram_join.shingles(text))
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)]
