@@ -30,7 +30,7 @@ NODE_DDL = (
 
 def escape(key: str) -> str:
     """A key as a token of a JSON Pointer."""
-    return key.replace("~", "~0").replace("/", "~1")
+    return key.replace("~", "~0").replace("/", "~1") if "~" in key or "/" in key else key
 
 
 def is_whole(value) -> bool:
@@ -38,6 +38,15 @@ def is_whole(value) -> bool:
     return not isinstance(value, bool) and (isinstance(value, int) or (isinstance(value, float) and value.is_integer()))
 
 
+def measured(value: float) -> tuple[float, bool, bool]:
+    """A JSON number as a double, whether it is whole, and whether it is a whole one that doubles do not hold."""
+    whole = is_whole(value)
+    try:
+        return float(value), whole, whole and abs(value) > EXACT
+    except OverflowError:
+        return float("inf"), True, True
+
+
 def nodes_of(text: str | None) -> list[tuple]:
     """All values of a text, parents first; ``invalid`` if it is not JSON. An array's places are ``*`` in a shape."""
     try:
@@ -59,10 +68,7 @@ def nodes_of(text: str | None) -> list[tuple]:
             size = len(value)
             open_ += [(v, f"{pointer}/{i}", pointer, f"{shape}/*", shape, None, False, i) for i, v in enumerate(value)]
         elif kind == "number":
-            try:
-                number, whole, large = float(value), is_whole(value), is_whole(value) and abs(value) > EXACT
-            except OverflowError:
-                number, whole, large = float("inf"), True, True
+            number, whole, large = measured(value)
         own = value if kind == "string" else None
         out.append((pointer, parent, shape, parent_shape, key, in_object, position, kind, own, number, whole, large, size, keys, given, strings, counts, sizes))
     return out
