@@ -10,6 +10,14 @@ from . import derive
 
 # The badges in their order.
 BADGES = ["refs_resolved", "harness_registered", "metric_registered", "env_pinned", "redacted"]
+FACTS = BADGES[:3]
+
+
+def asked(bodies: DataFrame) -> DataFrame:
+    """version_id and what badges ask of a body, which is parsed once: harness and version, and whether env_pinned and redacted hold."""
+    v = F.col("v")
+    read = {"harness": jsonx.json_str(v, "$.harness.name"), "version": jsonx.json_str(v, "$.harness.version"), "env_pinned": env_pinned(v), "redacted": jsonx.json_bool(v, "$.redaction.applied")}
+    return bodies.select("version_id", F.try_parse_json("body").alias("v")).select("version_id", *[c.alias(n) for n, c in read.items()])
 
 
 def refs_resolved(edges: DataFrame) -> DataFrame:
@@ -25,20 +33,19 @@ def metrics_registered(results: DataFrame, registry: DataFrame) -> DataFrame:
     return cited.groupBy("version_id").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("metric_registered"))
 
 
-def harness_registered(bodies: DataFrame, registry: DataFrame) -> DataFrame:
-    """Versions whose harness ``ns/id`` is an entry of exactly its version."""
-    v = F.try_parse_json("body")
-    named = bodies.select("version_id", jsonx.json_str(v, "$.harness.name").alias("harness"), jsonx.json_str(v, "$.harness.version").alias("version"))
+def harness_registered(registry: DataFrame) -> DataFrame:
+    """The harnesses ``ns/id`` that are entries, with exactly their versions."""
     known = registry.where("kind = 'harnesses'").select(F.concat("ns", F.lit("/"), "id").alias("harness"), "version")
-    return named.join(known, ["harness", "version"], "left_semi").select("version_id", F.lit(True).alias("harness_registered"))
+    return known.distinct().withColumn("harness_registered", F.lit(True))
 
 
-def facts(bodies: DataFrame, edges: DataFrame, results: DataFrame, registry: DataFrame) -> DataFrame:
-    """version_id and the three facts that the registry and the edges tell; true of metrics and references where there are none."""
-    rows = bodies.select("version_id")
-    for found in (refs_resolved(edges), harness_registered(bodies, registry), metrics_registered(results, registry)):
+def facts(asked: DataFrame, edges: DataFrame, results: DataFrame, registry: DataFrame) -> DataFrame:
+    """The rows of ``asked`` with the three facts that the registry and the edges tell; true of metrics and references where there are none."""
+    # few harnesses have very many versions each, which a shuffle by harness would put into a few tasks; entries are few
+    rows = asked.join(F.broadcast(harness_registered(registry)), ["harness", "version"], "left")
+    for found in (refs_resolved(edges), metrics_registered(results, registry)):
         rows = rows.join(found, "version_id", "left")
-    return rows.select("version_id", F.coalesce("refs_resolved", F.lit(True)).alias("refs_resolved"), F.coalesce("harness_registered", F.lit(False)).alias("harness_registered"), F.coalesce("metric_registered", F.lit(True)).alias("metric_registered"))
+    return rows.withColumns({n: F.coalesce(n, F.lit(n != "harness_registered")) for n in FACTS})
 
 
 def env_pinned(v: Column) -> Column:
@@ -47,9 +54,6 @@ def env_pinned(v: Column) -> Column:
     return F.coalesce(~jsonx.json_bool(v, "$.env.git.dirty"), F.lit(False)) & filled("$.env.git.commit") & filled("$.trial.sandbox.digest")
 
 
-def badges(bodies: DataFrame, known: DataFrame) -> DataFrame:
-    """version_id, badges; a body that is gone keeps those that the facts tell."""
-    v = F.col("v")
-    rows = bodies.select("version_id", F.try_parse_json("body").alias("v")).join(known, "version_id")
-    rules = {n: F.col(n) for n in BADGES[:3]} | {"env_pinned": env_pinned(v), "redacted": jsonx.json_bool(v, "$.redaction.applied")}
-    return rows.select("version_id", derive.badges(rules).alias("badges"))
+def badges(known: DataFrame) -> DataFrame:
+    """version_id, badges of what ``asked`` and ``facts`` tell; a body that is gone keeps those that the facts tell."""
+    return known.select("version_id", derive.badges({n: F.col(n) for n in BADGES}).alias("badges"))

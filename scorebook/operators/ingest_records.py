@@ -89,8 +89,8 @@ def create_or_append(batch: DataFrame, records: DataFrame, versions: DataFrame,
     kept = lambda df: df.join(new.select("version_id"), "version_id", "left_semi")
     stored = kept(edges).select("version_id", "ordinal", "type", F.col("resolved").alias("to_version_id"), F.when(F.col("resolved").isNull(), F.col("text")).alias("to_external"), "attrs")
     results = kept(tables["results"])
-    known = badges.facts(new, stored.withColumnRenamed("version_id", "from_version_id"), results, registry)
-    marked = new.join(badges.badges(new, known), "version_id")
+    known = badges.facts(badges.asked(new), stored.withColumnRenamed("version_id", "from_version_id"), results, registry)
+    marked = new.join(badges.badges(known), "version_id")
     same = dated.where("_same").select("version_id", F.lit("unchanged").alias("outcome"))
     outcomes = new.select("version_id", F.when(F.col("seq") == 1, "created").otherwise("appended").alias("outcome")).unionByName(same).unionByName(refused.withColumn("outcome", F.lit("refused")))
     prints = new.select("version_id", "type", F.explode(canon.fingerprints(F.col("body"))).alias("f")).where("type = 'card' or f.facet <> 'grading'").select("version_id", "f.facet", "f.fingerprint")
